@@ -141,7 +141,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None, *, i
     fill(keyed.select("digest", "text"), cache, tokenizer)
     counts = cached(docs.sparkSession, cache, tokenizer)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return sized.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return sized.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
