@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .op2_token_counts import op2_token_counts
 from .op3_simhash import op3_simhash
+from .op5_mix import SQL as _MIX, op5_mix
 from .op8_bpe import op8_bpe
 from .op9_pst import op9_pst
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op8_bpe, op9_pst)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op5_mix, op8_bpe, op9_pst)}
+ORACLES: dict[str, str] = {"op5_mix": _MIX}
