@@ -22,6 +22,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +31,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 30 << 20
 
+#: Stands for the block in a bucket's own rows.
+SUMMARY = -1
 ROW = "bucket int, block long, words binary, post binary, meta binary"
 _ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("post", pa.binary()), ("meta", pa.binary())])
 
 
-def pack(*parts: np.ndarray | bytes) -> bytes:
-    raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in parts]
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw) + 1}q", len(raw), *map(len, raw)) + b"".join(raw))
+def pack(*parts: np.ndarray | bytes, level: int = 3) -> bytes:
+    """Each part is a frame of its own: their statistics differ."""
+    z = zstandard.ZstdCompressor(level=level, write_checksum=False)
+    raw = [z.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()) for x in parts]
+    return struct.pack(f"<{len(raw) + 1}i", len(raw), *map(len, raw)) + b"".join(raw)
 
 
-def unpack(data: bytes) -> list[memoryview]:
-    view = memoryview(zstandard.ZstdDecompressor().decompress(data))
-    n = struct.unpack_from("<q", view)[0]
-    sizes, at, out = struct.unpack_from(f"<{n}q", view, 8), 8 * (n + 1), []
-    for size in sizes:
-        out.append(view[at : at + size])
+def unpack(data: bytes) -> list[bytes]:
+    n = struct.unpack_from("<i", data)[0]
+    z, at, out = zstandard.ZstdDecompressor(), 4 * (n + 1), []
+    for size in struct.unpack_from(f"<{n}i", data, 4):
+        out.append(z.decompress(data[at : at + size]))
         at += size
     return out
 
 
 def narrow(a: np.ndarray) -> list[np.ndarray]:
-    """Two planes: a byte each, and the rest of the few values of 128 or more."""
+    """Two planes: a byte each, and the rest of the few values of 128 or more, in two or four bytes each."""
     a = a.astype(np.uint32)
     big = a > 127
-    return [((a & 127) | (big.astype(np.uint32) << 7)).astype(np.uint8), a[big] >> 7]
+    rest = a[big] >> 7
+    return [((a & 127) | (big.astype(np.uint32) << 7)).astype(np.uint8), short(rest)]
 
 
-def widen(low: memoryview, high: memoryview) -> np.ndarray:
+def short(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint16 if not len(a) or a.max() < 1 << 16 else np.uint32)
+
+
+def long(raw: bytes, n: int) -> np.ndarray:
+    """What short() made of n values."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def widen(low: bytes, high: bytes) -> np.ndarray:
     a = np.frombuffer(low, np.uint8).astype(np.int64)
     big = a > 127
-    a[big] = (a[big] & 127) | (np.frombuffer(high, np.uint32).astype(np.int64) << 7)
+    a[big] = (a[big] & 127) | (long(high, int(big.sum())).astype(np.int64) << 7)
     return a
 
 
@@ -69,10 +83,9 @@ def pack_words(words: list[bytes]) -> list[np.ndarray | bytes]:
     return [*narrow(np.fromiter(map(len, words), np.int64, len(words))), b"".join(words)]
 
 
-def unpack_words(low: memoryview, high: memoryview, text: memoryview) -> list[bytes]:
+def unpack_words(low: bytes, high: bytes, text: bytes) -> list[bytes]:
     ends = np.cumsum(widen(low, high)).tolist()
-    raw = bytes(text)
-    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -81,32 +94,65 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()), dtype=np.int64)
 
 
+class Documents(NamedTuple):
+    """A block's documents: id (or None), the text each has, whether it is marked; and the number of words of each text."""
+
+    ids: list[int | None]
+    of: np.ndarray
+    marks: np.ndarray
+    sizes: np.ndarray
+
+    def parts(self) -> list[np.ndarray]:
+        return [np.array([x or 0 for x in self.ids], np.int64), np.array([x is not None for x in self.ids], np.uint8), self.of.astype(np.int32), self.marks.astype(np.uint8), self.sizes.astype(np.int32)]
+
+    @classmethod
+    def read(cls, parts: list[bytes]) -> Documents:
+        ids, known, of, marks, sizes = (np.frombuffer(x, kind) for x, kind in zip(parts, (np.int64, np.uint8, np.int32, np.uint8, np.int32)))
+        return cls([i if k else None for i, k in zip(ids.tolist(), known.tolist())], of.astype(np.int64), marks.astype(bool), sizes.astype(np.int64))
+
+
 class _Block:
+    """Texts of a block, equal ones once."""
+
     def __init__(self, weigh: bool):
         self.index: defaultdict = defaultdict()
         self.index.default_factory = self.index.__len__
+        self.texts: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.docs: list[int | None] = []
+        self.of: list[int] = []
         self.marks: list[bool] = []
         self.bytes = 0
         self.weigh = weigh
 
-    def add(self, doc_id: int | None, words: list, mark: bool) -> None:
-        self.ids.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+    def add(self, doc_id: int | None, text: str, split: Callable, mark: bool) -> None:
+        if (k := self.texts.get(text)) is None:
+            k = self.texts[text] = len(self.ids)
+            words = split(text)
+            self.ids.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+            self.bytes += len(text)
         self.docs.append(doc_id)
+        self.of.append(k)
         self.marks.append(mark)
 
     def rows(self, number: int, buckets: int, raw: Callable) -> Iterator[dict]:
         words = [raw(w) for w in self.index]
         sizes = np.array([len(x) for x in self.ids], np.int64)
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
-        self.ids, self.index = [], defaultdict()
+        self.ids, self.index, self.texts = [], defaultdict(), {}
         where = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-        ordered = sorted(range(len(words)), key=lambda i: (where[i], words[i]))
+        # in a bucket frequent words first (small numbers), and those about as frequent by their letters (like next to like)
+        often = np.frexp(np.bincount(ids, minlength=len(words)))[1].tolist() if words else []
+        first = np.searchsorted(np.sort(where), np.arange(buckets + 1))
+        ordered = np.argsort(where, kind="stable").tolist()
+        for a, b in zip(first[:-1], first[1:]):
+            ordered[a:b] = sorted(ordered[a:b], key=lambda i: (-often[i], words[i]))
         rank = np.empty(len(words), np.int64)
         rank[ordered] = np.arange(len(words))
-        first = np.searchsorted(where[ordered], np.arange(buckets + 1)) if words else np.zeros(buckets + 1, np.int64)
-        weights = np.bincount(ids[np.repeat(np.array(self.marks, bool), sizes)], minlength=len(words)) if self.weigh else None
+        weights = None
+        if self.weigh:
+            times = np.bincount(np.array(self.of, np.int64), np.array(self.marks, np.float64), len(sizes))
+            weights = np.bincount(ids, np.repeat(times, sizes), len(words)).astype(np.int64)
         of = where[ids] if words else np.zeros(0, np.int32)
         by = np.argsort(of, kind="stable").astype(np.int32)
         edge = np.searchsorted(of[by], np.arange(buckets + 1))
@@ -115,9 +161,8 @@ class _Block:
                 continue
             pos, mine = by[edge[b] : edge[b + 1]], ordered[first[b] : first[b + 1]]
             more = [] if weights is None else narrow(weights[mine])
-            yield {"bucket": b, "block": number, "words": pack(*pack_words([words[i] for i in mine]), *more), "post": pack(*narrow(np.diff(pos, prepend=0)), *narrow(rank[ids[pos]] - first[b])), "meta": None}
-        known = np.array([x is not None for x in self.docs], np.uint8)
-        meta = pack(np.array([x or 0 for x in self.docs], np.int64), known, sizes, np.array(self.marks, np.uint8))
+            yield {"bucket": b, "block": number, "words": pack(*pack_words([words[i] for i in mine]), *more, level=9), "post": pack(*narrow(np.diff(pos, prepend=0)), *narrow(rank[ids[pos]] - first[b])), "meta": None}
+        meta = pack(*Documents(self.docs, np.array(self.of), np.array(self.marks), sizes).parts())
         yield {"bucket": number % buckets, "block": number, "words": None, "post": None, "meta": meta}
 
 
@@ -139,8 +184,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list], raw: Callable, buckets
             texts = batch.column("text")
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 text = texts[k].as_py()
-                block.add(doc_id, split(text), bool(mark and mark(doc_id)))
-                block.bytes += len(text)
+                block.add(doc_id, text, split, bool(mark and mark(doc_id)))
                 if block.bytes >= BLOCK_BYTES:
                     yield from flush()
         if block.docs:
@@ -149,8 +193,8 @@ def blocks(docs: DataFrame, split: Callable[[str], list], raw: Callable, buckets
     return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
 
-def values(rows: DataFrame, value: Callable[[list[list[bytes]], list], list[list]]) -> DataFrame:
-    """One call of value for each bucket: the word lists of all blocks and their weights, to what each block gets for its list (parts to be packed)."""
+def values(rows: DataFrame, value: Callable[[list[list[bytes]], list], Iterator[list]]) -> DataFrame:
+    """One call of value for each bucket: the word lists of all blocks and their weights, to an iterator over what each block gets for its list (parts to be packed); what it gives further becomes rows of block SUMMARY."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -161,25 +205,26 @@ def values(rows: DataFrame, value: Callable[[list[list[bytes]], list], list[list
             lists.append(unpack_words(*parts[:3]))
             weights.append(widen(*parts[3:5]) if len(parts) > 3 else None)
             r["words"] = None
-        for r, parts in zip(mine, value(lists, weights)):
-            r["words"] = pack(*parts)
+        got = value(lists, weights)
+        for r, parts in zip(mine, got):
+            r["words"] = pack(*parts, level=9)
+        rows += ({"bucket": rows[0]["bucket"], "block": SUMMARY, "meta": pack(*parts)} for parts in got)
         return pa.Table.from_pylist(rows, _ROW)
 
     return rows.groupBy("bucket").applyInArrow(run, ROW)
 
 
 def assemble(rows: DataFrame, whole: Callable, schema: str) -> DataFrame:
-    """One call of whole for each block: document ids, their sizes and marks, and (positions, words, parts of values) of each bucket, to the result's columns."""
+    """One call of whole for each block: its documents, and (bucket, positions, words, parts of values) of each bucket, to the result's columns. Positions run through the block's texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        meta, parts = None, []
+        docs, parts = None, []
         for k in range(table.num_rows):
             if (m := table.column("meta")[k].as_py()) is not None:
-                meta = unpack(m)
+                docs = Documents.read(unpack(m))
             else:
                 post = unpack(table.column("post")[k].as_py())
-                parts.append((np.cumsum(widen(*post[:2])), widen(*post[2:4]), unpack(table.column("words")[k].as_py())))
-        ids, known, sizes, marks = (np.frombuffer(x, kind) for x, kind in zip(meta, (np.int64, np.uint8, np.int64, np.uint8)))
-        return whole([int(i) if k else None for i, k in zip(ids, known)], sizes, marks.astype(bool), parts)
+                parts.append((table.column("bucket")[k].as_py(), np.cumsum(widen(*post[:2])), widen(*post[2:4]), unpack(table.column("words")[k].as_py())))
+        return whole(docs, parts)
 
     return rows.groupBy("block").applyInArrow(run, schema)

@@ -70,7 +70,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     path = path or public_tokenizers.path(VOCABULARY)
     rows = exchange.blocks(plain(docs, id_col, text_col), _words(public_tokenizers.PATTERN), str.encode, buckets or width(spark))
 
-    def value(lists, _):
+    def value(lists, weights):
         e, own, store, starts, sizes = encoding(path), {}, [], [], []
         at = 0
         for words in lists:
@@ -85,27 +85,26 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
         flat, starts, sizes = np.array(store, np.uint32), np.array(starts, np.int64), np.array(sizes, np.int64)
         for words in lists:
             k = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-            yield [*exchange.narrow(sizes[k]), flat[exchange.ragged(starts[k], sizes[k])]]
+            yield [*exchange.narrow(sizes[k]), exchange.short(flat[exchange.ragged(starts[k], sizes[k])])]
 
-    def whole(ids, n_words, _, parts):
-        per = np.zeros(int(n_words.sum()), np.int64)
-        for pos, word, got in parts:
+    def whole(docs, parts):
+        per = np.zeros(int(docs.sizes.sum()), np.int64)
+        for _, pos, word, got in parts:
             per[pos] = exchange.widen(*got[:2])[word]
-        ends = np.cumsum(per)
-        starts = ends - per
+        starts = np.cumsum(per) - per
         flat = np.zeros(int(per.sum()), np.uint32)
-        for pos, word, got in parts:
+        for _, pos, word, got in parts:
             size = exchange.widen(*got[:2])
-            first, mine = np.cumsum(size) - size, np.frombuffer(got[2], np.uint32)
+            first, mine = np.cumsum(size) - size, exchange.long(got[2], int(size.sum()))
             flat[exchange.ragged(starts[pos], size[word])] = mine[exchange.ragged(first[word], size[word])]
-        after = np.concatenate([[0], ends])[np.cumsum(n_words)]
-        before = np.concatenate([[0], after[:-1]])
-        n = (after - before).astype(np.int64)
-        head = {"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n)}
+        edge = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(docs.sizes)])]
+        head = {"doc_id": pa.array(docs.ids, pa.int64()), "n_tokens": np.diff(edge)[docs.of]}
+        each = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
         if not digests:
-            return pa.table(head | {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([before, after[-1:]]).astype(np.int32)), pa.array(flat.astype(np.int32)))})
-        each = [flat[a:b] for a, b in zip(before, after)]
-        return pa.table(head | {"ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], "decoded_sha256": [hashlib.sha256(decode_ids(x, path)).hexdigest() for x in each]})
+            return pa.table(head | {"ids": pa.array([each[k].astype(np.int32) for k in docs.of.tolist()], pa.list_(pa.int32()))})
+        of = pa.array(docs.of)
+        ids, text = (pa.array([hashlib.sha256(f(x)).hexdigest() for x in each], pa.string()) for f in (lambda x: x.astype("<u4").tobytes(), lambda x: decode_ids(x, path)))
+        return pa.table(head | {"ids_sha256": ids.take(of), "decoded_sha256": text.take(of)})
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
     return exchange.assemble(exchange.values(rows, value), whole, schema)
