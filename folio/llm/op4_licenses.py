@@ -6,8 +6,9 @@ template and place. A text's runs that are in the index are hits; a text that
 shares K + WINDOW - 1 words in a row with a template has one. Hits on one template
 that are close together make a region, and in each region the template is aligned
 with the text in a band about the hits' diagonals (words match or not; local
-alignment, matches +2, others -1). A row is given for each region in which at
-least LEAST of the template's words match: how many, their share, and the span.
+alignment, matches +2, others -1), and again with what is left of it. A row is
+given for each alignment in which at least LEAST of the template's words match:
+how many, their share, and the span.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, without
 regard to A-Z's case. The index is made of the given templates alone, so it is of
@@ -150,15 +151,18 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[tuple[int, int,
                 regions[-1].append((p, d))
             else:
                 regions.append([(p, d)])
-        seen: list[tuple[int, int]] = []
+        free = ids.copy()
         for r in regions:
-            low, high = r[0][1] - BAND, r[-1][1] + BAND
-            first = max(0, low)
-            matched, a, b = align(index.templates[t], ids[first : high + size + 1].tolist(), low - first, high - first)
-            a, b = a + first, b + first
-            if matched >= least * size and not any(x < b and a < y for x, y in seen):
-                seen.append((a, b))
+            while r:  # a region can hold the template several times: what is found is taken out
+                low, high = r[0][1] - BAND, r[-1][1] + BAND
+                first = max(0, low)
+                matched, a, b = align(index.templates[t], free[first : high + size + 1].tolist(), low - first, high - first)
+                if matched < least * size:
+                    break
+                a, b = a + first, b + first
                 out.append((t, matched, a, b))
+                free[a:b] = 0
+                r = [(p, d) for p, d in r if not a <= p < b]
     return out
 
 
