@@ -140,7 +140,7 @@ class _Block:
         sizes = np.array([len(x) for x in self.ids], np.int64)
         ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
         self.ids, self.index, self.texts = [], defaultdict(), {}
-        where = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        where = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint16 if buckets < 1 << 16 else np.int32, len(words))
         # in a bucket frequent words first (small numbers), and those about as frequent by their letters (like next to like)
         often = np.frexp(np.bincount(ids, minlength=len(words)))[1].tolist() if words else []
         first = np.searchsorted(np.sort(where), np.arange(buckets + 1))
@@ -153,9 +153,10 @@ class _Block:
         if self.weigh:
             times = np.bincount(np.array(self.of, np.int64), np.array(self.marks, np.float64), len(sizes))
             weights = np.bincount(ids, np.repeat(times, sizes), len(words)).astype(np.int64)
-        of = where[ids] if words else np.zeros(0, np.int32)
+        of = where[ids]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=buckets))])
         by = np.argsort(of, kind="stable").astype(np.int32)
-        edge = np.searchsorted(of[by], np.arange(buckets + 1))
+        del of
         for b in range(buckets):
             if first[b] == first[b + 1]:
                 continue
@@ -214,17 +215,28 @@ def values(rows: DataFrame, value: Callable[[list[list[bytes]], list], Iterator[
     return rows.groupBy("bucket").applyInArrow(run, ROW)
 
 
+class Parts:
+    """(bucket, positions, words, parts of values) of each bucket of a block, opened anew in each pass so that one is in memory at a time."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]]):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+        for bucket, words, post in self.rows:
+            p = unpack(post)
+            yield bucket, np.cumsum(widen(*p[:2])), widen(*p[2:4]), unpack(words)
+
+
 def assemble(rows: DataFrame, whole: Callable, schema: str) -> DataFrame:
-    """One call of whole for each block: its documents, and (bucket, positions, words, parts of values) of each bucket, to the result's columns. Positions run through the block's texts."""
+    """One call of whole for each block: its documents and its Parts, to the result's columns. Positions run through the block's texts."""
 
     def run(table: pa.Table) -> pa.Table:
         docs, parts = None, []
-        for k in range(table.num_rows):
-            if (m := table.column("meta")[k].as_py()) is not None:
-                docs = Documents.read(unpack(m))
+        for r in table.select(["bucket", "words", "post", "meta"]).to_pylist():
+            if r["meta"] is not None:
+                docs = Documents.read(unpack(r["meta"]))
             else:
-                post = unpack(table.column("post")[k].as_py())
-                parts.append((table.column("bucket")[k].as_py(), np.cumsum(widen(*post[:2])), widen(*post[2:4]), unpack(table.column("words")[k].as_py())))
-        return whole(docs, parts)
+                parts.append((r["bucket"], r["words"], r["post"]))
+        return whole(docs, Parts(parts))
 
     return rows.groupBy("block").applyInArrow(run, schema)

@@ -88,16 +88,17 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
             yield [*exchange.narrow(sizes[k]), exchange.short(flat[exchange.ragged(starts[k], sizes[k])])]
 
     def whole(docs, parts):
-        per = np.zeros(int(docs.sizes.sum()), np.int64)
+        per = np.zeros(int(docs.sizes.sum()), np.int32)
         for _, pos, word, got in parts:
             per[pos] = exchange.widen(*got[:2])[word]
-        starts = np.cumsum(per) - per
-        flat = np.zeros(int(per.sum()), np.uint32)
+        starts = np.cumsum(per, dtype=np.int64) - per
+        flat = np.zeros(int(per.sum(dtype=np.int64)), np.uint16 if encoding(path).max_token_value < 1 << 16 else np.uint32)
         for _, pos, word, got in parts:
             size = exchange.widen(*got[:2])
             first, mine = np.cumsum(size) - size, exchange.long(got[2], int(size.sum()))
             flat[exchange.ragged(starts[pos], size[word])] = mine[exchange.ragged(first[word], size[word])]
-        edge = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(docs.sizes)])]
+        del starts
+        edge = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])[np.concatenate([[0], np.cumsum(docs.sizes)])]
         head = {"doc_id": pa.array(docs.ids, pa.int64()), "n_tokens": np.diff(edge)[docs.of]}
         each = [flat[a:b] for a, b in zip(edge[:-1], edge[1:])]
         if not digests:
