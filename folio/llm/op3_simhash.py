@@ -20,6 +20,8 @@ equal fingerprints that have ids, else none. Repeated rows stay repeated.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -71,47 +73,61 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """(64, words): plane b holds bit b of all fingerprints, 64 to a word; the last word is filled with zeros."""
-    fps = np.concatenate([fps, np.zeros(-len(fps) % 64, np.uint64)])
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(bits, words): plane b holds bit b of all fingerprints (n, 64-bit words), 64 to a word; the last word is filled with zeros."""
+    fps = np.concatenate([fps, np.zeros((-len(fps) % 64, fps.shape[1]), np.uint64)])
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 8 * fps.shape[1]), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(plane, shape: tuple, live: np.ndarray | None = None) -> np.ndarray:
-    """Words of flags for at most three differing bits. plane(b, keep): plane b of the differences in the words kept (all: None); live: flags that still matter."""
-    one, two, far = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
-    done = np.zeros(shape, np.uint64)
-    if live is not None:
-        far |= ~live
-    keep = None
-    for b in range(64):
-        x = plane(b, keep)
-        carry = one & x
-        one ^= x
-        over = two & carry
-        two ^= carry
-        far |= over
-        if b in (15, 23, 31, 47):  # abandon the words that are all beyond
-            open_ = ~(far == ALL).all(axis=tuple(range(far.ndim - 1)))
+def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Flags of counts over the radius, counters being the bits of the counts, lowest first."""
+    over, same = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for k in range(len(counters) - 1, -1, -1):
+        if radius >> k & 1:
+            same &= counters[k]
+        else:
+            over |= same & counters[k]
+            same &= ~counters[k]
+    return over
+
+
+def within(plane: Callable, bits: int, radius: int, shape: tuple, live: np.ndarray | None = None) -> np.ndarray:
+    """Words of flags for at most radius differing bits. plane(b, keep): plane b of the differences in the words kept (all: None); live: flags that still matter.
+
+    The counts are kept as bits in carry-save counters, one word for 64 counts; what
+    runs over the highest bit is far. Every 16 bits words that are all far are left out.
+    """
+    counters = [np.zeros(shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
+    far = np.zeros(shape, np.uint64) if live is None else ~live
+    done, keep = np.zeros(shape, np.uint64), None
+    for b in range(bits):
+        carry = plane(b, keep)
+        for k, c in enumerate(counters):
+            carry, counters[k] = c & carry, c ^ carry
+        far = far | carry
+        if b % 16 == 15 and b < bits - 1:
+            gone = far | _beyond(counters, radius) if b % 64 == 63 else far
+            open_ = ~(gone == ALL).all(axis=tuple(range(gone.ndim - 1)))
             if not open_.any():
                 return done
             if open_.sum() < 0.8 * len(open_):
                 keep = np.flatnonzero(open_) if keep is None else keep[open_]
-                one, two, far = one[..., open_], two[..., open_], far[..., open_]
+                counters, far = [c[..., open_] for c in counters], far[..., open_]
+    near = ~(far | _beyond(counters, radius))
     if keep is None:
-        return ~far
-    done[..., keep] = ~far
+        return near
+    done[..., keep] = near
     return done
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Which fingerprints of a and b, pair by pair, are linked."""
     p = planes(a ^ b)
-    flags = within(lambda k, keep: p[k] if keep is None else p[k][keep], (p.shape[1],))
+    flags = within(lambda k, keep: p[k] if keep is None else p[k][keep], len(p), radius, (p.shape[1],))
     return np.unpackbits(flags.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
-def spread(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of a bucket, as two arrays of indices."""
     n, p = len(fps), planes(fps)
     live = np.zeros(p.shape[1] * 64, np.uint8)
@@ -130,8 +146,10 @@ def spread(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = np.flatnonzero(left)
         if not len(words):
             break
-        mine, bits = p[:, words], np.where((fps[now, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1), ALL, np.uint64(0))
-        flags = within(lambda k, keep: (mine[k] if keep is None else mine[k][keep])[None, :] ^ bits[:, k, None], (len(now), len(words)), np.broadcast_to(left[words], (len(now), len(words))))
+        mine = p[:, words]
+        asked = np.where(np.unpackbits(fps[now].view(np.uint8).reshape(len(now), -1), axis=1, bitorder="little").astype(bool), ALL, np.uint64(0))
+        shape = (len(now), len(words))
+        flags = within(lambda k, keep: (mine[k] if keep is None else mine[k][keep])[None, :] ^ asked[:, k, None], len(p), radius, shape, np.broadcast_to(left[words], shape))
         hit = np.unpackbits(np.ascontiguousarray(flags).view(np.uint8), axis=1, bitorder="little")
         rows, cols = np.nonzero(hit)
         cols = words[cols // 64] * 64 + cols % 64
@@ -151,45 +169,48 @@ def block_key(fp: Column, triple: int) -> Column:
     return key
 
 
-def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray):
-    """Links (two arrays of nodes) in whole buckets, sorted by key."""
+def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS, tight: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (two arrays of nodes, distances) in whole buckets, sorted by key: all within the radius in small ones; in large ones a spanning set of those within the tight radius, their distances left at 0."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     start, size = edge[:-1], np.diff(edge)
     for n in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
         i, j = np.triu_indices(n, 1)
         runs = start[size == n]
-        step = max(1, PAIRS // len(i))
+        step = max(1, PAIRS // (len(i) * fp.shape[1]))
         for k in range(0, len(runs), step):
             a, b = (runs[k : k + step, None] + i).ravel(), (runs[k : k + step, None] + j).ravel()
-            hit = near_pairs(fp[a], fp[b])
-            yield node[a[hit]], node[b[hit]]
+            hit = near_pairs(fp[a], fp[b], radius)
+            a, b = a[hit], b[hit]
+            yield node[a], node[b], np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int64)
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        a, b = spread(fp[s : s + n])
-        yield node[s + a], node[s + b]
+        a, b = spread(fp[s : s + n], tight)
+        yield node[s + a], node[s + b], np.zeros(len(a), np.int64)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """nodes (fp, node), fingerprints distinct, to links (u, v) whose components are those of all pairs within the radius."""
-    tune(nodes.sparkSession)
+def bucket_links(keyed: DataFrame, radius: int, tight: int) -> DataFrame:
+    """keyed (key, node, fp: long, or binary of several 64-bit words) to links (u, v, distance), see _links."""
+    tune(keyed.sparkSession)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def out(key, fp, node):
-            got = list(_links(key, fp.view(np.uint64), node))
+            got = list(_links(key, fp, node, radius, tight))
             if got:
-                u, v = (np.concatenate(x) for x in zip(*got))
-                pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
+                u, v, d = (np.concatenate(x) for x in zip(*got))
+                pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v), d]), axis=1)
+                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1], "distance": pairs[2]})
 
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "fp", "node")]
-            if not len(cols[0]):
+            if not b.num_rows:
                 continue
-            held.append(cols)
-            rows += len(cols[0])
-            if rows < HELD or held[0][0][0] == cols[0][-1]:  # few yet, or one bucket that has not ended
+            key, node = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "node"))
+            fp = b.column("fp")
+            fp = np.frombuffer(b"".join(fp.to_pylist()), np.uint64) if pa.types.is_binary(fp.type) else fp.to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append([key, fp.reshape(b.num_rows, -1), node])
+            rows += b.num_rows
+            if rows < HELD or held[0][0][0] == key[-1]:  # few yet, or one bucket that has not ended
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
             last = np.searchsorted(cols[0], cols[0][-1])
@@ -198,9 +219,12 @@ def links(nodes: DataFrame) -> DataFrame:
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
-    keyed = nodes.select("fp", "node", F.explode(F.array(*[block_key(F.col("fp"), k) for k in range(len(TRIPLES))])).alias("key"))
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return keyed.mapInArrow(run, "u long, v long")
+    return keyed.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, distance long")
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, node), fingerprints distinct, to links (u, v) whose components are those of all pairs within the radius."""
+    return bucket_links(nodes.select("fp", "node", F.explode(F.array(*[block_key(F.col("fp"), k) for k in range(len(TRIPLES))])).alias("key")), RADIUS, RADIUS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -213,5 +237,95 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+class Wide:
+    """Fingerprints for similarities that 64 bits within three cannot tell: BITS bits of the set of shingles, and the keys of BANDS bands of ROWS minimal hashes."""
+
+    BITS, BANDS, ROWS = 512, 25, 4
+
+    def __init__(self, shingle: int, similarity: float):
+        self.shingle = shingle
+        self.similarity = similarity
+        # sets of equal size and that similarity are at this angle: the mean of their distances, and the deviation
+        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        mean, one = self.BITS * share, math.sqrt(self.BITS * share * (1 - share))
+        self.sure, self.tight, self.radius = int(mean - 2 * one), int(mean + 0.75 * one), int(mean + 2.5 * one)
+        rng = np.random.default_rng(SEED)
+        self.odd = rng.integers(1, 1 << 63, self.BANDS * self.ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = rng.integers(1, 1 << 63, self.BITS // 64, dtype=np.uint64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        runs = map(b" ".join, zip(*(words[k:] for k in range(self.shingle)))) if len(words) >= self.shingle else [b" ".join(words)]
+        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, max(1, len(words) - self.shingle + 1)))
+
+    def alike(self, a: str, b: str) -> bool:
+        a, b = (self.hashes(x.encode().lower().split()) for x in (a, b))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.similarity * (len(a) + len(b) - both)
+
+    def print(self, text: str) -> tuple[bytes, bytes, list[int]]:
+        """Digest of the words, fingerprint, keys of the bands."""
+        words = text.encode().lower().split()
+        joined = xxhash.xxh3_128_digest(b" ".join(words))
+        h = self.hashes(words)
+        least, ones = np.full(len(self.odd), ALL, np.uint64), np.zeros(self.BITS, np.int64)
+        for k in range(0, len(h), 1 << 11):
+            part = h[k : k + (1 << 11), None]
+            mixed = part * self.odd
+            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+            wide = (part ^ self.salt) * np.uint64(0xBF58476D1CE4E5B9)
+            wide = (wide ^ (wide >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            wide ^= wide >> np.uint64(29)
+            ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        fp = np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+        bands = least.reshape(self.BANDS, -1)
+        return joined, fp, [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, wide: Wide) -> DataFrame:
+    """Pairs (u, v) whose texts are as similar as asked."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    # of rows with equal ids one stands for all
+    texts = docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = cut(texts)
+
+    def run(batches):
+        for b in batches:
+            keep = [wide.alike(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose sets of word shingles are at least as similar as asked.
+
+    Copies so far apart differ in too many bits for buckets of whole blocks, so buckets
+    are bands of minimal hashes (two sets of similarity 0.8 share one of the 25 with a
+    chance of 0.99999), and the bit-sliced comparison is on 512 bits, which tell
+    similarities to about 0.03. Pairs that are surely similar are linked; those that
+    may be are compared by their shingles. In buckets of more than SMALL different
+    texts, where pairs would be too many, the fingerprint alone decides. Texts of equal
+    words meet first, by their digest. Rows with a null id get the component of equal
+    texts that have ids, else none.
+    """
+    wide = Wide(shingle, similarity)
+    tune(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text")
+            same, fp, bands = zip(*(wide.print(texts[k].as_py()) for k in range(b.num_rows))) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "fp", "bands"])
+
+    prints = cut(plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fp binary, bands array<long>"))
+    nodes = cut(prints.where("doc_id is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "bands"), "doc_id").alias("n")).select("same", F.col("n.doc_id").alias("node"), "n.fp", "n.bands"))
+    near = cut(bucket_links(nodes.select("node", "fp", F.explode("bands").alias("key")), wide.radius, wide.tight).groupBy("u", "v").agg(F.min("distance").alias("distance")))
+    linked = near.where(F.col("distance") <= wide.sure).select("u", "v").union(_alike(near.where(F.col("distance") > wide.sure), plain(docs, id_col, text_col), wide))
+    found = components(linked)
+    labels = nodes.join(found, F.col("node") == F.col("u"), "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "same").join(labels, "same", "left").select("doc_id", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -148,13 +148,46 @@ def test_links_span_what_pairs_link(seed, n, flips):
     i, j = np.triu_indices(len(f), 1)
     near = np.bitwise_count(f[i] ^ f[j]) <= 3
     want = labels(i[near], j[near])
+    f = f[:, None]
     a, b = op3.spread(f)
     assert labels(a, b) == want and len(a) <= max(0, len(f) - 1)
     assert (op3.near_pairs(f[i], f[j]) == near).all()
-    u, v = zip(*op3._links(np.zeros(len(f), np.int64), f, np.arange(len(f)))) if len(f) > 1 else ((), ())
+    u, v, _ = zip(*op3._links(np.zeros(len(f), np.int64), f, np.arange(len(f)))) if len(f) > 1 else ((), (), ())
     assert labels(np.concatenate(u) if u else [], np.concatenate(v) if v else []) == want
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_near_copies(spark, docs, empty):
+    import random
+
+    r, texts = random.Random(9), []
+    for g in range(12):
+        words = prose(1000 + g, 150).split()
+        for copy in range(r.randrange(1, 6)):
+            new = list(words)
+            for _ in range(r.randrange(0, 7)):
+                new[r.randrange(len(new))] = f"changed{copy}"
+            texts.append((100 * g + copy, " ".join(new)))
+    texts += [(5000 + k, f"{texts[0][1]} x{k}") for k in range(60)]  # a large bucket
+    got = {x["doc_id"]: x["component_id"] for x in op3.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    label = {i: i for i, _ in texts}
+    for _ in range(4):
+        for i, a in texts:
+            for j, b in texts:
+                a_, b_ = shingles(a), shingles(b)
+                if label[i] > label[j] and len(a_ & b_) >= 0.8 * len(a_ | b_):
+                    label[i] = label[j]
+    assert got == label
+    many = op3.near_copies(docs).collect()
+    assert len(many) == len(TEXTS) and {x["component_id"] for x in many if x["doc_id"] in (4, 5, 6)} == {4}
+    assert {x["component_id"] for x in many if x["doc_id"] in (1, 3, -7)} == {-7}
+    assert op3.near_copies(empty).count() == 0
+
+
 def test_every_near_pair_shares_a_bucket(spark):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, 200, dtype=np.uint64)
