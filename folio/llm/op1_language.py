@@ -41,7 +41,7 @@ HASHES = 1 << 15
 #: Weight of a trigram's log-probability, and the number of trigrams beyond which a text counts as this many.
 TEMPER, ENOUGH = 0.3, 400
 #: Prior of "und", chance that a declaration or suffix is right, least posterior.
-UND, RIGHT_DECLARED, RIGHT_SUFFIX, LEAST = 0.01, 0.9, 0.8, 0.5
+UND, RIGHT_DECLARED, RIGHT_SUFFIX, LEAST = 0.001, 0.9, 0.8, 0.4
 #: Rows' worth of the parent's shares in a host's or domain's.
 PRIOR = 5.0
 SALT = 16
