@@ -68,7 +68,7 @@ def usable_model(m: Column, tokens: int = P.MOST_TOKENS) -> Column:
 def listed_models(answers: DataFrame) -> DataFrame:
     """(provider, body) of model listings to (provider, models): sorted distinct ids of usable models; null where the answer is no listing."""
     data = F.from_json("body", MODELS)["data"]
-    return answers.select("provider", F.array_sort(F.array_distinct(F.transform(F.filter(data, usable_model), lambda m: m["id"]))).alias("models"))
+    return answers.select("provider", F.array_sort(F.array_distinct(F.transform(F.filter(data, lambda m: usable_model(m)), lambda m: m["id"]))).alias("models"))
 
 
 ANSWER = "struct<choices: array<struct<message: struct<content: string>, finish_reason: string>>, usage: struct<prompt_tokens: bigint, completion_tokens: bigint>>"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..lineage import cut
 from ..operators import heads as _heads, pagework as w
 from ..operators.pages import assemble, explode_pages
 
@@ -15,19 +16,21 @@ def refine_pages(
 ) -> DataFrame:
     """document (doc_id, text) to refined pages, with a counter for each step that was on. The order of the steps matters: hyphens before reflow, reflow before notes, unlinking last."""
     d = w.clean_characters(docs.select("doc_id", "text")) if clean else docs.select("doc_id", "text").withColumn("chars_cleaned", F.lit(0))
-    d = d.persist()
+    d = cut(d)
     vocab = w.vocabulary(d)
-    pages = explode_pages(d)
+    pages = cut(explode_pages(d))
+    if hyphens or bridge:
+        vocab = cut(vocab)
     if heads:
-        pages = _heads.strip_heads(pages.persist())
+        pages = cut(_heads.strip_heads(pages))
     if margins:
         pages = w.margin_numbers(pages)
     if hyphens:
-        pages = w.join_hyphens(pages.persist(), vocab)
+        pages = w.join_hyphens(pages, vocab)
     if reflow:
         pages = w.reflow(pages)
     if outline is not None:
-        pages = w.apply_outline(pages.persist(), outline)
+        pages = w.apply_outline(cut(pages), outline)
     if links:
         pages = w.tidy_links(pages)
     if footnotes:
@@ -36,7 +39,7 @@ def refine_pages(
     if bridge:
         pages = w.bridge_pages(pages, vocab, hyphens)
     if links:
-        pages = w.unlink_dangling(pages.persist())
+        pages = w.unlink_dangling(cut(pages))
     return pages
 
 

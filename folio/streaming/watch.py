@@ -16,7 +16,7 @@ def arriving(spark: SparkSession, folder: str, pattern: str = "*.md", per_trigge
     """document (doc_id, text, arrived) of files as they appear in a folder; names that begin with a dot are left out."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~name.startswith(".")).select(F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("modificationTime").alias("arrived"))
+    return files.where(~name.startswith(".")).select(F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("arrived"))
 
 
 def refine_arriving(documents: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
