@@ -432,3 +432,87 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("w.start").alias("began"), "last", "events")
 
 
+
+
+@query(
+    r"""WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+s AS (SELECT *, trim(raw) AS s FROM line),
+f AS (SELECT *, regexp_matches(s, '^(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\||!\[|\[\^[^\]]+\]:)') OR (s[1] = '<' AND NOT regexp_matches(s, '^</?(?:sup|sub|i|b|em|strong|a|span|math)\b')) AS block, lag(s) OVER w AS before, lag(raw) OVER w AS behind FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+j AS (SELECT *, before IS NOT NULL AND s <> '' AND before <> '' AND NOT block AND NOT ends_with(before, '\') AND NOT ends_with(behind, '  ') AND NOT regexp_matches(before, '[\p{L}\p{N}_][-\x{2010}\x{2011}]$') AND NOT regexp_matches(before, '^(?:#{1,6}\s|\||!\[)') AS joins FROM f),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS grp, lead(joins) OVER (PARTITION BY doc_id ORDER BY k) AS more FROM j),
+p AS (SELECT doc_id, grp, string_agg(CASE WHEN joins THEN s WHEN more THEN rtrim(raw) ELSE raw END, ' ' ORDER BY k) AS t, CAST(count_if(joins) AS INT) AS n FROM g GROUP BY ALL)
+SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY grp)) AS body, CAST(sum(n) AS INT) AS lines_joined FROM p GROUP BY doc_id"""
+)
+def reflow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole clean documents reflowed."""
+    d = corpus.documents(spark, sf_dir).select("doc_id", F.lit(0).alias("seq"), F.lit(0).alias("page_no"), F.coalesce("text", F.lit("")).alias("body"))
+    return pw.reflow(d).select("doc_id", F.md5("body").alias("body"), "lines_joined")
+
+
+@query(
+    D + r""", whole AS (SELECT doc_id, regexp_replace(string_agg('<!-- page ' || page_no || ' -->' || chr(10) || chr(10) || regexp_replace(body, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY seq), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM damaged GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM whole),
+n AS (SELECT *, TRY_CAST(nullif(regexp_extract(text, '^<!--\s*page\s+(\d+)\s*-->\s*$', 1), '') AS INT) AS own FROM l)
+SELECT doc_id, CAST(line_no AS INT) AS line_no, md5(text) AS text, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS page_no, CAST(length(regexp_extract(text, '^(#{1,6})[ \t]+(.*\S)[ \t]*$', 1)) AS INT) AS level, own IS NOT NULL AS is_anchor FROM n"""
+)
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pg.assemble(pw.stripped(_pages(spark, sf_dir).select("doc_id", "seq", "page_no", "body")))
+    return pg.explode_lines(docs).withColumn("text", F.md5("text"))
+
+
+ORACLES["chapter_levels"] = D + "SELECT doc_id, 1 AS cut_level FROM damaged WHERE page_no % 10 = 0 GROUP BY doc_id HAVING count(*) >= 2"
+
+
+@query(
+    D + """, h AS (SELECT doc_id, page_no, chapter, max(page_no) OVER (PARTITION BY doc_id) AS ends, page_no % 10 = 0 AS opens FROM damaged)
+SELECT doc_id, CAST(page_no // 10 + 1 AS INT) AS n, chapter AS title, CAST(page_no AS INT) AS first_page, CAST(CASE WHEN page_no + 10 > ends THEN ends WHEN (page_no + 10) % 6 <> 5 THEN page_no + 10 ELSE page_no + 9 END AS INT) AS last_page FROM h WHERE opens"""
+)
+def chapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of books whose headings stand on every tenth page, below a running head that ends the chapter before."""
+    return chapters.raw_chapters(_books(spark, sf_dir), most=10**9).select("doc_id", "n", "title", "first_page", "last_page")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source || '_' || upper(lang) || '_' || CASE WHEN doc_id % 3 = 0 THEN 'BT' ELSE 'Title' || doc_id END AS name FROM documents), p AS (SELECT *, string_split(name, '_')[-1] AS last FROM d)
+SELECT doc_id, CASE WHEN length(regexp_replace(last, '[^\\p{L}]', '', 'g')) >= 4 THEN last ELSE name END AS prefix, lpad(CAST(doc_id % 120 AS VARCHAR), CASE WHEN doc_id % 120 >= 100 THEN 3 ELSE 2 END, '0') AS number,
+  CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'p. ' || doc_id ELSE 'pp. ' || doc_id || '–' || (doc_id + 3) END AS label, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  lpad(CAST(doc_id % 9000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(doc_id % 9000 + 9 AS VARCHAR), 4, '0') || '.md' AS chunk FROM p"""
+)
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of books, chapters, pages and chunks."""
+    i = F.col("doc_id")
+    name = F.concat("source", F.lit("_"), F.upper("lang"), F.lit("_"), F.when(i % 3 == 0, "BT").otherwise(F.concat(F.lit("Title"), i.cast("string"))))
+    first, last = F.when(i % 5 != 0, i), F.when(i % 5 != 0, F.when(i % 2 == 0, i).otherwise(i + 3))
+    file = T.chapter_file(F.lit(""), (i % 120).cast("int"), F.lit(""), F.lit(2))
+    return corpus.documents(spark, sf_dir).select(
+        "doc_id", T.book_prefix(name).alias("prefix"), F.trim(F.regexp_replace(file, r"\.md\z", "")).alias("number"), T.page_label(first, last).alias("label"), T.slug(name).alias("slug"),
+        T.chunk_name((i % 9000).cast("int"), (i % 9000 + 9).cast("int")).alias("chunk"),
+    )
+
+
+@query("SELECT p_brand AS provider, list_sort(list(DISTINCT p_name) FILTER (WHERE p_size % 5 <> 0 AND p_size * 500 >= 8000 AND p_size % 7 <> 0)) AS models FROM part GROUP BY p_brand HAVING count_if(p_size % 5 <> 0 AND p_size * 500 >= 8000 AND p_size % 7 <> 0) > 0")
+def model_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of models, made of parts: some inactive, some without text, some with too short answers."""
+    size = F.col("p_size")
+    entry = F.struct(F.col("p_name").alias("id"), (size % 5 != 0).alias("active"), F.when(size % 7 == 0, F.array(F.lit("audio"))).otherwise(F.array(F.lit("text"), F.lit("image"))).alias("input_modalities"), (size * 500).alias("max_completion_tokens"))
+    body = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_brand").alias("provider")).agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("body"))
+    return translation.listed_models(body).where(F.size("models") > 0)
+
+
+@query(
+    """WITH r AS (SELECT user_id AS doc_id, event_id AS at_id, event_type = 'purchase' AS progressed, event_type AS error FROM events), l AS (SELECT *, max(CASE WHEN progressed THEN at_id END) OVER (PARTITION BY doc_id) AS last FROM r)
+SELECT doc_id, count_if(last IS NULL OR at_id > last) AS attempts, coalesce(arg_max(error, at_id) FILTER (WHERE last IS NULL OR at_id > last), '') AS last_error FROM l GROUP BY doc_id"""
+)
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs since the last that progressed, with events as runs."""
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("at"), (F.col("event_type") == "purchase").alias("progressed"), F.col("event_type").alias("error"))
+    return catalog.attempts(runs)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) || ',' || CAST(doc_id AS VARCHAR) || '-' || CAST(doc_id + doc_id % 4 AS VARCHAR) END AS spec, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 4 + 2 END AS n, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id + (doc_id % 4 + 1) * doc_id + (doc_id % 4) * (doc_id % 4 + 1) // 2 END AS total FROM documents")
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of pages as they are asked for."""
+    i = F.col("doc_id")
+    spec = F.when(i % 4 == 0, "").otherwise(F.concat_ws("", i.cast("string"), F.lit(","), i.cast("string"), F.lit("-"), (i + i % 4).cast("string")))
+    d = corpus.documents(spark, sf_dir).select("doc_id", spec.alias("spec")).withColumn("pages", T.page_range(F.col("spec")))
+    return d.select("doc_id", "spec", F.size("pages").cast("long").alias("n"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
