@@ -71,8 +71,8 @@ def clean_title(c: Column) -> Column:
 def markup(c: Column) -> Column:
     """The cross-references that a translation has to keep: sorted note ids and image targets."""
     return F.struct(
-        F.array_sort(F.regexp_extract_all(c, F.lit(r"\[\^([^\]]{1,32})\]"), F.lit(1))).alias("notes"),
-        F.array_sort(F.regexp_extract_all(c, F.lit(P.IMAGE_J), F.lit(1))).alias("images"),
+        F.sort_array(F.regexp_extract_all(c, F.lit(r"\[\^([^\]]{1,32})\]"), F.lit(1))).alias("notes"),
+        F.sort_array(F.regexp_extract_all(c, F.lit(P.IMAGE_J), F.lit(1))).alias("images"),
     )
 
 

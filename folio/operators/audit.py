@@ -56,7 +56,7 @@ def page_issues(pages: DataFrame, witness: DataFrame | None = None) -> DataFrame
 def summary(issues: DataFrame, limit: int = 6) -> DataFrame:
     """(doc_id, strong, weak, shown): counts, and the first issues, strong ones first."""
     order = F.struct((~F.col("strong")).alias("weak"), "page_no", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"))
-    listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), F.col("detail")).alias("t"))))
+    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), F.col("detail")).alias("t"))))
     s = issues.groupBy("doc_id").agg(F.count_if("strong").alias("strong"), F.count_if(~F.col("strong")).alias("weak"), listed.alias("all"))
     return s.select("doc_id", "strong", "weak", F.array_join(F.transform(F.slice("all", 1, limit), lambda x: x["t"]), "; ").alias("shown"))
 

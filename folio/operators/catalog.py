@@ -59,7 +59,7 @@ def log_tail(lines: DataFrame, most: int = 12) -> DataFrame:
 
 def active_runs(commands: DataFrame) -> DataFrame:
     """(pid, pdf, out_dir) of processes by what they work on: (pdf, out_dir, pids)."""
-    return commands.where("pdf is not null").groupBy("pdf", "out_dir").agg(F.array_sort(F.collect_list("pid")).alias("pids"))
+    return commands.where("pdf is not null").groupBy("pdf", "out_dir").agg(F.sort_array(F.collect_list("pid")).alias("pids"))
 
 
 def stalls(events: DataFrame, key: str, seconds: int = P.STALL_SECONDS) -> DataFrame:

@@ -36,7 +36,7 @@ def separator(page_no: Column) -> Column:
 
 def in_order(order: Column, text: Column, between: str) -> Column:
     """Aggregate: texts of a group in order, joined; null texts are left out."""
-    rows = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t")))))
+    rows = F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t")))))
     return F.array_join(F.transform(rows, lambda r: r["t"]), between)
 
 

@@ -51,7 +51,7 @@ def translation_stats(pages: DataFrame) -> DataFrame:
     done = filled(F.col("translated"))
     return pages.groupBy("doc_id").agg(
         F.count("*").alias("pages"), F.count_if(done).alias("pages_translated"), F.count_if(~filled(F.col("body"))).alias("pages_blank"), F.sum(F.when(done, F.char_length("body")).otherwise(0)).alias("chars_in"),
-        F.sum(F.when(done, F.char_length("translated")).otherwise(0)).alias("chars_out"), F.array_sort(F.collect_list(F.when(F.col("drift"), F.col("page_no")))).alias("markup_drift"),
+        F.sum(F.when(done, F.char_length("translated")).otherwise(0)).alias("chars_out"), F.sort_array(F.collect_list(F.when(F.col("drift"), F.col("page_no")))).alias("markup_drift"),
     )
 
 
@@ -68,7 +68,7 @@ def usable_model(m: Column, tokens: int = P.MOST_TOKENS) -> Column:
 def listed_models(answers: DataFrame) -> DataFrame:
     """(provider, body) of model listings to (provider, models): sorted distinct ids of usable models; null where the answer is no listing."""
     data = F.from_json("body", MODELS)["data"]
-    return answers.select("provider", F.array_sort(F.array_distinct(F.transform(F.filter(data, lambda m: usable_model(m)), lambda m: m["id"]))).alias("models"))
+    return answers.select("provider", F.sort_array(F.array_distinct(F.transform(F.filter(data, lambda m: usable_model(m)), lambda m: m["id"]))).alias("models"))
 
 
 ANSWER = "struct<choices: array<struct<message: struct<content: string>, finish_reason: string>>, usage: struct<prompt_tokens: bigint, completion_tokens: bigint>>"

@@ -51,7 +51,7 @@ def refine(docs: DataFrame, outline: DataFrame | None = None, **switches: bool)
 def refine_stats(pages: DataFrame) -> DataFrame:
     """A row for each document: its pages and the sums of the counters that refine_pages left."""
     have = [c for c in COUNTERS if c in pages.columns]
-    extra = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "margins"))), lambda x: x["margins"])).alias("margin_sequence")] if "margins" in pages.columns else []
+    extra = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "margins"))), lambda x: x["margins"])).alias("margin_sequence")] if "margins" in pages.columns else []
     return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in have], *extra)
 
 
