@@ -39,6 +39,7 @@ def damaged_pages(docs: DataFrame) -> DataFrame:
         head,
         when(10, 0, F.concat(F.lit("# "), chapter, F.lit("\n\n"))),
         F.when(n % 4 == 2, "so ").otherwise("So "),
+        F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789", "ghijklmnop"), F.lit(" "),  # else the line is a running head
         F.when(n % 2 == 1, "under-\nstanding and ").otherwise("understanding and "),
         F.when(n % 3 == 0, "self-\nevident ").otherwise("self-evident "),
         when(5, 0, F.lit("\ufb01nd\u00a0the co\u00adop\u200bs cafe\u0301 ")),
@@ -91,7 +92,7 @@ WITH page AS (
   SELECT doc_id, page_no AS seq, page_no, id, clean, chapter,
     CASE WHEN page_no % 6 <> 5 THEN CAST(page_no + 1 AS VARCHAR) || '  A Placeholder Title  II. ' || CAST(page_no % 3 AS VARCHAR) || chr(10) ELSE '' END
     || CASE WHEN page_no % 10 = 0 THEN '# ' || chapter || chr(10) || chr(10) ELSE '' END
-    || CASE WHEN page_no % 4 = 2 THEN 'so ' ELSE 'So ' END
+    || CASE WHEN page_no % 4 = 2 THEN 'so ' ELSE 'So ' END || translate(substr(md5(CAST(id AS VARCHAR)), 1, 8), '0123456789', 'ghijklmnop') || ' '
     || CASE WHEN page_no % 2 = 1 THEN 'under-' || chr(10) || 'standing and ' ELSE 'understanding and ' END
     || CASE WHEN page_no % 3 = 0 THEN 'self-' || chr(10) || 'evident ' ELSE 'self-evident ' END
     || CASE WHEN page_no % 5 = 0 THEN chr(64257) || 'nd' || chr(160) || 'the co' || chr(173) || 'op' || chr(8203) || 's cafe' || chr(769) || ' ' ELSE '' END
