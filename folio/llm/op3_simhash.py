@@ -40,6 +40,8 @@ TRIPLES = tuple(combinations(range(6), 3))
 SMALL = 48
 #: Pairs compared at once.
 PAIRS = 1 << 18
+#: Places in its bucket before which a text is compared first, and the factor of each further round.
+FIRST, STEP = 4, 8
 #: Rows gathered before their buckets are compared.
 HELD = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -169,8 +171,8 @@ def block_key(fp: Column, triple: int) -> Column:
     return key
 
 
-def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS, tight: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Links (two arrays of nodes, distances) in whole buckets, sorted by key: all within the radius in small ones; in large ones a spanning set of those within the tight radius, their distances left at 0."""
+def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (two arrays of nodes, distances) in whole buckets, sorted by key: all within the radius in small ones; in large ones a spanning set of those, their distances left at 0."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     start, size = edge[:-1], np.diff(edge)
     for n in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
@@ -183,48 +185,51 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADI
             a, b = a[hit], b[hit]
             yield node[a], node[b], np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int64)
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        a, b = spread(fp[s : s + n], tight)
+        a, b = spread(fp[s : s + n], radius)
         yield node[s + a], node[s + b], np.zeros(len(a), np.int64)
 
 
-def bucket_links(keyed: DataFrame, radius: int, tight: int) -> DataFrame:
-    """keyed (key, node, fp: long, or binary of several 64-bit words) to links (u, v, distance), see _links."""
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by key, their first, in parts of whole buckets; fp as 64-bit words."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = []
+        for name, c in zip(b.schema.names, b.columns):
+            c = np.frombuffer(b"".join(c.to_pylist()), np.uint64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+            cols.append(c.view(np.uint64).reshape(b.num_rows, -1) if name == "fp" else c)
+        held.append(cols)
+        rows += b.num_rows
+        if rows < HELD or held[0][0][0] == cols[0][-1]:  # few yet, or one bucket that has not ended
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
+        last = np.searchsorted(cols[0], cols[0][-1])
+        yield [x[:last] for x in cols]
+        held, rows = [[x[last:] for x in cols]], len(cols[0]) - int(last)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """keyed (key, node, fp long) to links (u, v), see _links."""
     tune(keyed.sparkSession)
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        rows = 0
-
-        def out(key, fp, node):
-            got = list(_links(key, fp, node, radius, tight))
+        for key, fp, node in whole_buckets(batches):
+            got = list(_links(key, fp, node, radius))
             if got:
-                u, v, d = (np.concatenate(x) for x in zip(*got))
-                pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v), d]), axis=1)
-                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1], "distance": pairs[2]})
+                u, v, _ = (np.concatenate(x) for x in zip(*got))
+                pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"u": pairs[0], "v": pairs[1]})
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, node = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "node"))
-            fp = b.column("fp")
-            fp = np.frombuffer(b"".join(fp.to_pylist()), np.uint64) if pa.types.is_binary(fp.type) else fp.to_numpy(zero_copy_only=False).view(np.uint64)
-            held.append([key, fp.reshape(b.num_rows, -1), node])
-            rows += b.num_rows
-            if rows < HELD or held[0][0][0] == key[-1]:  # few yet, or one bucket that has not ended
-                continue
-            cols = [np.concatenate(x) for x in zip(*held)]
-            last = np.searchsorted(cols[0], cols[0][-1])
-            yield from out(*(x[:last] for x in cols))
-            held, rows = [[x[last:] for x in cols]], len(cols[0]) - int(last)
-        if held:
-            yield from out(*(np.concatenate(x) for x in zip(*held)))
-
-    return keyed.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, distance long")
+    return keyed.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """nodes (fp, node), fingerprints distinct, to links (u, v) whose components are those of all pairs within the radius."""
-    return bucket_links(nodes.select("fp", "node", F.explode(F.array(*[block_key(F.col("fp"), k) for k in range(len(TRIPLES))])).alias("key")), RADIUS, RADIUS)
+    return bucket_links(nodes.select("fp", "node", F.explode(F.array(*[block_key(F.col("fp"), k) for k in range(len(TRIPLES))])).alias("key")), RADIUS)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -248,7 +253,7 @@ class Wide:
         # sets of equal size and that similarity are at this angle: the mean of their distances, and the deviation
         share = math.acos(2 * similarity / (1 + similarity)) / math.pi
         mean, one = self.BITS * share, math.sqrt(self.BITS * share * (1 - share))
-        self.sure, self.tight, self.radius = int(mean - 2 * one), int(mean + 0.75 * one), int(mean + 2.5 * one)
+        self.radius = int(mean + 2.5 * one)
         rng = np.random.default_rng(SEED)
         self.odd = rng.integers(1, 1 << 63, self.BANDS * self.ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(1, 1 << 63, self.BITS // 64, dtype=np.uint64)
@@ -262,8 +267,17 @@ class Wide:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.similarity * (len(a) + len(b) - both)
 
-    def print(self, text: str) -> tuple[bytes, bytes, list[int]]:
-        """Digest of the words, fingerprint, keys of the bands."""
+    def maybe(self, fp: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows can be as similar as asked, by the sizes of their sets and their fingerprints."""
+        fine = np.minimum(size[a], size[b]) >= self.similarity * np.maximum(size[a], size[b])
+        at = np.flatnonzero(fine)
+        for k in range(0, len(at), 1 << 16):
+            i = at[k : k + (1 << 16)]
+            fine[i] = np.bitwise_count(fp[a[i]] ^ fp[b[i]]).sum(axis=1, dtype=np.int64) <= self.radius
+        return fine
+
+    def print(self, text: str) -> tuple[bytes, bytes, int, list[int]]:
+        """Digest of the words, fingerprint, size of the set, keys of the bands."""
         words = text.encode().lower().split()
         joined = xxhash.xxh3_128_digest(b" ".join(words))
         h = self.hashes(words)
@@ -278,7 +292,60 @@ class Wide:
             ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
         fp = np.packbits(2 * ones > len(h), bitorder="little").tobytes()
         bands = least.reshape(self.BANDS, -1)
-        return joined, fp, [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
+        return joined, fp, len(h), [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
+
+
+def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, first: int, last: int, wide: Wide) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (two arrays of nodes) of different groups that may be similar, in whole buckets, sorted by key and node: each row with those from first to last (excluded) places away, the bucket being a ring."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    n = np.diff(edge)
+    start, count, of = np.repeat(edge[:-1], n), np.repeat(n, n), np.repeat(np.arange(len(n)), n)
+    # rows of a bucket's largest group need no comparing among themselves
+    order = np.lexsort((group, of))
+    run = np.flatnonzero(np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(group[order]) != 0), [True]]))
+    by = np.lexsort((np.diff(run), of[order[run[:-1]]]))
+    largest = np.zeros(len(n), np.int64)
+    largest[of[order[run[by]]]] = group[order[run[by]]]  # the last of a bucket is its largest
+    out = group != largest[of]
+    rows = np.flatnonzero(out)
+    for k in range(first, min(last, int(n.max()) // 2 + 1)):
+        rows = rows[count[rows] >= 2 * k]
+        here = rows - start[rows]
+        ahead, back = start[rows] + (here + k) % count[rows], start[rows] + (here - k) % count[rows]
+        once = ~out[back]  # else that row looks ahead to this one
+        a, b = np.concatenate([rows, rows[once]]), np.concatenate([ahead, back[once]])
+        differ = group[a] != group[b]
+        a, b = a[differ], b[differ]
+        near = wide.maybe(fp, size, a, b)
+        yield np.maximum(node[a[near]], node[b[near]]), np.minimum(node[a[near]], node[b[near]])
+
+
+def _candidates(rows: DataFrame, first: int, last: int, wide: Wide) -> DataFrame:
+    """rows (key, node, fp binary, size, group) to pairs (u, v), see _ring; and, with no pair, the keys of the buckets that the ring has more of."""
+
+    def run(batches):
+        for key, node, fp, size, group in whole_buckets(batches):
+            for u, v in _gathered(_ring(key, node, fp, size, group, first, last, wide)):
+                pairs = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["u", "v", "key"])
+            keys, n = np.unique(key, return_counts=True)
+            keys = keys[n >= 2 * last]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64())] * 2 + [pa.array(keys)], names=["u", "v", "key"])
+
+    return rows.select("key", "node", "fp", "size", "group").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, key long")
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same pairs in fewer parts."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, wide: Wide) -> DataFrame:
@@ -302,12 +369,14 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Copies so far apart differ in too many bits for buckets of whole blocks, so buckets
     are bands of minimal hashes (two sets of similarity 0.8 share one of the 25 with a
-    chance of 0.99999), and the bit-sliced comparison is on 512 bits, which tell
-    similarities to about 0.03. Pairs that are surely similar are linked; those that
-    may be are compared by their shingles. In buckets of more than SMALL different
-    texts, where pairs would be too many, the fingerprint alone decides. Texts of equal
-    words meet first, by their digest. Rows with a null id get the component of equal
-    texts that have ids, else none.
+    chance of 0.99999). Of a bucket's pairs those that may be similar by their sizes and
+    512-bit fingerprints are compared by their shingles, and only what these say links
+    them, whatever the bucket's size. Pairs that are linked through others need no
+    comparing: each text is first compared with those less than FIRST places away in its
+    bucket, then, where a bucket is not yet in one group, with those STEP times as far
+    away that are in other groups, and so on until all are. Texts of equal words meet
+    first, by their digest. Rows with a null id get the component of equal texts that
+    have ids, else none.
     """
     wide = Wide(shingle, similarity)
     tune(docs.sparkSession)
@@ -315,14 +384,24 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for b in batches:
             texts = b.column("text")
-            same, fp, bands = zip(*(wide.print(texts[k].as_py()) for k in range(b.num_rows))) if b.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "fp", "bands"])
-
-    prints = cut(plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fp binary, bands array<long>"))
-    nodes = cut(prints.where("doc_id is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "bands"), "doc_id").alias("n")).select("same", F.col("n.doc_id").alias("node"), "n.fp", "n.bands"))
-    near = cut(bucket_links(nodes.select("node", "fp", F.explode("bands").alias("key")), wide.radius, wide.tight).groupBy("u", "v").agg(F.min("distance").alias("distance")))
-    linked = near.where(F.col("distance") <= wide.sure).select("u", "v").union(_alike(near.where(F.col("distance") > wide.sure), plain(docs, id_col, text_col), wide))
-    found = components(linked)
+            same, fp, size, bands = zip(*(wide.print(texts[k].as_py()) for k in range(b.num_rows))) if b.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "fp", "size", "bands"])
+
+    prints = cut(plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fp binary, size long, bands array<long>"))
+    nodes = cut(prints.where("doc_id is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "size", "bands"), "doc_id").alias("n")).select("same", F.col("n.doc_id").alias("node"), "n.fp", "n.size", "n.bands"))
+    keyed = nodes.select("node", "fp", "size", F.explode("bands").alias("key"))
+    near, first, last = cut(_candidates(keyed.withColumn("group", F.col("node")), 1, FIRST, wide)), FIRST, FIRST * STEP
+    found = components(_alike(near.where("u is not null").select("u", "v").distinct(), plain(docs, id_col, text_col), wide))
+    keyed = cut(keyed.join(near.where("key is not null").select("key"), "key", "left_semi"))  # rows of the larger buckets
+    while True:
+        rows = keyed.join(found, F.col("node") == F.col("u"), "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("group"))
+        apart = cut(rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("n")).where((F.col("a") < F.col("b")) & (F.col("n") >= 2 * first)).select("key"))
+        if apart.isEmpty():
+            break
+        near = cut(_candidates(rows.join(apart, "key", "left_semi"), first, last, wide))
+        more = _alike(near.where("u is not null").select("u", "v").distinct(), plain(docs, id_col, text_col), wide)
+        found = components(found.select("u", F.col("component").alias("v")).union(more))
+        first, last = last, last * STEP
     labels = nodes.join(found, F.col("node") == F.col("u"), "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", "same").join(labels, "same", "left").select("doc_id", "component_id")
 

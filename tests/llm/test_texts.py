@@ -188,6 +188,15 @@ def test_near_copies(spark, docs, empty):
     assert op3.near_copies(empty).count() == 0
 
 
+def test_near_copies_in_large_buckets_are_exact(spark):
+    """Shared beginnings of 160 shingles and own ends: of 20 words each pair has a similarity of exactly 0.8, of 23 words 0.777."""
+    base = [prose(7, 400), prose(8, 400)]
+    start = [[f"{w}{k}" for k, w in enumerate(b.split()[:164])] for b in base]
+    texts = [(1000 * g + k, " ".join([*start[g], *(f"own{k}x{j}" for j in range(own))])) for g, own in enumerate((20, 23)) for k in range(70)]
+    got = {x["doc_id"]: x["component_id"] for x in op3.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 1000 else i for i, _ in texts}
+
+
 def test_every_near_pair_shares_a_bucket(spark):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, 200, dtype=np.uint64)
