@@ -197,6 +197,17 @@ def test_near_copies_in_large_buckets_are_exact(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in texts}
 
 
+def test_near_copies_of_few_words(spark):
+    """8 words and one more (4 shingles of 5), 16 and three more (12 of 15): exactly 0.8."""
+    texts = []
+    for k in range(120):
+        words = [f"w{k}x{j}" for j in range(8 if k % 2 else 16)]
+        more = [f"m{k}x{j}" for j in range(1 if k % 2 else 3)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + more))]
+    got = {x["doc_id"]: x["component_id"] for x in op3.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in texts}
+
+
 def test_every_near_pair_shares_a_bucket(spark):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, 200, dtype=np.uint64)
