@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, plain, read, tune
+from .common import cut, plain, read, scratch, tune
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -324,16 +324,16 @@ def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, g
 
 
 def _candidates(rows: DataFrame, first: int, last: int, wide: Wide) -> DataFrame:
-    """rows (key, node, fp binary, size, group) to pairs (u, v), see _ring; and, with no pair, the keys of the buckets that the ring has more of."""
+    """rows (key, node, fp binary, size, group) to pairs (u, v), see _ring; and, with v null, the rows (key, u) of the buckets that the ring has more of."""
 
     def run(batches):
         for key, node, fp, size, group in whole_buckets(batches):
             for u, v in _gathered(_ring(key, node, fp, size, group, first, last, wide)):
                 pairs = np.unique(np.stack([u, v]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["u", "v", "key"])
-            keys, n = np.unique(key, return_counts=True)
-            keys = keys[n >= 2 * last]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64())] * 2 + [pa.array(keys)], names=["u", "v", "key"])
+            _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+            more = n[of] >= 2 * last
+            yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(key[more])], names=["u", "v", "key"])
 
     return rows.select("key", "node", "fp", "size", "group").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, key long")
 
@@ -351,24 +351,29 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, wide: Wide) -> DataFrame:
-    """Pairs (u, v) whose texts are as similar as asked."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    # of rows with equal ids one stands for all
-    texts = docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    texts = cut(texts)
+def _alike(pairs: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
+    """Pairs (u, v) whose texts are as similar as asked; texts (node, text), repeated ones repeated."""
+    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "asked")
+    pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().write.parquet(path)
+    asked = spark.read.schema("node long").parquet(path)  # of known size, so Spark broadcasts it if it is small
+    texts = cut(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     def run(batches):
         for b in batches:
             keep = [wide.alike(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose sets of word shingles are at least as similar as asked.
+    """(doc_id, h, component_id, kept) of every row: groups of texts whose sets of word shingles are at least as similar as asked.
+
+    Rows are told apart by id and text (h, its xxhash64), so clashing and null ids do no
+    harm: component_id is the smallest id of the group, null if none of its rows has one,
+    and kept is true for the id and text that stands for the group (smallest id, then
+    hash; null ids last).
 
     Copies so far apart differ in too many bits for buckets of whole blocks, so buckets
     are bands of minimal hashes (two sets of similarity 0.8 share one of the 25 with a
@@ -376,12 +381,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     FEW shingles on, by their 512-bit fingerprints are compared by their shingles, and
     only what these say links them, whatever the bucket's size. The fingerprints' limit
     is seven deviations above the mean distance at the similarity asked, so it loses
-    about one pair in 10^11 and the chance of a common bucket is that of a link. Pairs that are linked through others need no
+    about one pair in 10^10 and the chance of a common bucket is that of a link. Pairs that are linked through others need no
     comparing: each text is first compared with those less than FIRST places away in its
     bucket, then, where a bucket is not yet in one group, with those STEP times as far
     away that are in other groups, and so on until all are. Texts of equal words meet
-    first, by their digest. Rows with a null id get the component of equal texts that
-    have ids, else none.
+    first, by their digest.
     """
     wide = Wide(shingle, similarity)
     tune(docs.sparkSession)
@@ -390,25 +394,30 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             texts = b.column("text")
             same, fp, size, bands = zip(*(wide.print(texts[k].as_py()) for k in range(b.num_rows))) if b.num_rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "same", "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "same", "fp", "size", "bands"])
 
-    prints = cut(plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, same binary, fp binary, size long, bands array<long>"))
-    nodes = cut(prints.where("doc_id is not null").groupBy("same").agg(F.min_by(F.struct("doc_id", "fp", "size", "bands"), "doc_id").alias("n")).select("same", F.col("n.doc_id").alias("node"), "n.fp", "n.size", "n.bands"))
+    docs = plain(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    texts = docs.select(F.col("h").alias("node"), "text")
+    prints = cut(docs.mapInArrow(run, "doc_id long, h long, same binary, fp binary, size long, bands array<long>"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    nodes = cut(prints.groupBy("same").agg(F.min_by(F.struct("h", "fp", "size", "bands"), "h").alias("n"), F.min(row).alias("first")).select("same", F.col("n.h").alias("node"), "n.fp", "n.size", "n.bands", "first"))
     keyed = nodes.select("node", "fp", "size", F.explode("bands").alias("key"))
     near, first, last = cut(_candidates(keyed.withColumn("group", F.col("node")), 1, FIRST, wide)), FIRST, FIRST * STEP
-    found = components(_alike(near.where("u is not null").select("u", "v").distinct(), plain(docs, id_col, text_col), wide))
-    keyed = cut(keyed.join(near.where("key is not null").select("key"), "key", "left_semi"))  # rows of the larger buckets
+    found = components(_alike(near.where("v is not null").select("u", "v").distinct(), texts, wide))
     while True:
-        rows = keyed.join(found, F.col("node") == F.col("u"), "left").select("key", "node", "fp", "size", F.coalesce("component", "node").alias("group"))
-        apart = cut(rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("n")).where((F.col("a") < F.col("b")) & (F.col("n") >= 2 * first)).select("key"))
-        if apart.isEmpty():
+        rows = near.where("v is null").select("key", F.col("u").alias("node")).join(found, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+        apart = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
+        rows = cut(rows.join(apart, "key", "left_semi"))
+        if rows.isEmpty():
             break
-        near = cut(_candidates(rows.join(apart, "key", "left_semi"), first, last, wide))
-        more = _alike(near.where("u is not null").select("u", "v").distinct(), plain(docs, id_col, text_col), wide)
+        near = cut(_candidates(rows.join(nodes.select("node", "fp", "size"), "node"), first, last, wide))
+        more = _alike(near.where("v is not null").select("u", "v").distinct(), texts, wide)
         found = components(found.select("u", F.col("component").alias("v")).union(more))
         first, last = last, last * STEP
-    labels = nodes.join(found, F.col("node") == F.col("u"), "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "same").join(labels, "same", "left").select("doc_id", "component_id")
+    grouped = cut(nodes.join(found, F.col("node") == F.col("u"), "left").select("same", "first", F.coalesce("component", "node").alias("group")))
+    labels = grouped.join(grouped.groupBy("group").agg(F.min("first").alias("head")), "group").select("same", "head")
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))
+    return prints.select("doc_id", "h", "same").join(labels, "same", "left").select("doc_id", "h", F.col("head.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

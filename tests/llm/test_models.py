@@ -270,3 +270,13 @@ def test_pipeline(spark, spoken, rude, tmp_path):
     assert Counter(kept["near_duplicates"]) == Counter([*range(60), None])  # 100 and 104 are copies, 103 is a near copy
     assert len(kept["encoding"]) == len(kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_near_duplicates_with_clashing_and_null_ids(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (prose(70 + k, 80) for k in range(4))
+    rows = [(1, one), (5, one), (5, two), (5, two), (7, two + " more"), (None, three), (None, three), (None, three + " more"), (None, one), (9, four), (None, four)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 4 and {(1, one), (5, two), (9, four)} < set(got) and [t[: len(three)] for i, t in got if i is None] == [three]
