@@ -1,19 +1,21 @@
 """Global shuffle of distinct words, with positions.
 
-Documents are parsed in blocks. A block sends to each word bucket one packed
-row: its distinct words there, in order, and for each occurrence its position
-in the block and its word. A bucket gathers the rows of all blocks, works out
-one value for each distinct word of the corpus, and sends each block the values
-in the block's order together with the positions. A block then puts its
-documents together again by position.
+Documents are parsed in blocks. A block sends to each word bucket two packed
+rows: its distinct words there, in order; and for each occurrence its position in
+the block and its word. A bucket lets the second kind pass, holds the first
+(packed) until all blocks' are there, works out one value for each distinct word
+of the corpus, and sends each block the values in the block's order. A block then
+puts its documents together again by position.
 
 So a word crosses the network once for each block, not once for each
 occurrence; no group is larger than a block or a bucket's share of the
 vocabulary, and a very frequent word is one entry in a block. The rows are
-zstd frames, of the order of 1.5 bytes for an occurrence.
+zstd frames, of the order of 1.5 bytes for an occurrence. The number of buckets
+follows the bytes of text, so that what a task reads does not grow with them.
 
 The input has to give the same rows if a task is run again (a file scan or a
-checkpoint): blocks are numbered by partition and order.
+checkpoint): blocks are numbered by partition and order. A block whose parts do
+not fit together is an error, never a wrong result.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 30 << 20
+#: Bytes of text in a block; a longer document is a block of its own. A document without text counts as EACH bytes.
+BLOCK_BYTES, EACH = 30 << 20, 64
+#: Bytes of text for each word bucket, and most buckets.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4096
 
 #: Stands for the block in a bucket's own rows.
 SUMMARY = -1
@@ -131,6 +136,7 @@ class _Block:
             words = split(text)
             self.ids.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
             self.bytes += len(text)
+        self.bytes += EACH
         self.docs.append(doc_id)
         self.of.append(k)
         self.marks.append(mark)
@@ -162,7 +168,8 @@ class _Block:
                 continue
             pos, mine = by[edge[b] : edge[b + 1]], ordered[first[b] : first[b + 1]]
             more = [] if weights is None else narrow(weights[mine])
-            yield {"bucket": b, "block": number, "words": pack(*pack_words([words[i] for i in mine]), *more, level=9), "post": pack(*narrow(np.diff(pos, prepend=0)), *narrow(rank[ids[pos]] - first[b])), "meta": None}
+            yield {"bucket": b, "block": number, "words": pack(*pack_words([words[i] for i in mine]), *more, level=9), "post": None, "meta": None}
+            yield {"bucket": b, "block": number, "words": None, "post": pack(*narrow(np.diff(pos, prepend=0)), *narrow(rank[ids[pos]] - first[b])), "meta": None}
         meta = pack(*Documents(self.docs, np.array(self.of), np.array(self.marks), sizes).parts())
         yield {"bucket": number % buckets, "block": number, "words": None, "post": None, "meta": meta}
 
@@ -176,10 +183,9 @@ def blocks(docs: DataFrame, split: Callable[[str], list], raw: Callable, buckets
 
         def flush():
             nonlocal block, count
-            rows = list(block.rows(base + count, buckets, raw))
+            number, full = base + count, block
             count, block = count + 1, _Block(mark is not None)
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 64], _ROW)
+            yield from batched(full.rows(number, buckets, raw), _ROW)
 
         for batch in batches:
             texts = batch.column("text")
@@ -194,25 +200,65 @@ def blocks(docs: DataFrame, split: Callable[[str], list], raw: Callable, buckets
     return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
 
-def values(rows: DataFrame, value: Callable[[list[list[bytes]], list], Iterator[list]]) -> DataFrame:
-    """One call of value for each bucket: the word lists of all blocks and their weights, to an iterator over what each block gets for its list (parts to be packed); what it gives further becomes rows of block SUMMARY."""
+def buckets_for(docs: DataFrame) -> int:
+    """A number of word buckets that follows the bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(8, -(-size // BUCKET_BYTES)))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        mine = [r for r in rows if r["words"] is not None]
-        lists, weights = [], []
-        for r in mine:
-            parts = unpack(r["words"])
-            lists.append(unpack_words(*parts[:3]))
-            weights.append(widen(*parts[3:5]) if len(parts) > 3 else None)
-            r["words"] = None
-        got = value(lists, weights)
-        for r, parts in zip(mine, got):
-            r["words"] = pack(*parts, level=9)
-        rows += ({"bucket": rows[0]["bucket"], "block": SUMMARY, "meta": pack(*parts)} for parts in got)
-        return pa.Table.from_pylist(rows, _ROW)
-
-    return rows.groupBy("bucket").applyInArrow(run, ROW)
+
+class Lists:
+    """(words, weights or None) of each block, opened anew in each pass so that one block's are in memory at a time."""
+
+    def __init__(self, frames: list[bytes]):
+        self.frames = frames
+
+    def __iter__(self) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
+        for frame in self.frames:
+            parts = unpack(frame)
+            yield unpack_words(*parts[:3]), widen(*parts[3:5]) if len(parts) > 3 else None
+
+
+def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of binary values in batches of about so many bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 64 + sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def values(rows: DataFrame, value: Callable[[Lists], Iterator[list]]) -> DataFrame:
+    """One call of value for each bucket: the word lists and weights of all blocks, to an iterator over what each block gets for its list (parts to be packed); what it gives further becomes rows of block SUMMARY. Other rows pass."""
+
+    def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[dict]:
+        got = value(Lists([w for _, w in held]))
+        for (block, _), parts in zip(held, got):
+            yield {"bucket": bucket, "block": block, "words": pack(*parts, level=9)}
+        for parts in got:
+            yield {"bucket": bucket, "block": SUMMARY, "meta": pack(*parts)}
+
+    def run(batches):
+        bucket, held = None, []
+        for b in batches:
+            mine = b.column("words").is_valid()
+            others = b.filter(pc.invert(mine))
+            if others.num_rows:
+                yield others
+            b = b.filter(mine)
+            for at, block, words in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("words").to_pylist()):
+                if at != bucket and held:
+                    yield from batched(answers(bucket, held), _ROW)
+                    held = []
+                bucket = at
+                held.append((block, words))
+        if held:
+            yield from batched(answers(bucket, held), _ROW)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
 
 
 class Parts:
@@ -228,15 +274,20 @@ class Parts:
 
 
 def assemble(rows: DataFrame, whole: Callable, schema: str) -> DataFrame:
-    """One call of whole for each block: its documents and its Parts, to the result's columns. Positions run through the block's texts."""
+    """One call of whole for each block: its number, documents and Parts, to the result's columns. Positions run through the block's texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, parts = None, []
+        docs, words, posts = None, {}, {}
         for r in table.select(["bucket", "words", "post", "meta"]).to_pylist():
             if r["meta"] is not None:
                 docs = Documents.read(unpack(r["meta"]))
             else:
-                parts.append((r["bucket"], r["words"], r["post"]))
-        return whole(docs, Parts(parts))
+                where, what = (words, r["words"]) if r["post"] is None else (posts, r["post"])
+                if r["bucket"] in where:
+                    raise RuntimeError("a part of a block came twice: the input changed while it was read; cut its lineage")
+                where[r["bucket"]] = what
+        if docs is None or words.keys() != posts.keys():
+            raise RuntimeError("a block lacks parts: the input changed while it was read; cut its lineage")
+        return whole(table.column("block")[0].as_py(), docs, Parts([(k, words[k], posts[k]) for k in sorted(words)]))
 
     return rows.groupBy("block").applyInArrow(run, schema)

@@ -2,8 +2,8 @@
 
 Every text is cut into pre-tokens; the distinct ones meet in buckets by hash,
 each is encoded once, and its ids go back to the positions it came from
-(:mod:`exchange`). Decoding gathers the bytes of each id from the vocabulary's
-token table, which is a file of fixed size and so is opened by each worker.
+(:mod:`exchange`). Decoding joins ids to the vocabulary's token-byte table, which
+is a file of fixed size: each worker holds it, and the join is a gather by id.
 
 Null texts are empty; an empty text has no ids. Repeated rows give repeated
 results. Rows with a null id are kept. Special tokens never occur.
@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exchange
-from .common import plain, read, tune, width
+from .common import plain, read, tune
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _loaded: dict = {}
@@ -68,12 +68,13 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     tune(spark)
     path = path or public_tokenizers.path(VOCABULARY)
-    rows = exchange.blocks(plain(docs, id_col, text_col), _words(public_tokenizers.PATTERN), str.encode, buckets or width(spark))
+    docs = plain(docs, id_col, text_col)
+    rows = exchange.blocks(docs, _words(public_tokenizers.PATTERN), str.encode, buckets or exchange.buckets_for(docs))
 
-    def value(lists, weights):
+    def value(lists):
         e, own, store, starts, sizes = encoding(path), {}, [], [], []
         at = 0
-        for words in lists:
+        for words, _ in lists:
             for w in words:
                 if w not in own:
                     own[w] = len(starts)
@@ -83,11 +84,11 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
                     sizes.append(len(got))
                     at += len(got)
         flat, starts, sizes = np.array(store, np.uint32), np.array(starts, np.int64), np.array(sizes, np.int64)
-        for words in lists:
+        for words, _ in lists:
             k = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
             yield [*exchange.narrow(sizes[k]), exchange.short(flat[exchange.ragged(starts[k], sizes[k])])]
 
-    def whole(docs, parts):
+    def whole(_, docs, parts):
         per = np.zeros(int(docs.sizes.sum()), np.int32)
         for _, pos, word, got in parts:
             per[pos] = exchange.widen(*got[:2])[word]
