@@ -4,18 +4,25 @@ A text's tokens are its words in lower case (A-Z) and one end. Their training
 counts come from the global shuffle of distinct words (:mod:`exchange`) and give
 the base model, P0(w) = (c + 0.1) / (N + 0.1 (V + 1)).
 
-The tree's alphabet is bounded: a word with at least a thousandth of all
-training tokens is a symbol of its own (so there are at most 1,000), any other
-belongs to one of 256 classes by its last bytes. A state is a run of up to two
-symbols before a token. It is kept if it has at least a thousandth of all
-training tokens and its next symbols differ from those of its parent (the run
-without its first symbol) by a likelihood-ratio test; its distribution is
-smoothed towards the parent's. A token is scored in the longest state kept:
+The tree's alphabet is bounded: the OWN most frequent words are symbols of their
+own, any other belongs to one of 256 classes by its last bytes. A state is a run
+of up to DEPTH symbols before a token. It is kept if it occurs at least STATE
+times in the training texts and its next symbols differ from those of its parent
+(the longest state kept that is a suffix of the run) by a likelihood-ratio test;
+its distribution is smoothed towards the parent's. A token is scored in the
+longest state kept:
 
     P(w | state) = P(symbol of w | state) * P0(w) / P0(symbol of w)
 
-where a class has the mass of its known words and of one unknown word. So the
-states are bounded in number while the counts grow with the corpus.
+where a class has the mass of its known words and of one unknown word. STATE is a
+count, not a share, so the states grow with the corpus.
+
+States of one symbol are a table of bounded size, which every task holds. Longer
+ones never reach the driver: each block of texts sends its distinct runs of
+DEPTH + 1 symbols, once with their number, to a bucket by the last two symbols of
+the context. A bucket so has all that its states need, deepens them step by step,
+and sends back one number for each run, in the block's order. The number of
+buckets follows the number of tokens.
 
 Nulls are empty texts (one token, the end). A row with a null id counts as held
 out. Repeated rows are scored, and counted, as often as they occur. Without
@@ -25,27 +32,35 @@ training tokens every probability is that of one unknown word.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
-from .common import plain, read, scratch, tune, width
-
-#: Share of training tokens that a word needs to be a symbol, and a run to be a state: one in so many.
-ONE_IN = 1000
-CLASSES = 256
-#: Bytes at a word's end that choose its class.
-TAIL = 3
+from .common import plain, read, scratch, tune
+
+#: Words that are symbols of their own, at most; classes of the others; bytes at a word's end that choose its class.
+OWN, CLASSES, TAIL = 1700, 256, 3
+#: The symbol before a text, and what is before that.
+START, NONE = CLASSES + OWN, CLASSES + OWN + 1
+#: Bits of a symbol, and the longest context.
+BITS, DEPTH = 11, 4
+MASK = (1 << BITS) - 1
 ADD = 0.1
+#: Least occurrences of a state.
+STATE = 32
 #: Tokens' worth of the parent's distribution in a state's.
 PRIOR = 20.0
 #: Least divergence from the parent in nats a token, and deviations by which the test statistic must exceed its mean.
 LEAST, DEVIATIONS = 0.002, 4.0
+#: Tokens whose runs are sent together, and tokens for each bucket of runs.
+STEP, BUCKET_TOKENS = 1 << 20, 2 << 20
 
-SEQUENCES = "meta binary, symbols binary, sums binary, known binary"
-START = CLASSES + ONE_IN  # the symbol before a text
+SEQUENCES = "block long, meta binary, symbols binary, sums binary, known binary"
+RUNS = "bucket int, block long, step int, runs binary"
+_RUNS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("step", pa.int32()), ("runs", pa.binary())])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -64,31 +79,30 @@ def held_out(doc_id: int | None, modulus: int) -> bool:
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """Packed rows with, for each word of a block, its training count and its tag: class + CLASSES * (rank among the bucket's most frequent, from 1; or 0). Summary rows hold the bucket's counts and kinds by class, and its most frequent words' ranks and counts."""
+    """Packed rows with, for each word of a block, its training count and its tag: class + CLASSES * (rank among the bucket's OWN most frequent, from 1; or 0). Summary rows hold the bucket's counts and kinds by class, and its most frequent words' counts and classes."""
 
-    def value(lists, weights):
+    def value(lists):
         total: dict[bytes, int] = {}
-        for words, w in zip(lists, weights):
+        for words, w in lists:
             for word, n in zip(words, w.tolist()):
                 total[word] = total.get(word, 0) + n
-        least = sum(total.values()) / ONE_IN
-        top = sorted((w for w, n in total.items() if n and n >= least), key=lambda w: (-total[w], w))[:ONE_IN]
+        top = sorted((w for w, n in total.items() if n), key=lambda w: (-total[w], w))[:OWN]
         rank = {w: k for k, w in enumerate(top, 1)}
-        tag = {w: class_of(w) + CLASSES * rank.get(w, 0) for w in total}
-        for words in lists:
-            n, tags = (np.fromiter(map(f.__getitem__, words), np.int64, len(words)) for f in (total, tag))
+        for words, _ in lists:
+            n = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+            tags = np.fromiter((class_of(w) + CLASSES * rank.get(w, 0) for w in words), np.int64, len(words))
             yield [*exchange.narrow(n), *exchange.narrow(tags)]
         by = np.zeros((2, CLASSES), np.int64)
         for w, n in total.items():
             if n:
-                by[:, tag[w] % CLASSES] += (n, 1)
-        yield [by, np.array([total[w] for w in top], np.int64), np.array([tag[w] % CLASSES for w in top], np.int64)]
+                by[:, class_of(w)] += (n, 1)
+        yield [by, np.array([total[w] for w in top], np.int64), np.array([class_of(w) for w in top], np.int64)]
 
     return exchange.values(rows, value)
 
 
 class Vocabulary:
-    """What the symbols need: the size of the training text, the frequent words by (bucket, rank), and P0 of each symbol. At most 1,256 entries."""
+    """What the symbols need: the size of the training text, the frequent words by (bucket, rank), and P0 of each symbol. At most CLASSES + OWN entries."""
 
     def __init__(self, summaries: DataFrame):
         def run(batches):
@@ -105,11 +119,9 @@ class Vocabulary:
         for k, a, b in classes:
             n[k], kinds[k] = a, b
         self.tokens, self.kinds = int(n.sum()), int(kinds.sum())
-        top = found.where((F.col("bucket") >= 0) & (F.col("n") * ONE_IN >= F.lit(self.tokens))).collect()
+        top = found.where("bucket >= 0").orderBy(F.desc("n"), "bucket", "rank").limit(OWN).collect()
         found.unpersist()
-        top.sort(key=lambda r: (-r["n"], r["bucket"], r["rank"]))
         self.symbol = {(r["bucket"], r["rank"]): CLASSES + k for k, r in enumerate(top)}
-        self.size = CLASSES + len(top)
         self.mass = self.tokens + ADD * (self.kinds + 1)
         for r in top:
             n[r["more"]] -= r["n"]
@@ -120,11 +132,11 @@ class Vocabulary:
 
 def sequences(rows: DataFrame, known: Vocabulary) -> DataFrame:
     """A row for each block: its documents' ids, sizes and marks, their symbols, the sums of log10(c + 0.1) and the number of known tokens."""
-    symbol, schema = known.symbol, pa.schema([(n, pa.binary()) for n in ("meta", "symbols", "sums", "known")])
+    symbol, schema = known.symbol, pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("meta", "symbols", "sums", "known"))])
 
-    def whole(docs, parts):
+    def whole(block, docs, parts):
         n = int(docs.sizes.sum())
-        symbols, logs, seen = np.zeros(n, np.uint16), np.zeros(n), np.zeros(n, np.int64)
+        symbols, logs, seen = np.zeros(n, np.uint16), np.zeros(n), np.zeros(n, bool)
         for bucket, pos, word, got in parts:
             c, tag = exchange.widen(*got[:2]), exchange.widen(*got[2:4])
             own = np.array([symbol.get((bucket, k), -1) if k else -1 for k in (tag // CLASSES).tolist()], np.int64)
@@ -132,108 +144,151 @@ def sequences(rows: DataFrame, known: Vocabulary) -> DataFrame:
             symbols[pos], logs[pos], seen[pos] = own[word], np.log10(c + ADD)[word], (c > 0)[word]
         at = np.cumsum(docs.sizes) - docs.sizes  # no text is empty: it has its end
         meta, symbols = exchange.pack(*docs.parts()), exchange.pack(symbols)
-        return pa.table([[meta], [symbols], [np.add.reduceat(logs, at).tobytes()], [np.add.reduceat(seen, at).tobytes()]], schema=schema)
+        return pa.table([[block], [meta], [symbols], [np.add.reduceat(logs, at).tobytes()], [np.add.reduceat(seen, at, dtype=np.int64).tobytes()]], schema=schema)
 
     return exchange.assemble(rows, whole, SEQUENCES)
 
 
-def _opened(row: dict) -> tuple[exchange.Documents, np.ndarray]:
-    return exchange.Documents.read(exchange.unpack(row["meta"])), np.frombuffer(exchange.unpack(row["symbols"])[0], np.uint16).astype(np.int64)
-
-
-def _before(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol before each, and the one before that (-1: none); START stands before a text."""
-    at = np.cumsum(sizes) - sizes
-    one = np.concatenate([[START], symbols[:-1]])
-    one[at] = START
-    two = np.concatenate([[-1], one[:-1]])
-    two[at] = -1
-    return one, two
-
-
-class Tree:
-    """States kept. ratio[state, symbol]: log10 of P(symbol | state) / P0(symbol); single, double: the state of a run or -1. At most 2,000 states of 1,256 symbols."""
-
-    def __init__(self, known: Vocabulary):
-        self.known, self.chance = known, [known.base]
-        self.single = np.full(START + 1, -1, np.int32)
-        self.double: dict[int, int] = {}
-
-    def learn(self, table: pa.Table, runs: np.ndarray, depth: int) -> None:
-        """table: context (index of runs), symbol and n."""
-        context, symbol, n = (table.column(k).to_numpy() for k in ("context", "symbol", "n"))
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order], n[order]
-        edge = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1], [True]])) if len(n) else [0]
-        for a, b in zip(edge[:-1], edge[1:]):
-            run = int(runs[context[a]])
-            over = self.single[run % (START + 1)] if depth == 2 else -1
-            parent, c = self.chance[over + 1], np.zeros(len(self.known.base))
-            c[symbol[a:b]] = n[a:b]
-            total = c.sum()
-            has = c > 0
-            nats = float((c[has] * np.log(c[has] / total / parent[has])).sum())
-            free = int(has.sum())
-            if nats / total < LEAST or 2 * nats < free + DEVIATIONS * (2 * free) ** 0.5:
-                continue
-            if depth == 1:
-                self.single[run] = len(self.chance) - 1
-            else:
-                self.double[run] = len(self.chance) - 1
-            self.chance.append((c + PRIOR * parent) / (total + PRIOR))
-
-    def packed(self) -> tuple:
-        ratio = np.array([np.log10(p / self.known.base) for p in self.chance], np.float64)
-        runs = np.array(sorted(self.double), np.int64)
-        return ratio, self.single, runs, np.array([self.double[k] for k in runs.tolist()], np.int32)
-
-
-def contexts(seqs: DataFrame, runs: np.ndarray, depth: int) -> DataFrame:
-    """(context, symbol, n): training counts of symbols after the given runs (sorted codes); added up in each task first."""
+class Text:
+    """A block's symbols, with the contexts of any part of them."""
+
+    def __init__(self, row: dict):
+        self.docs = exchange.Documents.read(exchange.unpack(row["meta"]))
+        symbols = np.frombuffer(exchange.unpack(row["symbols"])[0], np.uint16)
+        self.symbols = np.concatenate([np.full(DEPTH, NONE, np.uint16), symbols])
+        self.n = len(symbols)
+        self.ends = np.cumsum(self.docs.sizes)
+
+    def part(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the tokens a to b (excluded) with their contexts, the last symbol of the context first, the token last; and the document of each."""
+        at = np.arange(a, b)
+        doc = np.searchsorted(self.ends, at, side="right")
+        place = at - (self.ends - self.docs.sizes)[doc]
+        code = np.zeros(b - a, np.int64)
+        for k in range(1, DEPTH + 1):
+            before = self.symbols[a + DEPTH - k : b + DEPTH - k].astype(np.int64)
+            before[place == k - 1], before[place < k - 1] = START, NONE
+            code = code << BITS | before
+        return code << BITS | self.symbols[a + DEPTH : b + DEPTH], doc
+
+    def times(self) -> np.ndarray:
+        """How often each text occurs for training."""
+        return np.bincount(self.docs.of, self.docs.marks.astype(np.float64), len(self.docs.sizes)).astype(np.int64)
+
+
+def first_counts(seqs: DataFrame) -> np.ndarray:
+    """(context, symbol): training counts of symbols after one symbol; added up in each task first. A table of bounded size."""
+    size = START + 1
 
     def run(batches):
-        codes = np.zeros(0, np.int64)
-        total = np.zeros(0)
+        total = np.zeros(size * size, np.int64)
         for b in batches:
             for row in b.to_pylist():
-                docs, symbols = _opened(row)
-                one, two = _before(symbols, docs.sizes)
-                code = one if depth == 1 else np.where(two < 0, -1, two * (START + 1) + one)
-                at = np.searchsorted(runs, code)
-                at[at == len(runs)] = 0
-                times = np.repeat(np.bincount(docs.of, docs.marks.astype(np.float64), len(docs.sizes)), docs.sizes)
-                use = (times > 0) & (runs[at] == code)
-                codes, where = np.unique(np.concatenate([codes, at[use] * (START + 1) + symbols[use]]), return_inverse=True)
-                total = np.bincount(where, np.concatenate([total, times[use]]), len(codes))
-        for k in range(0, len(codes), 1 << 16):
-            c = codes[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"context": (c // (START + 1)).astype(np.int32), "symbol": (c % (START + 1)).astype(np.int32), "n": total[k : k + (1 << 16)].astype(np.int64)})
-
-    rows = seqs.mapInArrow(run, "context int, symbol int, n long")
-    return rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def _tree(seqs: DataFrame, known: Vocabulary) -> Tree:
-    tree, least = Tree(known), known.tokens / ONE_IN
-    if not known.tokens:
-        return tree
-    # Runs of one symbol: at most a thousand have the least count, and each has at most 1,256 next symbols.
-    first = contexts(seqs, np.arange(START + 1), 1).toArrow()
-    n = np.bincount(first.column("context").to_numpy(), first.column("n").to_numpy(), START + 1)
-    keep = n >= least
-    tree.learn(first.filter(pa.array(keep[first.column("context").to_numpy()])), np.arange(START + 1), 1)
-    pair = first.filter(pa.array(first.column("n").to_numpy() >= least))
-    runs = np.unique(pair.column("context").to_numpy().astype(np.int64) * (START + 1) + pair.column("symbol").to_numpy())
-    if len(runs):
-        tree.learn(contexts(seqs, runs, 2).toArrow(), runs, 2)
-    return tree
+                text = Text(row)
+                times = text.times()
+                for a in range(0, text.n, STEP):
+                    code, doc = text.part(a, min(text.n, a + STEP))
+                    pair = (code >> BITS * DEPTH) * size + (code & MASK)
+                    total += np.bincount(pair, times[doc], size * size).astype(np.int64)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"pair": at[k : k + (1 << 16)], "n": total[at[k : k + (1 << 16)]]})
+
+    got = seqs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def differs(nats: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which states are kept: of enough occurrences, and told apart from their parents by a likelihood-ratio test."""
+    return (total >= STATE) & (nats >= LEAST * total) & (2 * nats >= kinds + DEVIATIONS * np.sqrt(2.0 * kinds))
+
+
+class Root:
+    """States of at most one symbol. chance[row[symbol], next]: P(next | symbol); row 0 is the base."""
+
+    def __init__(self, counts: np.ndarray, base: np.ndarray):
+        counts = counts[:, : len(base)].astype(np.float64)
+        total, kinds = counts.sum(axis=1), (counts > 0).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            nats = np.where(counts > 0, counts * np.log(counts / total[:, None] / base), 0).sum(axis=1)
+        keep = np.flatnonzero(differs(nats, total, kinds))
+        self.row = np.zeros(NONE + 1, np.int64)
+        self.row[keep] = 1 + np.arange(len(keep))
+        self.base = base
+        self.chance = np.concatenate([base[None], (counts[keep] + PRIOR * base) / (total[keep, None] + PRIOR)])
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        return self.chance[self.row[code >> BITS * DEPTH], code & MASK]
+
+
+def deepened(code: np.ndarray, n: np.ndarray, root: Root) -> np.ndarray:
+    """P(token | longest state kept) of each of all distinct runs (sorted) that share their last two symbols of context, n being their training counts."""
+    p, token = root.of(code), code & MASK
+    for depth in range(2, DEPTH + 1):
+        context = code >> BITS * (DEPTH + 1 - depth)
+        cell, of = np.unique(context << BITS | token, return_inverse=True) if depth < DEPTH else (code, slice(None))
+        first = np.zeros(len(cell), np.int64)
+        first[of] = np.arange(len(code))
+        c = np.bincount(of, n, len(cell)) if depth < DEPTH else n.astype(np.float64)
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(cell >> BITS) != 0]))
+        size = np.diff(np.concatenate([edge, [len(cell)]]))
+        total, seen = np.add.reduceat(c, edge), c > 0
+        nats = np.zeros(len(cell))
+        nats[seen] = c[seen] * np.log(c[seen] / np.repeat(total, size)[seen] / p[first][seen])
+        keep = differs(np.add.reduceat(nats, edge), total, np.add.reduceat(seen.astype(np.int64), edge)) & ((cell[edge] >> BITS & MASK) != NONE)
+        new = np.where(np.repeat(keep, size), (c + PRIOR * p[first]) / (np.repeat(total, size) + PRIOR), p[first])
+        p = new[of]
+    return p
+
+
+def _packed(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes as the planes of their differences' bytes."""
+    return exchange.pack(np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T, *exchange.narrow(n))
+
+
+def _opened(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes, *n = exchange.unpack(frame)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()), exchange.widen(*n)
+
+
+class Runs:
+    """Distinct runs of a part of a text whose last two symbols of context occur often enough for a state, by bucket."""
+
+    def __init__(self, text: Text, a: int, b: int, deep: np.ndarray, buckets: int):
+        self.code, self.doc = text.part(a, b)
+        pair = self.code >> BITS * (DEPTH - 1)
+        self.use = deep[pair >> BITS, pair & MASK]
+        code, self.inverse = np.unique(self.code[self.use], return_inverse=True)
+        where = ((code >> BITS * (DEPTH - 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % buckets
+        self.order = np.argsort(where, kind="stable")
+        self.codes, self.edge = code[self.order], np.concatenate([[0], np.cumsum(np.bincount(where, minlength=buckets))])
+
+    def rows(self, block: int, step: int, times: np.ndarray) -> Iterator[dict]:
+        n = np.bincount(self.inverse, times[self.doc[self.use]], len(self.codes)).astype(np.int64)[self.order]
+        for b in np.flatnonzero(np.diff(self.edge)).tolist():
+            part = slice(self.edge[b], self.edge[b + 1])
+            yield {"bucket": b, "block": block, "step": step, "runs": _packed(self.codes[part], n[part])}
+
+    def ratios(self, frames: dict[int, bytes], root: Root) -> np.ndarray:
+        """log10 of P(symbol | state) / P0(symbol) of each token, from what the buckets gave."""
+        p = root.of(self.code)
+        got = np.zeros(len(self.codes), np.float32)
+        for b in np.flatnonzero(np.diff(self.edge)).tolist():
+            got[self.edge[b] : self.edge[b + 1]] = np.frombuffer(exchange.unpack(frames[b])[0], np.float32)
+        back = np.empty_like(got)
+        back[self.order] = got
+        p[self.use] = back[self.inverse]
+        return np.log10(p / root.base[self.code & MASK])
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, buckets: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; trained on those not held out."""
     spark = docs.sparkSession
-    tune(spark)
-    rows = exchange.blocks(plain(docs, id_col, text_col), tokens, bytes, buckets or width(spark), lambda i: not held_out(i, modulus))
+    tune(spark, 4)  # a row can be a block
+    docs = plain(docs, id_col, text_col)
+    rows = exchange.blocks(docs, tokens, bytes, buckets or exchange.buckets_for(docs), lambda i: not held_out(i, modulus))
     at = scratch(spark, "pst")
     counted = count(rows).withColumn("summary", F.col("block") == exchange.SUMMARY)
     counted.write.partitionBy("summary").option("compression", "none").parquet(f"{at}/counts")
@@ -242,30 +297,69 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     known = Vocabulary(counted.where("summary"))
     sequences(counted.where("not summary").drop("summary"), known).write.option("compression", "none").parquet(f"{at}/sequences")
     seqs = spark.read.schema(SEQUENCES).parquet(f"{at}/sequences")
-    tree = _tree(seqs, known).packed()
-    model = spark.sparkContext.broadcast(tree)  # of bounded size, see Tree
+    counts = first_counts(seqs)
+    model = spark.sparkContext.broadcast((Root(counts, known.base), np.pad(counts >= STATE, ((0, 1), (0, 1)))))  # of bounded size
+    parts = buckets or min(exchange.MOST_BUCKETS, max(8, -(-known.tokens // BUCKET_TOKENS)))
     n_train, scale = known.tokens, float(np.log10(known.mass))
 
-    def run(batches):
-        ratio, single, runs, states = model.value
+    def send(batches):
+        _, deep = model.value
         for b in batches:
             for row in b.to_pylist():
-                docs, symbols = _opened(row)
-                one, two = _before(symbols, docs.sizes)
-                state = single[one].astype(np.int64)
-                if len(runs):
-                    code = two * (START + 1) + one
-                    k = np.searchsorted(runs, code)
-                    k[k == len(runs)] = 0
-                    state = np.where((two >= 0) & (runs[k] == code), states[k], state)
-                more = np.add.reduceat(ratio[state + 1, symbols], np.cumsum(docs.sizes) - docs.sizes)
-                base = np.frombuffer(row["sums"], np.float64) - docs.sizes * scale
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(docs.ids, pa.int64()), "held_out": ~docs.marks, "n_tokens": docs.sizes[docs.of], "n_known": np.frombuffer(row["known"], np.int64)[docs.of],
-                    "train_tokens": np.full(len(docs.ids), n_train, np.int64), "base_score": base[docs.of], "score": (base + more)[docs.of],
-                })
-
-    return seqs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                text = Text(row)
+                times = text.times()
+                for step, a in enumerate(range(0, text.n, STEP)):
+                    yield from exchange.batched(Runs(text, a, min(text.n, a + STEP), deep, parts).rows(row["block"], step, times), _RUNS)
+
+    def answers(bucket: int, held: list[tuple[int, int, bytes]]) -> Iterator[dict]:
+        root, _ = model.value
+        codes, counts = zip(*(_opened(f) for *_, f in held))
+        sizes = [len(c) for c in codes]
+        code, of = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(of, np.concatenate(counts), len(code)).astype(np.int64)
+        del codes, counts
+        p, a = deepened(code, n, root).astype(np.float32), 0
+        for (block, step, _), size in zip(held, sizes):
+            yield {"bucket": bucket, "block": block, "step": step, "runs": exchange.pack(p[of[a : a + size]])}
+            a += size
+
+    def deepen(batches):
+        bucket, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["bucket"] != bucket and held:
+                    yield from exchange.batched(answers(bucket, held), _RUNS)
+                    held = []
+                bucket = r["bucket"]
+                held.append((r["block"], r["step"], r["runs"]))
+        if held:
+            yield from exchange.batched(answers(bucket, held), _RUNS)
+
+    def finish(seq: pa.Table, runs: pa.Table) -> pa.Table:
+        root, deep = model.value
+        frames: dict[int, dict[int, bytes]] = {}
+        for r in runs.to_pylist():
+            frames.setdefault(r["step"], {})[r["bucket"]] = r["runs"]
+        out = []
+        for row in seq.to_pylist():
+            text = Text(row)
+            more = np.zeros(len(text.docs.sizes))
+            for step, a in enumerate(range(0, text.n, STEP)):
+                run = Runs(text, a, min(text.n, a + STEP), deep, parts)
+                more += np.bincount(run.doc, run.ratios(frames.get(step, {}), root), len(more))
+            docs = text.docs
+            base = np.frombuffer(row["sums"], np.float64) - docs.sizes * scale
+            out.append(pa.table({
+                "doc_id": pa.array(docs.ids, pa.int64()), "held_out": ~docs.marks, "n_tokens": docs.sizes[docs.of], "n_known": np.frombuffer(row["known"], np.int64)[docs.of],
+                "train_tokens": np.full(len(docs.ids), n_train, np.int64), "base_score": base[docs.of], "score": (base + more)[docs.of],
+            }))
+        return pa.concat_tables(out) if out else RESULT.empty_table()
+
+    runs = seqs.mapInArrow(send, RUNS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(deepen, RUNS)
+    return seqs.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def op9_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
