@@ -42,6 +42,8 @@ SMALL = 48
 PAIRS = 1 << 18
 #: Places in its bucket before which a text is compared first, and the factor of each further round.
 FIRST, STEP = 4, 8
+#: Shingles that a task holds to compare texts, about.
+TASK = 1 << 20
 #: Rows gathered before their buckets are compared.
 HELD = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -265,8 +267,8 @@ class Wide:
         runs = map(b" ".join, zip(*(words[k:] for k in range(self.shingle)))) if len(words) >= self.shingle else [b" ".join(words)]
         return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, max(1, len(words) - self.shingle + 1)))
 
-    def alike(self, a: str, b: str) -> bool:
-        a, b = (self.hashes(x.encode().lower().split()) for x in (a, b))
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Of the shingles of two texts."""
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.similarity * (len(a) + len(b) - both)
 
@@ -298,11 +300,13 @@ class Wide:
         return joined, fp, len(h), [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
 
 
-def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, first: int, last: int, wide: Wide) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (two arrays of nodes) of different groups that may be similar, in whole buckets, sorted by key and node: each row with those from first to last (excluded) places away, the bucket being a ring."""
+def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, first: int, last: int, wide: Wide) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (two arrays of nodes) of different groups that may be similar, in whole buckets, sorted by key and node, and the task that compares them: each row with those from first to last (excluded) places away, the bucket being a ring. A task has the pairs of a stretch of a bucket and of distances that are close together, so that it needs few texts for many pairs, and about TASK shingles at most (or one pair)."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     n = np.diff(edge)
     start, count, of = np.repeat(edge[:-1], n), np.repeat(n, n), np.repeat(np.arange(len(n)), n)
+    before = np.cumsum(size) - size
+    stretch = (before - before[start]) // TASK
     # rows of a bucket's largest group need no comparing among themselves
     order = np.lexsort((group, of))
     run = np.flatnonzero(np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(group[order]) != 0), [True]]))
@@ -316,29 +320,44 @@ def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, g
         here = rows - start[rows]
         ahead, back = start[rows] + (here + k) % count[rows], start[rows] + (here - k) % count[rows]
         once = ~out[back]  # else that row looks ahead to this one
-        a, b = np.concatenate([rows, rows[once]]), np.concatenate([ahead, back[once]])
+        a, b = np.concatenate([rows, back[once]]), np.concatenate([ahead, rows[once]])
         differ = group[a] != group[b]
         a, b = a[differ], b[differ]
         near = wide.maybe(fp, size, a, b)
-        yield np.maximum(node[a[near]], node[b[near]]), np.minimum(node[a[near]], node[b[near]])
+        a, b = a[near], b[near]
+        task = (key[a].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stretch[a].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((k // 8) * 0x94D049BB)).view(np.int64)
+        yield np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), task
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed (key, node) whose bucket has others."""
+
+    def run(batches):
+        for key, node in whole_buckets(batches):
+            same = key[1:] == key[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    return keyed.select("key", "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
 
 
 def _candidates(rows: DataFrame, first: int, last: int, wide: Wide) -> DataFrame:
-    """rows (key, node, fp binary, size, group) to pairs (u, v), see _ring; and, with v null, the rows (key, u) of the buckets that the ring has more of."""
+    """rows (key, node, fp binary, size, group) to pairs (u, v, task), see _ring; and, with v null, the rows (u, key) of the buckets that the ring has more of."""
 
     def run(batches):
         for key, node, fp, size, group in whole_buckets(batches):
-            for u, v in _gathered(_ring(key, node, fp, size, group, first, last, wide)):
-                pairs = np.unique(np.stack([u, v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["u", "v", "key"])
+            for pairs in _gathered(_ring(key, node, fp, size, group, first, last, wide)):
+                u, v, task = np.unique(np.stack(pairs), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(task), pa.nulls(len(u), pa.int64())], names=["u", "v", "task", "key"])
             _, of, n = np.unique(key, return_inverse=True, return_counts=True)
             more = n[of] >= 2 * last
-            yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(key[more])], names=["u", "v", "key"])
+            none = pa.nulls(int(more.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[more]), none, none, pa.array(key[more])], names=["u", "v", "task", "key"])
 
-    return rows.select("key", "node", "fp", "size", "group").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, key long")
+    return rows.select("key", "node", "fp", "size", "group").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, task long, key long")
 
 
-def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
     """The same pairs in fewer parts."""
     held, n = [], 0
     for part in parts:
@@ -352,19 +371,48 @@ def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
-    """Pairs (u, v) whose texts are as similar as asked; texts (node, text), repeated ones repeated."""
-    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "asked")
-    pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().write.parquet(path)
-    asked = spark.read.schema("node long").parquet(path)  # of known size, so Spark broadcasts it if it is small
-    texts = cut(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    """Pairs (u, v, task) whose texts are as similar as asked; texts (node, text), repeated ones repeated.
+
+    A pair found in several buckets is compared in one. A text goes once to each task
+    that needs it (from each task that reads it), not once for each pair, and a task
+    holds the shingles of one group of pairs at a time.
+    """
+    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "pairs")
+    pairs.groupBy("u", "v").agg(F.min("task").alias("task")).write.parquet(path)
+    pairs = spark.read.schema("u long, v long, task long").parquet(path)  # of known size, so Spark broadcasts what is small
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("asked"), "task").groupBy("asked").agg(F.collect_set("task").alias("tasks"))
+    path = scratch(spark, "asked")
+    asked.write.parquet(path)
+    asked = spark.read.schema("asked long, tasks array<long>").parquet(path)
+
+    def once(batches):
+        seen: set[int] = set()
+        for b in batches:
+            keep = []
+            for node in b.column("node").to_pylist():
+                keep.append(node not in seen)
+                seen.add(node)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    needed = texts.join(asked, F.col("node") == F.col("asked")).select("node", "text", "tasks").mapInArrow(once, "node long, text string, tasks array<long>")
+    rows = needed.select(F.explode("tasks").alias("task"), F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text").union(pairs.select("task", "u", "v", F.lit(None).cast("string").alias("text")))
 
     def run(batches):
+        task, have = None, {}
         for b in batches:
-            keep = [wide.alike(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            us, vs, text = [], [], b.column("text")
+            for k, (t, u, v) in enumerate(zip(*(b.column(c).to_pylist() for c in ("task", "u", "v")))):
+                if t != task:
+                    task, have = t, {}
+                if v is None:  # the texts of a task come before its pairs
+                    if u not in have:
+                        have[u] = wide.hashes(text[k].as_py().encode().lower().split())
+                elif wide.alike(have[u], have[v]):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return rows.repartition("task").sortWithinPartitions(F.col("task"), F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -400,18 +448,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col("h").alias("node"), "text")
     prints = cut(docs.mapInArrow(run, "doc_id long, h long, same binary, fp binary, size long, bands array<long>"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = cut(prints.groupBy("same").agg(F.min_by(F.struct("h", "fp", "size", "bands"), "h").alias("n"), F.min(row).alias("first")).select("same", F.col("n.h").alias("node"), "n.fp", "n.size", "n.bands", "first"))
-    keyed = nodes.select("node", "fp", "size", F.explode("bands").alias("key"))
-    near, first, last = cut(_candidates(keyed.withColumn("group", F.col("node")), 1, FIRST, wide)), FIRST, FIRST * STEP
-    found = components(_alike(near.where("v is not null").select("u", "v").distinct(), texts, wide))
+    # a text stands for those of equal words; the wide columns are fetched by the pair (same, h) of what stands
+    least = prints.groupBy("same").agg(F.min("h").alias("node"), F.min(row).alias("first"))
+    nodes = cut(prints.select("same", F.col("h").alias("node"), "fp", "size", "bands").dropDuplicates(["same", "node"]).join(least, ["same", "node"]).select("same", "node", "fp", "size", "bands", "first"))
+    sketches = nodes.select("node", "fp", "size")
+    keyed = _shared(nodes.select("node", F.explode("bands").alias("key")))
+    near, first, last = cut(_candidates(keyed.join(sketches, "node").withColumn("group", F.col("node")), 1, FIRST, wide)), FIRST, FIRST * STEP
+    found = components(_alike(near.where("v is not null").select("u", "v", "task"), texts, wide))
     while True:
         rows = near.where("v is null").select("key", F.col("u").alias("node")).join(found, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
         apart = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
         rows = cut(rows.join(apart, "key", "left_semi"))
         if rows.isEmpty():
             break
-        near = cut(_candidates(rows.join(nodes.select("node", "fp", "size"), "node"), first, last, wide))
-        more = _alike(near.where("v is not null").select("u", "v").distinct(), texts, wide)
+        near = cut(_candidates(rows.join(sketches, "node"), first, last, wide))
+        more = _alike(near.where("v is not null").select("u", "v", "task"), texts, wide)
         found = components(found.select("u", F.col("component").alias("v")).union(more))
         first, last = last, last * STEP
     grouped = cut(nodes.join(found, F.col("node") == F.col("u"), "left").select("same", "first", F.coalesce("component", "node").alias("group")))
