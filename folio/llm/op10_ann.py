@@ -7,33 +7,42 @@ by beam search: the best few partial sums go on to the next book. With the codes
 goes the norm of the sum, so that a query's score against a code is a sum of
 looked-up products divided by the stored norm.
 
-All rows are encoded, in buckets of about ROWS rows. A query visits every
-bucket: blocks of queries, packed in a row each, are dealt to the buckets by key.
-In a bucket the table look-ups pick each query's KEEP best codes (ties: smaller
-ids), the exact cosines of those are taken in double precision on the vectors
-stored beside the codes, and the TOP best go on. So exact reranking sees KEEP
-rows of each bucket, and a last aggregation merges the buckets.
-
-Vectors that are null, empty, zero, of another length than the index has, or
-that hold null or non-finite components take no part; nor do rows with a null
-id. Repeated rows are candidates as often as they occur, but a query's own id
-never is one. Equal scores are ordered by id.
+All rows are encoded and dealt to cells, those of the nearest of some centres
+(k-means on the same sample), about ROWS rows each; a larger cell is cut into
+parts of about that size by a hash of the id. A query visits its nearest cells
+only: as many as found at least ENOUGH of the neighbours of the sample's own
+queries in the sample. Data without clusters needs many cells, clustered data
+few. A task holds one part of a cell and reads its queries as a stream; table
+look-ups pick each query's KEEP best codes there (ties: smaller ids), the exact
+cosines of those are taken in double precision on the vectors stored beside the
+codes, and the TOP best go on. A last aggregation merges the cells.
+
+Vectors that are null, empty, zero, or that hold null or non-finite components
+take no part; nor do rows with a null id. Vectors of different lengths have no
+cosine: each length is an index of its own. Repeated rows are candidates as often
+as they occur, but a query's own id never is one. Queries that are equal in id and
+vector are one query; equal ids with different vectors are queries of their own.
+Equal scores are ordered by id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, read, tune
+from .common import read, scratch, tune
 
 #: Codebooks, codewords in each, width of the beam.
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on, at most: those with the smallest hashed ids.
 SAMPLE = 8192
-#: Rows of a bucket, about; queries of a block; codes of a bucket that are reranked for a query; results for a query.
-ROWS, QUERIES, KEEP, TOP = 8192, 512, 150, 5
+#: Rows of a cell, about; codes of a cell that are reranked for a query; results for a query; most cells.
+ROWS, KEEP, TOP, CELLS = 2048, 100, 5, 2048
+#: Vectors of the sample that serve as queries to choose the number of cells to visit, and the recall asked of them.
+TRIALS, ENOUGH = 512, 0.97
 SEED = 7
 
 
@@ -97,88 +106,146 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def sample(rows: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """The fitting sample (unit vectors) and the index's length: the most frequent one in the sample."""
+def sample(rows: DataFrame, most: int = SAMPLE) -> np.ndarray:
+    """The fitting sample: unit vectors."""
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec").toArrow().column("vec").combine_chunks()
-    sizes = np.array([len(x) for x in got], np.int64)
-    if not len(sizes):
-        return np.zeros((0, 0)), 0
-    dim = int(np.bincount(sizes).argmax())
-    return unit(_matrix(got.filter(pa.array(sizes == dim)))), dim
+    return unit(_matrix(got)) if len(got) else np.zeros((0, 0))
+
+
+def centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """(cells, dim) unit vectors: spherical k-means."""
+    centre = x[np.random.default_rng(SEED).choice(len(x), cells, replace=False)]
+    for _ in range(rounds):
+        near = (x @ centre.T).argmax(axis=1)
+        total = np.stack([np.bincount(near, x[:, d], cells) for d in range(x.shape[1])], axis=1)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centre = np.where(size > 0, total / np.maximum(size, 1e-12), centre)
+    return centre
+
 
+def visits(x: np.ndarray, centre: np.ndarray, top: int) -> int:
+    """How many of its nearest cells a query has to visit."""
+    cell = (x @ centre.T).argmax(axis=1)
+    q = x[:: max(1, len(x) // TRIALS)]
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q)) * max(1, len(x) // TRIALS)] = -2
+    found = np.argpartition(-score, min(top, len(x) - 1), axis=1)[:, :top]
+    place = np.empty((len(q), len(centre)), np.int64)
+    np.put_along_axis(place, np.argsort(-(q @ centre.T), axis=1), np.broadcast_to(np.arange(len(centre)), place.shape), 1)
+    return min(len(centre), 1 + int(np.quantile(np.take_along_axis(place, cell[found], 1), ENOUGH, method="higher")))
 
-def index(rows: DataFrame, books: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, vec_id, code binary, norm float, vec) of every row."""
+
+def index(rows: DataFrame, books: np.ndarray, centre: np.ndarray) -> DataFrame:
+    """(cell, vec_id, code binary, norm float, vec) of every row."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            codes, norm = encode(unit(_matrix(b.column("vec"))), books)
-            raw = codes.tobytes()
+            x = unit(_matrix(b.column("vec")))
+            codes, norm = encode(x, books)
+            raw, cell = codes.tobytes(), (x @ centre.T).argmax(axis=1).astype(np.int32)
             code = pa.array([raw[k : k + codes.shape[1]] for k in range(0, len(raw), codes.shape[1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), code, pa.array(norm), b.column("vec")], names=["vec_id", "code", "norm", "vec"])
-
-    coded = rows.select("vec_id", "vec").mapInArrow(run, "vec_id long, code binary, norm float, vec array<double>")
-    return coded.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int"))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("vec_id"), code, pa.array(norm), b.column("vec")], names=["cell", "vec_id", "code", "norm", "vec"])
+
+    return rows.select("vec_id", "vec").mapInArrow(run, "cell int, vec_id long, code binary, norm float, vec array<double>")
+
+
+class Cell:
+    """The rows of a part of a cell, in the order of their ids."""
+
+    def __init__(self, batches: list[pa.RecordBatch], books: np.ndarray):
+        one = pa.Table.from_batches(batches)
+        one = one.take(pa.array(np.argsort(one.column("vec_id").to_numpy(), kind="stable")))
+        self.ids, self.norm = one.column("vec_id").to_numpy(), one.column("norm").to_numpy()
+        self.vecs = unit(_matrix(one.column("vec").combine_chunks()))
+        self.codes = np.frombuffer(b"".join(one.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.books = books
+
+    def find(self, qids: np.ndarray, q: np.ndarray, keep: int, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, ids, cosines) of the top rows of each query; q: unit vectors."""
+        tables = (q.astype(np.float32) @ self.books.reshape(-1, self.books.shape[2]).T).reshape(len(q), *self.books.shape[:2])
+        ids, codes = self.ids, self.codes
+        for k, own in enumerate(qids.tolist()):
+            near = tables[k, 0][codes[:, 0]]
+            for m in range(1, codes.shape[1]):
+                near = near + tables[k, m][codes[:, m]]
+            near = np.where(ids == own, -np.inf, near / self.norm)
+            if keep < len(near):
+                edge = np.partition(near, len(near) - keep)[len(near) - keep]
+                above, at = np.flatnonzero(near > edge), np.flatnonzero(near == edge)
+                pick = np.concatenate([above, at[: keep - len(above)]])  # rows are in the order of their ids
+            else:
+                pick = np.arange(len(near))
+            pick = pick[ids[pick] != own]
+            exact = (self.vecs[pick] * q[k]).sum(axis=1)
+            best = np.lexsort((ids[pick], -exact))[:top]
+            yield k, ids[pick][best], exact[best]
+
+
+def _search(base: DataFrame, asked: DataFrame, count: int, top: int, keep: int) -> DataFrame:
+    """search() among usable vectors of one length."""
+    spark = base.sparkSession
+    x = sample(base)
+    books = fit(x)
+    centre = centres(x, max(1, min(CELLS, len(x) // 4, -(-count // ROWS))))
+    near = visits(x, centre, top) if len(x) > 1 else 1
+    path = scratch(spark, "ann")
+    index(base, books, centre).write.parquet(path)
+    coded = spark.read.schema("cell int, vec_id long, code binary, norm float, vec array<double>").parquet(path)
+    sizes = dict(coded.groupBy("cell").count().collect())  # at most CELLS rows
+    split = [max(1, -(-sizes.get(c, 0) // ROWS)) for c in range(len(centre))]
+    parts = F.element_at(F.array(*[F.lit(n) for n in split]), F.col("cell") + 1)
+
+    def route(batches):
+        for b in batches:
+            if b.num_rows:
+                q = unit(_matrix(b.column("vec")))
+                cells = np.argsort(-(q @ centre.T), axis=1, kind="stable")[:, :near].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(list(cells), pa.list_(pa.int32()))], names=["vec_id", "vec", "cells"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    ask = asked.mapInArrow(route, "vec_id long, vec array<double>, cells array<int>").withColumn("cell", F.explode("cells"))
+    ask = ask.select("cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", F.xxhash64("vec").alias("own"), none("binary").alias("code"), none("float").alias("norm"), "vec")
+    rows = coded.select("cell", F.pmod(F.xxhash64("vec_id"), parts.cast("long")).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("own"), "code", "norm", "vec")
+
+    def visit(batches):
+        at, held, cell = None, [], None
+        for b in batches:
+            place, part, kind = (b.column(c).to_numpy() for c in ("cell", "part", "kind"))
+            if not len(place):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0), [True]]))
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if (place[a], part[a]) != at:
+                    at, held, cell = (place[a], part[a]), [], None
+                piece = b.slice(a, z - a)
+                if not kind[a]:  # a part's rows come before its queries
+                    held.append(piece)
+                    continue
+                if not held and cell is None:
+                    continue
+                if cell is None:
+                    cell, held = Cell(held, books), []
+                q, qids = _matrix(piece.column("vec")), piece.column("vec_id").to_numpy()
+                got = list(cell.find(qids, unit(q), keep, top))
+                size = [len(ids) for _, ids, _ in got]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, size)), pa.array(np.repeat(piece.column("own").to_numpy(), size)), pa.array(np.concatenate([i for _, i, _ in got])), pa.array(np.concatenate([e for *_, e in got]))], names=["query_id", "own", "vec_id", "score"])
+
+    found = rows.union(ask).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(visit, "query_id long, own long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, keep: int = KEEP) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row of queries, the top rows of vectors by cosine, its own id left out."""
     spark = vectors.sparkSession
     tune(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
-    base = usable(vectors, id_col, vec_col)
-    x, dim = sample(base)
-    if not len(x):
-        return spark.createDataFrame([], schema)
-    books = fit(x)
-    rows = base.where(F.size("vec") == dim)
-    count = rows.count()
-    buckets = -(-count // ROWS)
-    coded = cut(index(rows, books, buckets))
-    asked = usable(queries, id_col, vec_col).where(F.size("vec") == dim).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, count // QUERIES // 32))).cast("int"))
-
-    def bundle(table: pa.Table) -> pa.Table:
-        v = _matrix(table.column("vec").combine_chunks())
-        return pa.table({"ids": [table.column("vec_id").to_numpy().tobytes()], "vecs": [v.tobytes()]}, schema=pa.schema([("ids", pa.binary()), ("vecs", pa.binary())]))
-
-    packs = asked.select("block", "vec_id", "vec").groupBy("block").applyInArrow(bundle, "ids binary, vecs binary")
-    dealt = packs.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-
-    def visit(one: pa.Table, two: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if one.num_rows and two.num_rows:
-            order = np.argsort(one.column("vec_id").to_numpy(), kind="stable")
-            one = one.take(pa.array(order))
-            ids, norm = one.column("vec_id").to_numpy(), one.column("norm").to_numpy()
-            vecs = unit(_matrix(one.column("vec").combine_chunks()))
-            codes = np.frombuffer(b"".join(one.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            for qids, qvecs in zip(two.column("ids").to_pylist(), two.column("vecs").to_pylist()):
-                qids = np.frombuffer(qids, np.int64)
-                q = unit(np.frombuffer(qvecs, np.float64).reshape(len(qids), -1))
-                tables = (q.astype(np.float32) @ books.reshape(-1, books.shape[2]).T).reshape(len(q), *books.shape[:2])
-                for k, own in enumerate(qids.tolist()):
-                    near = tables[k, 0][codes[:, 0]]
-                    for m in range(1, codes.shape[1]):
-                        near = near + tables[k, m][codes[:, m]]
-                    near = np.where(ids == own, -np.inf, near / norm)
-                    if keep < len(near):
-                        edge = np.partition(near, len(near) - keep)[len(near) - keep]
-                        above, at = np.flatnonzero(near > edge), np.flatnonzero(near == edge)
-                        pick = np.concatenate([above, at[: keep - len(above)]])  # rows are in the order of their ids
-                    else:
-                        pick = np.arange(len(near))
-                    pick = pick[ids[pick] != own]
-                    exact = (vecs[pick] * q[k]).sum(axis=1)
-                    best = np.lexsort((ids[pick], -exact))[:top]
-                    out.append((np.full(len(best), own), ids[pick][best], exact[best]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
-
-    found = coded.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(visit, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).dropDuplicates(["vec_id", "vec"])
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for size, count in sorted(base.groupBy(F.size("vec")).count().collect()):
+        out = out.union(_search(base.where(F.size("vec") == size), asked.where(F.size("vec") == size), count, top, keep))
+    return out
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
