@@ -1,18 +1,19 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch retains every hash below a fixed fraction of the hash range, one in
-SCALE, of the five-word shingles of a text in lower case; if none is below, it
-retains the least hash (as a signed number) alone. So the sketch of a union of
-texts follows from their sketches (:func:`merged`), and the share of a sketch
-found in another estimates the containment of the one text in the other, however
-unequal they are. A text of fewer than five words is one shingle; a text without
-words has an empty sketch.
+SCALE, of the five-word shingles of a text in lower case, and its LEAST smallest
+hashes in any case, so that short texts keep all they have. So the sketch of a
+union of texts follows from their sketches (:func:`merged`). The share of a sketch
+found in another, counted up to where both are complete, estimates the containment
+of the one text in the other, however unequal they are. A text of fewer than five
+words is one shingle; a text without words has an empty sketch.
 
 Everything is made of built-in functions. Neighbours by id are found without a
-task that sees all rows: ids are cut into ranges of equal width, at most RANGES,
-each sorted by itself, and the first document of a range is also sent to the
-range before it (the very first to the last), where it only serves as the next.
-The table of first ids has at most RANGES rows of 20 bytes, and is broadcast.
+task that sees all rows: ids are cut into ranges of about equal numbers of rows
+(the range partitioner's sample of the ids gives the bounds, at most RANGES), each
+sorted by itself, and the first document of a range is also sent to the range
+before it (the very first to the last), where it only serves as the next. A row
+finds its range by bisection in the bounds, a literal of at most 20 bytes each.
 
 Null texts are empty. Among equal ids the order is that of the texts. A row with
 a null id has itself for its next. One document alone follows itself.
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import plain, read
 
-SHINGLE, SCALE = 5, 8
-#: Most id ranges, and ids in each where there are fewer rows.
-RANGES, ROWS = 1 << 16, 512
+SHINGLE, SCALE, LEAST = 5, 4, 16
+#: Most id ranges, and rows in each where there are fewer.
+RANGES, ROWS = 1 << 15, 512
 
 
 def words_of(text: Column) -> Column:
@@ -41,52 +42,74 @@ def hashes_of(words: Column, shingle: int = SHINGLE) -> Column:
     return F.when(n >= shingle, many).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
 
 
+def ordered(h: Column) -> Column:
+    """A hash as a long whose order is that of the unsigned hashes; and back."""
+    return h.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def kept(hashes: Column, scale: int = SCALE) -> Column:
-    """hashes: a column of the plan. A sketch in ascending order."""
-    below = (1 << 63) // scale  # of the upper 63 bits
-    low = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 1) < below)))
-    return low
+    """hashes: a column of the plan, sorted and distinct, as ordered. Those below the threshold, and the LEAST smallest."""
+    return F.slice(hashes, 1, F.greatest(F.lit(LEAST), F.size(F.filter(hashes, lambda h: h < bound(scale)))))
+
+
+def bound(scale: int = SCALE) -> int:
+    """Below it every hash is retained."""
+    return (1 << 64) // scale - (1 << 63)
 
 
 def sketched(df: DataFrame, text: str, name: str, *, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
-    """df with the sketch of a text column, array<long>."""
-    w, h, k = f"__{name}_words", f"__{name}_hashes", f"__{name}_kept"
-    df = df.withColumn(w, words_of(F.col(text))).withColumn(h, hashes_of(F.col(w), shingle)).withColumn(k, kept(F.col(h), scale))
-    least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(name, F.when(F.size(k) > 0, F.col(k)).otherwise(least)).drop(w, h, k)
+    """df with the sketch of a text column, array<long>, ascending, as ordered."""
+    w, h, k = f"__{name}_words", f"__{name}_hashes", f"__{name}_all"
+    df = df.withColumn(w, words_of(F.col(text))).withColumn(h, hashes_of(F.col(w), shingle)).withColumn(k, F.sort_array(F.array_distinct(F.transform(h, ordered))))
+    return df.withColumn(name, kept(F.col(k), scale)).drop(w, h, k)
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts' shingles together, from their sketches."""
-    both = F.sort_array(F.array_union(a, b))
-    low = kept(both, scale)
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    return kept(F.sort_array(F.array_union(a, b)), scale)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of sketch a that is in b: 1 if both are empty, 0 if only a is."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).when(F.size(b) == 0, 1.0).otherwise(0.0)
+def complete(sketch: Column, scale: int = SCALE) -> Column:
+    """Up to this hash the sketch has all that its text has."""
+    return F.when(F.size(sketch) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(sketch, -1), F.lit(bound(scale) - 1)))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """a, b: columns of the plan. Share of sketch a that is in b, up to where both are complete: 1 if both are empty, 0 if only one is or nothing can be compared."""
+    upto = F.least(complete(a, scale), complete(b, scale))
+    n = F.size(F.filter(a, lambda h: h <= upto))
+    both = F.size(F.filter(F.array_intersect(a, b), lambda h: h <= upto))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(n > 0, both / n).otherwise(0.0)
 
 
 def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(ordered(h))), 16, "0")), "")
+
+
+def bounds(docs: DataFrame) -> list[int]:
+    """The first ids of ranges of about equal numbers of rows, ascending: at most RANGES numbers."""
+    ids = docs.select("doc_id").where("doc_id is not null")
+    ranges = min(RANGES, -(-ids.count() // ROWS))
+    if not ranges:
+        return []
+    found = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in found.collect())
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with range and ghost: rows that only serve as the next of a range's last have ghost true."""
-    least, most, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     alone = (-1 - F.pmod(F.xxhash64("text"), F.lit(1024))).cast("int")
-    if not count:
+    firsts = bounds(docs)
+    if not firsts:
         return docs.select("*", alone.alias("range"), F.lit(False).alias("ghost"))
-    step = max(1.0, (float(most) - float(least) + 1) / min(RANGES - 1, -(-count // ROWS)))
-    own = F.floor((F.col("doc_id").cast("double") - float(least)) / step).cast("int")
-    firsts = docs.where("doc_id is not null").groupBy(own.alias("own")).agg(F.min("doc_id").alias("first_id"))
-    before = F.coalesce(F.lag("own").over(Window.orderBy("own")), F.max("own").over(Window.partitionBy()))
-    firsts = F.broadcast(firsts.select("first_id", before.alias("before")))  # at most RANGES rows
-    placed = docs.withColumn("own", F.coalesce(own, alone)).join(firsts, F.col("doc_id") == F.col("first_id"), "left")
+    table = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")  # folded to a literal
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(firsts).bit_length()))])
+    # the number of bounds that are not above the id
+    own = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(firsts)) & (F.get(table, at + step - 1) <= F.col("doc_id")), at + step).otherwise(at)) - 1
+    placed = docs.withColumn("own", F.coalesce(F.when(F.col("doc_id").isNotNull(), own), alone)).withColumn("first", F.when(F.col("doc_id").isNotNull(), F.get(table, F.col("own"))))
     here = F.struct(F.col("own").alias("range"), F.lit(False).alias("ghost"))
-    there = F.struct(F.col("before").alias("range"), F.lit(True).alias("ghost"))
-    return placed.select("doc_id", "text", F.inline(F.when(F.col("before").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
+    there = F.struct(F.when(F.col("own") == 0, len(firsts) - 1).otherwise(F.col("own") - 1).alias("range"), F.lit(True).alias("ghost"))
+    return placed.select("doc_id", "text", F.inline(F.when(F.col("doc_id") == F.col("first"), F.array(here, there)).otherwise(F.array(here))))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
