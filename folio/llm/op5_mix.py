@@ -4,12 +4,13 @@ Sizes are added up for each source; target sizes share the sum of all sizes by
 weight, none above a multiple of its source's size, and what that leaves over
 goes to the others by weight until none is above. A source's repetition rate is
 target / size; a document is emitted floor(rate) times, and once more where a
-number drawn from a hash of seed and id is below the rate's fraction. Equal ids
-draw alike, and so do reruns.
+number drawn from a hash of seed, id, text and occurrence is below the rate's
+fraction. Reruns draw alike.
 
 Null or empty texts have size 0; sources without words have target and rate 0;
-null sources are one source, the last. Rows with a null id draw as id 0. Ties of
-ids and repeated rows are each treated as a document.
+null sources are one source, the last. Rows with equal or null ids draw by their
+own texts. Rows equal in id and text are numbered in the order of their sources,
+and each draws by its number (only such rows are shuffled for that).
 
 Only totals reach the driver: the number of sources of each partition of their
 sorted list, and a few sums a round. The table of sources is broadcast where its bytes,
@@ -21,22 +22,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, cut, fresh, read
 
 #: The table of sources is broadcast if it was counted to have no more bytes; beyond, it is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
-WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-1"
+WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix-2"
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number from 0 to below 1: 52 bits of SHA-256 of seed and id."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id, F.lit(0)).cast("string")), 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def digest_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def draw(doc_id: Column, digest: Column, occurrence: Column, seed: str = SEED) -> Column:
+    """A number from 0 to below 1: 52 bits of SHA-256 of seed, id, digest of the text and occurrence."""
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), digest, occurrence.cast("string"))
+    return F.conv(F.substring(F.sha2(name, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def numbered(rows: DataFrame, doc_id: str, digest: str, source: str, name: str) -> DataFrame:
+    """rows with a column `name`: 1, or among rows equal in id and digest their number in the order of sources."""
+    again = cut(rows.groupBy(F.col(doc_id).alias("again_id"), F.col(digest).alias("again_digest")).count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        return rows.withColumn(name, F.lit(1))
+    same = rows[doc_id].eqNullSafe(again["again_id"]) & (rows[digest] == again["again_digest"])
+    order = Window.partitionBy(doc_id, digest).orderBy(F.col(source).asc_nulls_last())
+    return rows.join(again, same, "left_anti").withColumn(name, F.lit(1)).union(rows.join(again, same, "left_semi").withColumn(name, F.row_number().over(order)))
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -57,42 +73,45 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     s = cut(_ranked(sources.groupBy("source").agg(F.sum("source_size").alias("source_size"))).select("source", "source_size", w.alias("weight")))
     total, held = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.coalesce("source", F.lit(""))) + 64), F.lit(0))).first()
-    size, full, last = F.col("source_size"), None, None
-    left, share = float(total), 0.0
-    while True:  # each round fills at least one source more, in practice all of about one ratio
-        above = F.lit(False) if full is None else full
-        filled, share = s.agg(F.coalesce(F.sum(F.when(above, size * most)), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0)).cast("double")).first()
-        left = total - filled
-        if (filled, share) == last or not share:
+    size = F.col("source_size")
+    left, share, last = float(total), None, None
+    while True:  # the level rises, and with it the sources that are full; in practice a few rounds
+        full = F.lit(False) if share is None else size * most * share < F.col("weight") * left
+        filled, rest = s.agg(F.coalesce(F.sum(F.when(full, size * most)), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).cast("double")).first()
+        if (filled, rest) == last or not rest:
             break
-        last = (filled, share)
-        full = above | (size * most * share < F.col("weight") * left)
-    above = F.lit(False) if full is None else full
-    out = s.select("source", "source_size", F.when(above | F.lit(not share), (size * most).cast("double")).otherwise(F.col("weight") * F.lit(left) / F.lit(share or 1.0)).alias("target"))
+        last, left, share = (filled, rest), total - filled, rest
+    out = s.select("source", "source_size", F.when(full | F.lit(not rest), (size * most).cast("double")).otherwise(F.col("weight") * F.lit(left) / F.lit(share or 1.0)).alias("target"))
     return F.broadcast(out) if held <= BROADCAST_BYTES else out
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    return _times(sized, weights, most, seed)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), digest_of(F.col(text_col)).alias("digest"))
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "name")
+    rows = numbered(sized, "doc_id", "digest", "source", "occurrence")
+    u = draw(F.col("doc_id"), F.col("digest"), F.col("occurrence"), seed)
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "source_size", "target", _times(_rate(F.col("target"), F.col("source_size")), u).alias("times"))
 
 
-def _times(sized: DataFrame, weights: Sequence[float], most: float, seed: str) -> DataFrame:
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "name")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    times = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("times", times.cast("long"))
+def _rate(target: Column, size: Column) -> Column:
+    return F.when(size > 0, target / size).otherwise(0.0)
+
+
+def _times(rate: Column, u: Column) -> Column:
+    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The mixed corpus: rows of docs, each as often as the plan says, with all columns of docs."""
-    sized = docs.withColumns({"__source": F.col(source_col), "__size": size_of(F.col(text_col))})
-    goal = targets(sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size")), weights, most)
-    goal = goal.select(F.col("source").alias("__name"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
-    times = F.floor("__rate") + F.when(draw(F.col(id_col), seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    rows = docs.join(goal, F.col(source_col).eqNullSafe(F.col("__name"))).withColumn("__times", times.cast("int"))
-    return rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    """The mixed corpus: rows of docs, each as often as the plan says, with all columns of docs, whatever their names."""
+    sized = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    name, rate, digest, occurrence, copy = fresh(docs.columns, "name", "rate", "digest", "occurrence", "copy")
+    goal = goal.select(F.col("source").alias(name), _rate(F.col("target"), F.col("source_size")).alias(rate))
+    rows = numbered(docs.withColumn(digest, digest_of(F.col(text_col))), id_col, digest, source_col, occurrence)
+    times = _times(F.col(rate), draw(F.col(id_col), F.col(digest), F.col(occurrence), seed)).cast("int")
+    rows = rows.join(goal, F.col(source_col).eqNullSafe(F.col(name))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), times)))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +121,8 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest,
+    row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')) ORDER BY source NULLS LAST) AS occurrence FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -119,7 +139,7 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN edge.k IS NULL OR ordered.k < edge.k THEN CAST(3 * source_size AS DOUBLE) ELSE w * rest / edge.share END AS target FROM ordered, edge
 ), drawn AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    CAST(CAST('0x' || substr(sha256('mix-1:' || CAST(coalesce(doc_id, 0) AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+    CAST(CAST('0x' || substr(sha256('mix-2:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || CAST(occurrence AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source
 )
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM drawn
