@@ -3,12 +3,14 @@
 Templates are cut into words and hashed in runs of K words; of each WINDOW
 consecutive runs the least hash is kept, in an inverted index from hash to
 template and place. A text's runs that are in the index are hits; a text that
-shares K + WINDOW - 1 words in a row with a template has one. Hits on one template
-that are close together make a region, and in each region the template is aligned
-with the text in a band about the hits' diagonals (words match or not; local
-alignment, matches +2, others -1), and again with what is left of it. A row is
-given for each alignment in which at least LEAST of the template's words match:
-how many, their share, and the span.
+shares K + WINDOW - 1 words in a row with a template has one. A hit where the whole
+template stands word for word is a match at once. The other hits on one template
+whose diagonals are close together make a region, and in each region the template is
+aligned with the text in a band about the hits' diagonals (words match or not; local
+alignment, matches +2, others -1), and again with what is left of it. A region's
+diagonals reach as far as SPREAD, or half the template, so the work grows with the
+number of hits and not with its square. A row is given for each alignment in which
+at least LEAST of the template's words match: how many, their share, and the span.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, without
 regard to A-Z's case. The index is made of the given templates alone, so it is of
@@ -32,6 +34,8 @@ from .common import plain, read, tune
 K, WINDOW = 3, 2
 #: Words by which the band reaches to either side of the hits' diagonals.
 BAND = 8
+#: Words by which the diagonals of a region's hits differ, at most (half a template's words if that is more).
+SPREAD = 32
 #: Least share of a template's words that match.
 LEAST = 0.7
 
@@ -48,6 +52,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "All-rights-reserved": "All rights reserved.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
@@ -144,25 +156,33 @@ def scan(text: str, index: Index, least: float = LEAST) -> list[tuple[int, int,
             hits.setdefault(t, []).append((p, p - q))
     out = []
     for t, found in sorted(hits.items()):
-        size = len(index.templates[t])
+        template = index.templates[t]
+        size, reach = len(template), max(SPREAD, len(template) // 2)
+        free, rest, end = ids.copy(), [], -1
+        for p, d in found:  # in the order of the text
+            if d >= max(0, end) and d + size <= len(ids) and (ids[d : d + size] == template).all():
+                out.append((t, size, d, d + size))
+                free[d : d + size], end = 0, d + size
+            elif p >= end:
+                rest.append((p, d))
         regions: list[list[tuple[int, int]]] = []
-        for p, d in sorted(found, key=lambda x: (x[1], x[0])):  # of like diagonals
-            if regions and d - regions[-1][-1][1] <= 2 * BAND:
+        for p, d in sorted(rest, key=lambda x: (x[1], x[0])):  # of like diagonals
+            if regions and d - regions[-1][-1][1] <= 2 * BAND and d - regions[-1][0][1] <= reach:
                 regions[-1].append((p, d))
             else:
                 regions.append([(p, d)])
-        free = ids.copy()
         for r in regions:
             while r:  # a region can hold the template several times: what is found is taken out
                 low, high = r[0][1] - BAND, r[-1][1] + BAND
                 first = max(0, low)
-                matched, a, b = align(index.templates[t], free[first : high + size + 1].tolist(), low - first, high - first)
-                if matched < least * size:
-                    break
+                matched, a, b = align(template, free[first : high + size + 1].tolist(), low - first, high - first)
                 a, b = a + first, b + first
-                out.append((t, matched, a, b))
-                free[a:b] = 0
-                r = [(p, d) for p, d in r if not a <= p < b]
+                if matched >= least * size:
+                    out.append((t, matched, a, b))
+                    free[a:b] = 0
+                # the best score may be too few matches, and another place in the region have enough
+                left = [(p, d) for p, d in r if not a <= p < b and free[p]]
+                r = left if len(left) < len(r) else r[1:]
     return out
 
 
@@ -179,8 +199,9 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *,
                 if found := scan(text, index, least):
                     raw = text.encode()
                     spans = [m.span() for m in _WORD.finditer(raw.lower())]
+                    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # before each byte
                     for t, matched, first, last in found:
-                        start, end = (len(raw[:x].decode()) for x in (spans[first][0], spans[last - 1][1]))
+                        start, end = int(chars[spans[first][0]]), int(chars[spans[last - 1][1]])
                         size = len(index.templates[t])
                         rows.append((doc_id, index.names[t], matched, size, matched / size, start, end))
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
