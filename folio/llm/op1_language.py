@@ -3,8 +3,8 @@
 For each language the log-probabilities of independent evidence add up:
 
 * the text, by character trigrams (hashed, smoothed counts) of a model fitted on
-  a bounded sample of labelled documents; trigrams overlap and repeat, so their
-  sum is tempered;
+  a bounded sample of each language's labelled documents, however rare it is;
+  trigrams overlap and repeat, so their sum is tempered;
 * the declared markup language and the address's suffix (a country's or a path's
   language), each right with a fixed probability;
 * the host, by how often its texts alone suggest each language: counts of the
@@ -16,8 +16,9 @@ One more hypothesis, "und", stands for text of none of the languages: all
 trigrams alike. A row is rejected if "und" wins, if it has no trigram at all, or
 if the best posterior is below a threshold.
 
-Counts are pre-aggregated by host, and a hot host's rows are joined to its counts
-in SALT parts. Null or empty texts, and texts without letters, have no trigrams:
+Counts are pre-aggregated by host. Rows without a host go round the join; the rows
+of hosts with more than one row in HOT (so fewer than HOT hosts) are joined to their
+counts in SALT parts. Null or empty texts, and texts without letters, have no trigrams:
 they get the best language of the other evidence and are rejected. Null hosts,
 suffixes and declarations give no evidence. Repeated rows count as often as they
 occur.
@@ -31,12 +32,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, read, tune
 
-#: Labelled documents that the trigram counts are taken from, at most.
-FIT_ROWS = 4_000
+#: Labelled documents of a language that the trigram counts are taken from, at most: those with the smallest hashes.
+FIT_ROWS = 1_000
 HASHES = 1 << 15
 #: Weight of a trigram's log-probability, and the number of trigrams beyond which a text counts as this many.
 TEMPER, ENOUGH = 0.3, 400
@@ -44,13 +45,13 @@ TEMPER, ENOUGH = 0.3, 400
 UND, RIGHT_DECLARED, RIGHT_SUFFIX, LEAST = 0.001, 0.9, 0.8, 0.4
 #: Rows' worth of the parent's shares in a host's or domain's.
 PRIOR = 5.0
-SALT = 16
-#: Languages at most; the most frequent are taken.
-MOST_LANGUAGES = 64
+HOT, SALT = 64, 16
 STEP_CHARS = 1_000_000
 
 # Languages that country domains suggest.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt", "pl": "pl"}
+# Second labels under which country domains are registered.
+SECOND_LEVEL = "ac co com edu gob gov gouv ltd me mil ne net or org plc sch".split()
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
 
@@ -84,11 +85,13 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_ROWS) -> Model:
-    """Trigram counts of at most `most` labelled rows, added up on the executors; HASHES numbers for each language reach the driver."""
+    """Trigram counts of at most `most` distinct texts of each language, added up on the executors; HASHES numbers for each language reach the driver."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    ids = rows.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(most).distinct()
-    rows = rows.join(F.broadcast(ids), "id").select("text", "lang")  # at most 4,000 ids
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    use = rows.select("lang", "h").distinct().withColumn("k", first).where(F.col("k") <= most).drop("k")
+    use = cut(use)  # at most `most` rows of a language
+    rows = rows.join(use, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -100,11 +103,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "hash": at, "n": n[at]})
 
     got = rows.mapInArrow(run, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    languages = sorted(names)
+    got = got.toArrow()
+    languages = sorted(set(got.column("lang").to_pylist()) | {r["lang"] for r in use.select("lang").distinct().collect()})
+    place = {x: k for k, x in enumerate(languages)}
     n = np.full((HASHES, len(languages) + 1), 0.1)
-    for r in got.where(F.col("lang").isin(languages)).toPandas().itertuples() if languages else ():
-        n[r.hash, languages.index(r.lang)] += r.n
+    n[got.column("hash").to_numpy(), [place[x] for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()
     n[:, -1] = 1.0
     return Model(languages, np.log(n / n.sum(axis=0)).astype(np.float32))
 
@@ -167,8 +170,15 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     domains = hosts.groupBy("domain", "top").agg(*add).join(tops, "top")
     domains = domains.select("domain", F.array(*shares(domains, [F.col("above")[i] for i in range(k)])).alias("above"))
     hosts = hosts.join(domains, "domain").select("host", F.array(*[F.col(f"n{i}").cast("double") for i in range(k)]).alias("counts"), "above")
-    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "trigrams"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left")
+    known = rows.where("host is not null")
+    sizes = known.groupBy("host").count()
+    least = (sizes.agg(F.sum("count")).first()[0] or 0) / HOT
+    hot = [r["host"] for r in sizes.where(F.col("count") > least).collect()]  # fewer than HOT
+    salts = F.when(F.col("host").isin(hot), SALT).otherwise(1)
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    joined = known.withColumn("salt", F.pmod(F.xxhash64("id", "trigrams"), salts).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+    alone = rows.where("host is null").select("*", F.lit(None).cast("array<double>").alias("counts"), F.lit(None).cast("array<double>").alias("above"))
+    rows = joined.unionByName(alone)
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
     own = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
     prior = [
@@ -185,19 +195,22 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def address(url: Column) -> dict[str, Column]:
-    """host, domain (its last two labels), top (its last), and the language that the country or a two-letter first folder suggests."""
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    labels = F.split(host, r"\.")
-    top = F.element_at(labels, -1)
+    """host, domain (as registered: its last two labels, or three where the second to last is one that countries register under; an IP address whole), top (its last label; of an IP address all), and the language that the country or a two-letter first folder suggests."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    labels = F.split(F.rtrim(host, F.lit(".")), r"\.")
+    number = host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$|^\[")
+    top = F.when(number, host).otherwise(F.element_at(labels, -1))
+    many = F.when((F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(SECOND_LEVEL), 3).otherwise(2)
+    domain = F.when(number, host).otherwise(F.array_join(F.slice(labels, F.greatest(F.size(labels) - many + 1, F.lit(1)), many), "."))
     folder = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     countries = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
     known = lambda x: F.when(host != "", x)
-    return {"host": known(host), "domain": known(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), "top": known(top), "suffix": F.coalesce(countries[top], F.when(folder != "", folder))}
+    return {"host": known(host), "domain": known(domain), "top": known(top), "suffix": F.coalesce(countries[top], F.when(folder != "", folder))}
 
 
 def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
     """pages (page_id, url, html): the declared language is that of the html tag."""
-    tune(pages.sparkSession, 200)
+    tune(pages.sparkSession)
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     rows = pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.when(declared != "", declared).alias("declared"), *[c.alias(n) for n, c in address(F.col("url")).items()])
     return fuse(with_evidence(rows, model, html=True), model)
