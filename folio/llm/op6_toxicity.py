@@ -14,7 +14,8 @@ is scored.
 
 Null texts are empty, and an empty text gets the score of its features like any
 other. Null ids count as id "". Labels that are null are not used; an id with
-several labels or several documents is used once for each pair. Without any
+several labels is used once for each of them, one with several documents with the
+text of the least hash. Without any
 labelled rows, or with labels of one kind only, every score is their mean (0
 without rows). Repeated rows get equal scores.
 """
@@ -211,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most: i
     spark = docs.sparkSession
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y in (0, 1)").where(remainder(F.col("doc_id")) != 0)
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)  # at most 20,000 rows of two numbers
-    rows = docs.join(F.broadcast(use), "doc_id").select("doc_id", "text", "y").persist()
+    rows = docs.join(F.broadcast(use), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y").persist()
     size = dict(rows.groupBy("y").count().collect())
     n1, n0 = size.get(1.0, 0), size.get(0.0, 0)
 
@@ -243,21 +244,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", most: i
     return Model(words, beginnings, x, got["y"].to_numpy(np.float64), calibrates)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score and predicted; other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def scored(docs: DataFrame, model: Model, *, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with two more columns, whose names docs must not have; all others stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         lexicon = m.lexicon()
         for b in batches:
-            texts = b.column("text")
+            texts = b.column(at)
             x = np.array([features(texts[k].as_py() or "", lexicon) for k in range(b.num_rows)], np.float64).reshape(-1, len(FEATURES))
             s = m.score(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, score, predicted])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
