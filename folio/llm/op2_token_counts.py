@@ -7,8 +7,9 @@ encoded once each and appended; every document then takes its count from the
 cache by a join.
 
 Only texts that occur once in the cache's misses travel, each once for each task
-that holds it, so a text with a third of all rows costs one row a task. The join
-of documents to counts leaves a hot digest to Spark's skew-join splitting.
+that holds it, so a text with a third of all rows costs one row a task. Digests of
+more than one document in HOT (so fewer than HOT of them) are joined to their counts
+by a broadcast, all others by a shuffle.
 Repeated rows give repeated results; rows with a null id are kept.
 """
 
@@ -27,6 +28,8 @@ from .common import plain, read, scratch, tune
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = "digest binary, n_tokens long"
+#: A digest of more than one document in so many is hot.
+HOT = 1000
 #: Words whose counts a worker remembers.
 MEMO_WORDS = 300_000
 #: Characters encoded at once.
@@ -141,7 +144,12 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str | None = None, *, i
     fill(keyed.select("digest", "text"), cache, tokenizer)
     counts = cached(docs.sparkSession, cache, tokenizer)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return sized.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    least = sized.count() / HOT
+    hot = [r["digest"] for r in sized.groupBy("digest").count().where(F.col("count") > least).select("digest").collect()] if least >= 1 else []  # fewer than HOT
+    few = F.broadcast(counts.where(F.col("digest").isin([bytes(x) for x in hot])))
+    is_hot = F.col("digest").isin([bytes(x) for x in hot])
+    joined = sized.join(counts, "digest", "left") if not hot else sized.where(~is_hot).join(counts, "digest", "left").union(sized.where(is_hot).join(few, "digest", "left"))
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
