@@ -237,17 +237,72 @@ def test_fingerprints(spark, docs, empty):
 def test_sketches(spark):
     texts = [(k, prose(k, n)) for k, n in enumerate((0, 1, 4, 5, 6, 40, 400, 3000))]
     d = spark.createDataFrame([(k, t, f"{t} {texts[(k + 1) % 8][1]}") for k, t in texts], "doc_id long, text string, both string")
-    d = d.withColumn("h", op7.words_of(F.col("text"))).withColumn("h", op7.hashes_of(F.col("h")))
+    d = d.withColumn("w", op7.words_of(F.col("text"))).withColumn("h", op7.hashes_of(F.col("w")))
+    # the shingles' hashes, one by one, by a plain expression of their words
+    want = d.select("doc_id", "w", "h").collect()
+    runs = [(r["doc_id"], k, *r["w"][k : k + 5]) for r in want for k in range(len(r["w"]) - 4)]
+    plain = {(r["i"], r["k"]): r["h"] for r in spark.createDataFrame(runs, "i long, k long, a string, b string, c string, d string, e string").select("i", "k", F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()}
+    for r in want:
+        assert r["w"] == texts[r["doc_id"]][1].split()
+        assert r["h"] == [plain[r["doc_id"], k] for k in range(len(r["w"]) - 4)] if len(r["w"]) > 4 else len(r["h"]) == min(1, len(r["w"]))
+    unsigned = lambda h: h & (2**64 - 1)
     s = op7.sketched(d, "text", "s").collect()
     for r in s:
-        low = sorted({h for h in r["h"] if (h & (2**64 - 1)) >> 1 < (1 << 63) // op7.SCALE})
-        assert r["s"] == (low or ([min(r["h"])] if r["h"] else []))
+        low = sorted({unsigned(h) for h in r["h"]})
+        keep = max(op7.LEAST, sum(h < 2**64 // op7.SCALE for h in low))
+        assert [unsigned(h ^ -(1 << 63)) for h in r["s"]] == low[:keep]
     # a union's sketch follows from the sketches of its parts
-    a, b = op7.kept(F.col("x")), op7.kept(F.col("y"))
-    u = spark.createDataFrame([(s[6]["h"], s[7]["h"], s[6]["h"] + s[7]["h"]), (s[2]["h"], s[6]["h"], s[2]["h"] + s[6]["h"])], "x array<long>, y array<long>, z array<long>")
-    least = lambda k, h: F.when(F.size(k) > 0, k).otherwise(F.array(F.array_min(h)))
-    r = u.select(op7.merged(least(a, F.col("x")), least(b, F.col("y"))).alias("m"), least(op7.kept(F.col("z")), F.col("z")).alias("w")).collect()
-    assert all(x["m"] == x["w"] for x in r)
+    both = spark.createDataFrame([(s[a]["h"], s[b]["h"], s[a]["h"] + s[b]["h"]) for a, b in ((6, 7), (2, 6), (5, 4), (0, 6), (0, 0))], "x array<long>, y array<long>, z array<long>")
+    of = lambda c: op7.kept(F.sort_array(F.array_distinct(F.transform(c, op7.ordered))))
+    assert all(x["m"] == x["w"] for x in both.select(of("x").alias("x"), of("y").alias("y"), of("z").alias("w")).select(op7.merged(F.col("x"), F.col("y")).alias("m"), "w").collect())
+
+
+def test_containment_estimates(spark):
+    """Of unequal texts: near the true share; of short ones: exactly that."""
+    rows = []
+    for k in range(40):
+        n, m = (30, 30) if k % 2 else (600, 6000)
+        words = [f"w{k}x{j}" for j in range(n)]
+        cut = n * (k % 5) // 5
+        rows.append((k, " ".join(words), " ".join([*words[:cut], *(f"o{k}x{j}" for j in range(m))])))
+    d = spark.createDataFrame(rows, "k long, a string, b string")
+    for r in op7.sketched(op7.sketched(d, "a", "x"), "b", "y").select("k", op7.containment(F.col("x"), F.col("y")).alias("c")).collect():
+        a, b = (op_shingles(t) for t in rows[r["k"]][1:])
+        share = len(a & b) / len(a)
+        assert abs(r["c"] - share) < (0.13 if len(a) > 100 else 0.4)
+    few = spark.createDataFrame([("a b c d e f g h i", "x a b c d e f g"), ("", ""), ("a", ""), ("", "a"), ("a b", "a b")], "a string, b string")
+    got = [r["c"] for r in op7.sketched(op7.sketched(few, "a", "x"), "b", "y").select(op7.containment(F.col("x"), F.col("y")).alias("c")).collect()]
+    assert got == [3 / 5, 1.0, 0.0, 0.0, 1.0]
+
+
+def op_shingles(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_ranges_follow_rows(spark, monkeypatch):
+    rows = [(k, f"text {k}") for k in range(2000)] + [(2**60, "far"), (-(2**62), "near")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in op7.with_ranges(d).groupBy("range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 900 and sum(sizes) == len(rows) + len(sizes)
+    got = {r["doc_id"]: r["next_text"] for r in op7.with_next(d).collect()}
+    order = sorted(rows)
+    assert got == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+
+
+def test_fingerprints_query(spark, docs, empty, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7.op7_fingerprints(spark, str(tmp_path)).collect()
+    named = sorted((i, t or "") for i, t in TEXTS if i is not None)
+    after = [named[(k + 1) % len(named)][1] for k in range(len(named))]
+    want = Counter()
+    for (i, t), n in [*zip(named, after), *(((None, t or ""), t or "") for i, t in TEXTS if i is None)]:
+        q = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and (r["n_chars"] > 0 or r["fingerprint"] == "") for r in got)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op7.op7_fingerprints(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_near_next_and_edited(spark, tmp_path):
@@ -286,19 +341,105 @@ def test_tree_learns_order(spark):
     assert got and all(x["score"] > 0.62 * x["base_score"] for x in got)  # the second of a pair is certain
 
 
-def test_tree_is_a_distribution(spark):
-    """What follows any state sums to one over the words known and one unknown word of each class."""
-
-    class Known:
-        pass
+def brute_tree(texts, modulus=10):
+    """Scores by dictionaries of contexts of any length, one state at a time."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % modulus == 0
+    token = lambda t: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [b""]
+    c = Counter(w for i, t in texts if not held(i) for w in token(t))
+    mass = sum(c.values()) + op9.ADD * (len(c) + 1)
+    own = set(sorted(c, key=lambda w: -c[w])[: op9.OWN])  # in the test all words are
+    assert len(c) <= op9.OWN
+    symbol = lambda w: w if w in own else op9.class_of(w)
+    base = {w: c[w] + op9.ADD for w in own} | {k: op9.ADD for k in range(op9.CLASSES)}
+    base = {s: x / sum(base.values()) for s, x in base.items()}
+    follow = {}
+    for i, t in texts:
+        s = ["start", *map(symbol, token(t))]
+        for k in range(1, len(s)):
+            for d in range(1, min(op9.DEPTH, k) + 1):
+                follow.setdefault(tuple(s[k - d : k]), Counter())[s[k]] += not held(i)
+
+    known = {}
+
+    def chance(context):
+        """Distribution of the longest state kept that ends the context."""
+        if context not in known:
+            if not context:
+                known[context] = base
+            else:
+                parent, n = chance(context[1:]), {s: x for s, x in follow.get(context, Counter()).items() if x}
+                total = sum(n.values())
+                nats = sum(x * math.log(x / total / parent[s]) for s, x in n.items())
+                keep = total >= op9.STATE and nats >= op9.LEAST * total and 2 * nats >= len(n) + op9.DEVIATIONS * math.sqrt(2 * len(n))
+                known[context] = {s: (n.get(s, 0) + op9.PRIOR * p) / (total + op9.PRIOR) for s, p in parent.items()} if keep else parent
+        return known[context]
+
+    out = []
+    for i, t in texts:
+        s, score = ["start", *map(symbol, token(t))], 0.0
+        for k, w in enumerate(token(t), 1):
+            score += math.log10((c[w] + op9.ADD) / mass) + math.log10(chance(tuple(s[max(0, k - op9.DEPTH) : k]))[s[k]] / base[s[k]])
+        out.append((i, score))
+    return out, known, base
+
+
+def test_tree_scores(spark, monkeypatch):
+    import random
 
-    known = Known()
+    monkeypatch.setattr(op9, "STEP", 700)
+    r = random.Random(5)
+    after = {}
+    texts = []
+    for k in range(260):
+        words = ["the", "garden"]
+        for _ in range(r.randrange(0, 90)):
+            # what follows depends on four words
+            choice = after.setdefault(tuple(words[-4:]), r.sample("the garden Of".split(), 1))
+            words.append(r.choice(choice) if r.random() < 0.9 else f"rare{r.randrange(400)}")
+        texts.append((k, " ".join(words)))
+    texts += [(7, texts[3][1]), (None, "the garden of nowhere"), (1000, None), (1001, ""), (1001, "")]
+    want, known, base = brute_tree(texts)
+    assert max(len(c) for c in known if known[c] is not known.get(c[1:], base)) == op9.DEPTH  # states of all lengths
+    assert all(sum(p.values()) == pytest.approx(1) for p in known.values())
+    got = rows(op9.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)), "doc_id", "score")
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5)
+
+
+def test_states_grow_with_the_corpus():
+    """The same texts ten times over: contexts too rare before are states."""
     rng = np.random.default_rng(0)
-    known.base = rng.random(op9.CLASSES + 5)
-    known.base /= known.base.sum()
-    tree = op9.Tree(known)
-    import pyarrow as pa
-
-    table = pa.table({"context": np.array([0, 0, 1], np.int32), "symbol": np.array([1, 2, 3], np.int32), "n": np.array([5000, 3000, 9000], np.int64)})
-    tree.learn(table, np.array([op9.START, 4]), 1)
-    assert len(tree.chance) == 3 and all(p.sum() == pytest.approx(1) for p in tree.chance)
+    base = np.full(op9.CLASSES + 5, 1 / (op9.CLASSES + 5))
+    code = np.unique(rng.integers(0, 5, 400) << op9.BITS * 4 | rng.integers(0, 5, 400) << op9.BITS * 3 | rng.integers(0, 5, 400) << op9.BITS * 2 | rng.integers(0, 5, 400) << op9.BITS | rng.integers(0, 2, 400))
+    n = np.full(len(code), 2)
+    kept = []
+    for times in (1, 10, 100):
+        root = op9.Root(np.zeros((op9.START + 1, op9.START + 1), np.int64), base)
+        p = op9.deepened(code, n * times, root)
+        kept.append(len(np.unique(p.round(12))))
+    assert kept[0] < kept[1] <= kept[2]
+
+
+def test_blocks_of_empty_texts(spark, monkeypatch):
+    """Empty and equal texts fill blocks too."""
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 64 * 50)
+    d = spark.createDataFrame([(k, "" if k % 2 else "same words") for k in range(1000)], "doc_id long, text string").coalesce(1)
+    packed = exchange.blocks(d, str.split, str.encode, 4)
+    assert packed.where("meta is not null").count() >= 10
+    assert op8.encode(d, digests=True).count() == 1000
+
+
+def test_changed_blocks_are_an_error(spark):
+    rows_ = exchange.blocks(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string").coalesce(1), str.split, str.encode, 2)
+    part = rows_.where("post is null or bucket <> 0")
+    with pytest.raises(Exception, match="input changed"):
+        exchange.assemble(part, lambda block, docs, parts: None, "x long").collect()
+
+
+def test_counts_of_hot_digests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op2, "HOT", 5)
+    d = spark.createDataFrame([(k, "the same text" if k % 2 else f"text {k}") for k in range(60)], "doc_id long, text string")
+    got = rows(op2.count_tokens(d, f"file://{tmp_path}/cache"), "doc_id", "n_tokens")
+    count = op2.counter(public_tokenizers.path(op2.VOCABULARY)).counts
+    assert got == [(k, count(["the same text" if k % 2 else f"text {k}"])[0]) for k in range(60)]
