@@ -298,7 +298,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     sequences(counted.where("not summary").drop("summary"), known).write.option("compression", "none").parquet(f"{at}/sequences")
     seqs = spark.read.schema(SEQUENCES).parquet(f"{at}/sequences")
     counts = first_counts(seqs)
-    model = spark.sparkContext.broadcast((Root(counts, known.base), np.pad(counts >= STATE, ((0, 1), (0, 1)))))  # of bounded size
+    model = spark.sparkContext.broadcast((Root(counts, known.base), np.pad(counts.T >= STATE, ((0, 1), (0, 1)))))  # of bounded size
     parts = buckets or min(exchange.MOST_BUCKETS, max(8, -(-known.tokens // BUCKET_TOKENS)))
     n_train, scale = known.tokens, float(np.log10(known.mass))
 
