@@ -21,7 +21,8 @@ States of one symbol are a table of bounded size, which every task holds. Longer
 ones never reach the driver: each block of texts sends its distinct runs of
 DEPTH + 1 symbols, once with their number, to a bucket by the last two symbols of
 the context. A bucket so has all that its states need, deepens them step by step,
-and sends back one number for each run, in the block's order. The number of
+and sends back one number for each run (the ratio to its state of one
+symbol), in the block's order. The number of
 buckets follows the number of tokens.
 
 Nulls are empty texts (one token, the end). A row with a null id counts as held
@@ -55,6 +56,8 @@ STATE = 32
 PRIOR = 20.0
 #: Least divergence from the parent in nats a token, and deviations by which the test statistic must exceed its mean.
 LEAST, DEVIATIONS = 0.002, 4.0
+#: Groups of symbols that are added up apart.
+GROUPS = 16
 #: Tokens whose runs are sent together, and tokens for each bucket of runs.
 STEP, BUCKET_TOKENS = 1 << 20, 2 << 20
 
@@ -190,14 +193,30 @@ def first_counts(seqs: DataFrame) -> np.ndarray:
                     code, doc = text.part(a, min(text.n, a + STEP))
                     pair = (code >> BITS * DEPTH) * size + (code & MASK)
                     total += np.bincount(pair, times[doc], size * size).astype(np.int64)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"pair": at[k : k + (1 << 16)], "n": total[at[k : k + (1 << 16)]]})
+        total = total.reshape(size, size)
+        yield from exchange.batched(({"bucket": b, "block": 0, "step": 0, "runs": _sparse(total[b::GROUPS])} for b in range(GROUPS)), _RUNS)
 
-    got = seqs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, np.int64)
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for bucket, frame in zip(b.column("bucket").to_pylist(), b.column("runs").to_pylist()):
+                n = totals.setdefault(bucket, np.zeros((len(range(bucket, size, GROUPS)), size), np.int64))
+                at, more = _opened(frame)
+                n.reshape(-1)[at] += more
+        yield from exchange.batched(({"bucket": b, "block": 0, "step": 0, "runs": _sparse(n)} for b, n in totals.items()), _RUNS)
+
+    out = np.zeros((size, size), np.int64)
+    for r in seqs.mapInArrow(run, RUNS).repartition("bucket").mapInArrow(add, RUNS).toArrow().to_pylist():
+        at, n = _opened(r["runs"])
+        part = np.zeros(out[r["bucket"] :: GROUPS].shape, np.int64)
+        part.reshape(-1)[at] = n
+        out[r["bucket"] :: GROUPS] = part
+    return out
+
+
+def _sparse(n: np.ndarray) -> bytes:
+    at = np.flatnonzero(n)
+    return _packed(at, n.reshape(-1)[at])
 
 
 def differs(nats: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -273,14 +292,15 @@ class Runs:
 
     def ratios(self, frames: dict[int, bytes], root: Root) -> np.ndarray:
         """log10 of P(symbol | state) / P0(symbol) of each token, from what the buckets gave."""
-        p = root.of(self.code)
+        out = np.log10(root.of(self.code) / root.base[self.code & MASK])
         got = np.zeros(len(self.codes), np.float32)
         for b in np.flatnonzero(np.diff(self.edge)).tolist():
-            got[self.edge[b] : self.edge[b + 1]] = np.frombuffer(exchange.unpack(frames[b])[0], np.float32)
+            planes = np.frombuffer(exchange.unpack(frames[b])[0], np.uint8).reshape(4, -1)
+            got[self.edge[b] : self.edge[b + 1]] = np.ascontiguousarray(planes.T).view(np.float32).ravel()
         back = np.empty_like(got)
         back[self.order] = got
-        p[self.use] = back[self.inverse]
-        return np.log10(p / root.base[self.code & MASK])
+        out[self.use] += back[self.inverse]
+        return out
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, buckets: int | None = None) -> DataFrame:
@@ -318,9 +338,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
         code, of = np.unique(np.concatenate(codes), return_inverse=True)
         n = np.bincount(of, np.concatenate(counts), len(code)).astype(np.int64)
         del codes, counts
-        p, a = deepened(code, n, root).astype(np.float32), 0
-        for (block, step, _), size in zip(held, sizes):
-            yield {"bucket": bucket, "block": block, "step": step, "runs": exchange.pack(p[of[a : a + size]])}
+        ratio, a = np.log10(deepened(code, n, root) / root.of(code)).astype(np.float32), 0
+        for (block, step, _), size in zip(held, sizes):  # zero where no longer state is kept; like bytes together
+            yield {"bucket": bucket, "block": block, "step": step, "runs": exchange.pack(ratio[of[a : a + size]].view(np.uint8).reshape(-1, 4).T)}
             a += size
 
     def deepen(batches):
