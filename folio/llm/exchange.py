@@ -231,8 +231,8 @@ def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 8 << 20) -> Ite
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def values(rows: DataFrame, value: Callable[[Lists], Iterator[list]]) -> DataFrame:
-    """One call of value for each bucket: the word lists and weights of all blocks, to an iterator over what each block gets for its list (parts to be packed); what it gives further becomes rows of block SUMMARY. Other rows pass."""
+def values(rows: DataFrame, value: Callable[[Lists], Iterator[list]], buckets: int) -> DataFrame:
+    """A task for each bucket, and one call of value for each bucket: the word lists and weights of all blocks, to an iterator over what each block gets for its list (parts to be packed); what it gives further becomes rows of block SUMMARY. Other rows pass."""
 
     def answers(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[dict]:
         got = value(Lists([w for _, w in held]))
@@ -258,7 +258,7 @@ def values(rows: DataFrame, value: Callable[[Lists], Iterator[list]]) -> DataFra
         if held:
             yield from batched(answers(bucket, held), _ROW)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
 
 
 class Parts:
@@ -273,7 +273,7 @@ class Parts:
             yield bucket, np.cumsum(widen(*p[:2])), widen(*p[2:4]), unpack(words)
 
 
-def assemble(rows: DataFrame, whole: Callable, schema: str) -> DataFrame:
+def assemble(rows: DataFrame, whole: Callable, schema: str, tasks: int) -> DataFrame:
     """One call of whole for each block: its number, documents and Parts, to the result's columns. Positions run through the block's texts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -290,4 +290,4 @@ def assemble(rows: DataFrame, whole: Callable, schema: str) -> DataFrame:
             raise RuntimeError("a block lacks parts: the input changed while it was read; cut its lineage")
         return whole(table.column("block")[0].as_py(), docs, Parts([(k, words[k], posts[k]) for k in sorted(words)]))
 
-    return rows.groupBy("block").applyInArrow(run, schema)
+    return rows.repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)

@@ -69,7 +69,8 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
     tune(spark)
     path = path or public_tokenizers.path(VOCABULARY)
     docs = plain(docs, id_col, text_col)
-    rows = exchange.blocks(docs, _words(public_tokenizers.PATTERN), str.encode, buckets or exchange.buckets_for(docs))
+    buckets = buckets or exchange.buckets_for(docs)
+    rows = exchange.blocks(docs, _words(public_tokenizers.PATTERN), str.encode, buckets)
 
     def value(lists):
         e, own, store, starts, sizes = encoding(path), {}, [], [], []
@@ -109,7 +110,7 @@ def encode(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id",
         return pa.table(head | {"ids_sha256": ids.take(of), "decoded_sha256": text.take(of)})
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return exchange.assemble(exchange.values(rows, value), whole, schema)
+    return exchange.assemble(exchange.values(rows, value, buckets), whole, schema, buckets)
 
 
 def decode(tokens: DataFrame, path: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -81,7 +81,7 @@ def held_out(doc_id: int | None, modulus: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == 0
 
 
-def count(rows: DataFrame) -> DataFrame:
+def count(rows: DataFrame, buckets: int) -> DataFrame:
     """Packed rows with, for each word of a block, its training count and its tag: class + CLASSES * (rank among the bucket's OWN most frequent, from 1; or 0). Summary rows hold the bucket's counts and kinds by class, and its most frequent words' counts and classes."""
 
     def value(lists):
@@ -101,7 +101,7 @@ def count(rows: DataFrame) -> DataFrame:
                 by[:, class_of(w)] += (n, 1)
         yield [by, np.array([total[w] for w in top], np.int64), np.array([class_of(w) for w in top], np.int64)]
 
-    return exchange.values(rows, value)
+    return exchange.values(rows, value, buckets)
 
 
 class Vocabulary:
@@ -133,7 +133,7 @@ class Vocabulary:
         self.base /= self.base.sum()
 
 
-def sequences(rows: DataFrame, known: Vocabulary) -> DataFrame:
+def sequences(rows: DataFrame, known: Vocabulary, tasks: int) -> DataFrame:
     """A row for each block: its documents' ids, sizes and marks, their symbols, the sums of log10(c + 0.1) and the number of known tokens."""
     symbol, schema = known.symbol, pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("meta", "symbols", "sums", "known"))])
 
@@ -149,7 +149,7 @@ def sequences(rows: DataFrame, known: Vocabulary) -> DataFrame:
         meta, symbols = exchange.pack(*docs.parts()), exchange.pack(symbols)
         return pa.table([[block], [meta], [symbols], [np.add.reduceat(logs, at).tobytes()], [np.add.reduceat(seen, at, dtype=np.int64).tobytes()]], schema=schema)
 
-    return exchange.assemble(rows, whole, SEQUENCES)
+    return exchange.assemble(rows, whole, SEQUENCES, tasks)
 
 
 class Text:
@@ -308,18 +308,19 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     spark = docs.sparkSession
     tune(spark, 4)  # a row can be a block
     docs = plain(docs, id_col, text_col)
-    rows = exchange.blocks(docs, tokens, bytes, buckets or exchange.buckets_for(docs), lambda i: not held_out(i, modulus))
+    buckets = buckets or exchange.buckets_for(docs)
+    rows = exchange.blocks(docs, tokens, bytes, buckets, lambda i: not held_out(i, modulus))
     at = scratch(spark, "pst")
-    counted = count(rows).withColumn("summary", F.col("block") == exchange.SUMMARY)
+    counted = count(rows, buckets).withColumn("summary", F.col("block") == exchange.SUMMARY)
     counted.write.partitionBy("summary").option("compression", "none").parquet(f"{at}/counts")
     schema = exchange.ROW + ", summary boolean"
     counted = spark.read.schema(schema).parquet(f"{at}/counts")
     known = Vocabulary(counted.where("summary"))
-    sequences(counted.where("not summary").drop("summary"), known).write.option("compression", "none").parquet(f"{at}/sequences")
+    sequences(counted.where("not summary").drop("summary"), known, buckets).write.option("compression", "none").parquet(f"{at}/sequences")
     seqs = spark.read.schema(SEQUENCES).parquet(f"{at}/sequences")
     counts = first_counts(seqs)
     model = spark.sparkContext.broadcast((Root(counts, known.base), np.pad(counts.T >= STATE, ((0, 1), (0, 1)))))  # of bounded size
-    parts = buckets or min(exchange.MOST_BUCKETS, max(8, -(-known.tokens // BUCKET_TOKENS)))
+    parts = min(exchange.MOST_BUCKETS, max(8, -(-known.tokens // BUCKET_TOKENS)))
     n_train, scale = known.tokens, float(np.log10(known.mass))
 
     def send(batches):
@@ -375,8 +376,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
             }))
         return pa.concat_tables(out) if out else RESULT.empty_table()
 
-    runs = seqs.mapInArrow(send, RUNS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(deepen, RUNS)
-    return seqs.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    runs = seqs.mapInArrow(send, RUNS).repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(deepen, RUNS)
+    return seqs.repartition(parts, "block").groupBy("block").cogroup(runs.repartition(parts, "block").groupBy("block")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

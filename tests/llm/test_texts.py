@@ -434,7 +434,7 @@ def test_changed_blocks_are_an_error(spark):
     rows_ = exchange.blocks(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string").coalesce(1), str.split, str.encode, 2)
     part = rows_.where("post is null or bucket <> 0")
     with pytest.raises(Exception, match="input changed"):
-        exchange.assemble(part, lambda block, docs, parts: None, "x long").collect()
+        exchange.assemble(part, lambda block, docs, parts: None, "x long", 2).collect()
 
 
 def test_counts_of_hot_digests(spark, tmp_path, monkeypatch):
