@@ -38,6 +38,8 @@ from .common import cut, read, tune
 
 #: Labelled documents of a language that the trigram counts are taken from, at most: those with the smallest hashes.
 FIT_ROWS = 1_000
+#: Rows of the sample's table that are broadcast, at most; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 HASHES = 1 << 15
 #: Weight of a trigram's log-probability, and the number of trigrams beyond which a text counts as this many.
 TEMPER, ENOUGH = 0.3, 400
@@ -88,9 +90,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Trigram counts of at most `most` distinct texts of each language, added up on the executors; HASHES numbers for each language reach the driver."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
-    use = rows.select("lang", "h").distinct().withColumn("k", first).where(F.col("k") <= most).drop("k")
-    use = cut(use)  # at most `most` rows of a language
+    # hashes below a bound that leaves a few times as many of a language as are taken, then the least of those
+    each = rows.select("lang", "h").distinct()
+    sizes = each.groupBy(F.col("lang").alias("of")).count()
+    order = F.xxhash64("h")
+    few = each.join(sizes, F.col("lang") == F.col("of")).where(F.col("count") * (F.shiftrightunsigned(order, 1) / float(1 << 63)) <= 4.0 * most + 100)
+    use = cut(few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "h"))).where(F.col("k") <= most).select("lang", "h"))  # at most `most` rows of a language
+    use = F.broadcast(use) if use.count() <= BROADCAST_ROWS else use
     rows = rows.join(use, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches):
@@ -104,7 +110,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     got = rows.mapInArrow(run, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
     got = got.toArrow()
-    languages = sorted(set(got.column("lang").to_pylist()) | {r["lang"] for r in use.select("lang").distinct().collect()})
+    languages = sorted(set(got.column("lang").to_pylist()) | {r["of"] for r in sizes.collect()})
     place = {x: k for k, x in enumerate(languages)}
     n = np.full((HASHES, len(languages) + 1), 0.1)
     n[got.column("hash").to_numpy(), [place[x] for x in got.column("lang").to_pylist()]] += got.column("n").to_numpy()

@@ -42,6 +42,8 @@ SMALL = 48
 PAIRS = 1 << 18
 #: Places in its bucket before which a text is compared first, and the factor of each further round.
 FIRST, STEP = 4, 8
+#: Bands whose neighbours are compared before all others.
+EARLY = 3
 #: Shingles that a task holds to compare texts, about.
 TASK = 1 << 20
 #: Rows gathered before their buckets are compared.
@@ -330,15 +332,15 @@ def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, g
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows of keyed (key, node) whose bucket has others."""
+    """The rows of keyed (key, node, band) whose bucket has others."""
 
     def run(batches):
-        for key, node in whole_buckets(batches):
+        for key, node, band in whole_buckets(batches):
             same = key[1:] == key[:-1]
             keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(band[keep])], names=["key", "node", "band"])
 
-    return keyed.select("key", "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+    return keyed.select("key", "node", "band").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, band int")
 
 
 def _candidates(rows: DataFrame, first: int, last: int, wide: Wide) -> DataFrame:
@@ -430,10 +432,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     only what these say links them, whatever the bucket's size. The fingerprints' limit
     is seven deviations above the mean distance at the similarity asked, so it loses
     about one pair in 10^10 and the chance of a common bucket is that of a link. Pairs that are linked through others need no
-    comparing: each text is first compared with those less than FIRST places away in its
-    bucket, then, where a bucket is not yet in one group, with those STEP times as far
-    away that are in other groups, and so on until all are. Texts of equal words meet
-    first, by their digest.
+    comparing: each text is first compared with its neighbours in the buckets of EARLY
+    bands, then, where a bucket of any band is not yet in one group, with those of other
+    groups less than FIRST places away, then STEP times as far, and so on until all are.
+    Texts of equal words meet before that, by their digest.
     """
     wide = Wide(shingle, similarity)
     tune(docs.sparkSession)
@@ -452,11 +454,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     least = prints.groupBy("same").agg(F.min("h").alias("node"), F.min(row).alias("first"))
     nodes = cut(prints.select("same", F.col("h").alias("node"), "fp", "size", "bands").dropDuplicates(["same", "node"]).join(least, ["same", "node"]).select("same", "node", "fp", "size", "bands", "first"))
     sketches = nodes.select("node", "fp", "size")
-    keyed = _shared(nodes.select("node", F.explode("bands").alias("key")))
-    near, first, last = cut(_candidates(keyed.join(sketches, "node").withColumn("group", F.col("node")), 1, FIRST, wide)), FIRST, FIRST * STEP
+    keyed = cut(_shared(nodes.select("node", F.posexplode("bands").alias("band", "key"))))
+    near = cut(_candidates(keyed.where(F.col("band") < EARLY).join(sketches, "node").withColumn("group", F.col("node")), 1, 2, wide))
     found = components(_alike(near.where("v is not null").select("u", "v", "task"), texts, wide))
+    rows, first, last = keyed.select("key", "node"), 1, FIRST
     while True:
-        rows = near.where("v is null").select("key", F.col("u").alias("node")).join(found, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+        rows = rows.join(found, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
         apart = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
         rows = cut(rows.join(apart, "key", "left_semi"))
         if rows.isEmpty():
@@ -464,7 +467,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         near = cut(_candidates(rows.join(sketches, "node"), first, last, wide))
         more = _alike(near.where("v is not null").select("u", "v", "task"), texts, wide)
         found = components(found.select("u", F.col("component").alias("v")).union(more))
-        first, last = last, last * STEP
+        rows, first, last = near.where("v is null").select("key", F.col("u").alias("node")), last, last * STEP
     grouped = cut(nodes.join(found, F.col("node") == F.col("u"), "left").select("same", "first", F.coalesce("component", "node").alias("group")))
     labels = grouped.join(grouped.groupBy("group").agg(F.min("first").alias("head")), "group").select("same", "head")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))
