@@ -52,9 +52,8 @@ NOTE = rf"(?:<sup>{NOTE_ID}</sup>|\[\^{NOTE_ID}\])"
 NOTE_PARAGRAPH = rf"(?:\[\^[^\]]+\]:|<sup>{NOTE_ID}</sup>)"
 SENTENCE_TAIL = "(?:\\[\\^[^\\]]+\\]|<sup>[^<]*</sup>|[\\s*_\"'”’»)\\]])+$"
 LINK = r"(?<!!)\[([^\]\n]*)\]\(#([^)\s]+)\)"
-CITATION = r"(\\?[^\W\d_]|\\?[),;])?(\d[\d–-]*)(\\?\)|[.,;:])?"
-CITATION_J = r"(\\?[\p{L}\p{Nl}\p{No}]|\\?[),;])?(\d[\d–-]*)(\\?\)|[.,;:])?"
-LINK_SPACE = r"(\]\(#[^)\s]+\))[ \t]+(?=[,.;:](?:\s|$))"
+CITED_J = r"(?:\\?[\p{L}\p{Nl}\p{No}]|\\?[),;])?\d[\d–-]*(?:\\?\)|[.,;:])?"
+LINK_SPACE_J = r"(\]\(#[^)\s]+\))[ \t]+(?=[,.;:](?:\s|\z))"
 TARGET_J = "id=[\"']([^\"']+)[\"']"
 CHUNK_TARGET_J = "(\\(#|id=[\"'])(page-\\d+-\\d+)"
 IMAGE_J = r"!\[[^\]]*\]\(([^)]+)\)"

@@ -32,12 +32,14 @@ def page_issues(pages: DataFrame, witness: DataFrame | None = None) -> DataFrame
     witness (doc_id, page_no, layer_text, ink): a page's text in the source, and how
     dark it is. A long enough layer is compared; else a page with ink and no text is
     empty, and one with far less text for its ink than the document's median is
-    sparse. Without witness only loops are found.
+    sparse. Without witness only loops are found; nor is a document without page
+    marks (marked, if pages have that column) compared: its text is no single page's.
+    Issues have a place (ord) in their document: by page, kinds in a fixed order.
     """
     loops = repetition(pages.select("doc_id", "seq", "page_no", "body")).select("doc_id", "seq", "page_no", F.lit("repeated").alias("kind"), F.concat(F.lit("the same text appears "), F.col("times").cast("string"), F.lit(" times: "), F.substring("unit", 1, 40)).alias("detail"), F.lit(True).alias("strong"))
     if witness is None:
-        return loops
-    w = pages.join(witness, ["doc_id", "page_no"]).select("doc_id", "seq", "page_no", content_amount(F.col("body")).alias("got"), content_amount(F.coalesce("layer_text", F.lit(""))).alias("expected"), F.coalesce("ink", F.lit(0.0)).alias("ink"))
+        return _ordered(loops)
+    w = (pages.where("marked") if "marked" in pages.columns else pages).join(witness, ["doc_id", "page_no"]).select("doc_id", "seq", "page_no", content_amount(F.col("body")).alias("got"), content_amount(F.coalesce("layer_text", F.lit(""))).alias("expected"), F.coalesce("ink", F.lit(0.0)).alias("ink"))
     plain = (F.col("expected") < P.WITNESS) & (F.col("ink") >= P.INK)
     w = w.withColumn("rate", F.when(plain & (F.col("got") >= P.EMPTY), F.col("got") / F.col("ink")))
     doc = Window.partitionBy("doc_id")
@@ -50,7 +52,12 @@ def page_issues(pages: DataFrame, witness: DataFrame | None = None) -> DataFrame
     found = w.withColumn("kind", kind).where("kind is not null")
     amount = F.concat(F.col("got").cast("string"), F.lit(" letters where the source has "), F.col("expected").cast("string"))
     detail = F.when(F.col("kind").isin("missing", "extra"), amount).when(F.col("kind") == "empty", "no text, but the page is not blank").otherwise(F.concat(F.col("got").cast("string"), F.lit(" letters, far fewer than this much ink carries elsewhere")))
-    return loops.unionByName(found.select("doc_id", "seq", "page_no", "kind", detail.alias("detail"), F.col("kind").isin("missing", "extra").alias("strong")))
+    return _ordered(loops.unionByName(found.select("doc_id", "seq", "page_no", "kind", detail.alias("detail"), F.col("kind").isin("missing", "extra").alias("strong"))))
+
+
+def _ordered(issues: DataFrame) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return issues.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "seq", place)))
 
 
 def summary(issues: DataFrame, limit: int = 6) -> DataFrame:

@@ -62,6 +62,12 @@ def active_runs(commands: DataFrame) -> DataFrame:
     return commands.where("pdf is not null").groupBy("pdf", "out_dir").agg(F.sort_array(F.collect_list("pid")).alias("pids"))
 
 
+def silent(events: DataFrame, key: str, now: Column, seconds: int = P.STALL_SECONDS) -> DataFrame:
+    """(key, since, idle): what has been silent for longer than the limit until now."""
+    last = events.groupBy(key).agg(F.max("ts").alias("since")).withColumn("idle", F.unix_timestamp(now) - F.unix_timestamp("since"))
+    return last.where(F.col("idle") > seconds)
+
+
 def stalls(events: DataFrame, key: str, seconds: int = P.STALL_SECONDS) -> DataFrame:
     """(key, since, until, idle): silences longer than the limit between events (key, ts) in a row."""
     before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts"))

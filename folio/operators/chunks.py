@@ -26,10 +26,18 @@ def missing_chunks(plan: DataFrame, written: DataFrame) -> DataFrame:
     return pending_chunks(plan, written).groupBy("doc_id").agg(in_order(F.col("first"), chunk_name(F.col("first"), F.col("last")), ", ").alias("missing"))
 
 
+def joined(written: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every document of a plan: (doc_id, text, missing): its chunks joined, or null and the names of the chunks that it lacks."""
+    lacking = missing_chunks(plan, written)
+    texts = concatenate(written.join(plan, ["doc_id", "first", "last"], "left_semi"))
+    d = plan.select("doc_id").distinct().join(lacking, "doc_id", "left").join(texts, "doc_id", "left")
+    return d.select("doc_id", F.when(F.col("missing").isNull(), F.col("text")).alias("text"), "missing")
+
+
 def concatenate(written: DataFrame, plan: DataFrame | None = None) -> DataFrame:
-    """chunk (doc_id, first, last, text) to document, in page order, link targets prefixed. With a plan only its chunks, and only of documents that have them all."""
+    """chunk (doc_id, first, last, text) to document, in page order, link targets prefixed. With a plan only its chunks; a document that lacks one is an error when its row is read."""
     if plan is not None:
-        whole = plan.select("doc_id").distinct().join(missing_chunks(plan, written), "doc_id", "left_anti")
-        written = written.join(plan, ["doc_id", "first", "last"], "left_semi").join(whole, "doc_id", "left_semi")
+        why = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" lacks chunks: "), F.col("missing"))
+        return joined(written, plan).select("doc_id", F.when(F.col("missing").isNull(), F.col("text")).otherwise(F.raise_error(why).cast("string")).alias("text"))
     text = chunk_anchors(strip(F.col("text")), F.col("first"))
     return written.groupBy("doc_id").agg(F.concat(in_order(F.struct("first", "last"), text, "\n\n"), F.lit("\n")).alias("text"))

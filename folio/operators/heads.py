@@ -50,4 +50,4 @@ def strip_heads(pages: DataFrame) -> DataFrame:
     gone = head_lines(pages).groupBy("doc_id", "seq").agg(F.collect_set("line_no").alias("gone"))
     p = pages.join(gone, ["doc_id", "seq"], "left")
     kept = F.array_join(F.filter(F.split("body", "\n", -1), lambda t, i: ~F.array_contains("gone", i)), "\n")
-    return p.select("doc_id", "seq", "page_no", F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("body"), F.coalesce(F.size("gone"), F.lit(0)).alias("heads_removed"))
+    return p.withColumns({"body": F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept), "heads_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))}).drop("gone")

@@ -7,23 +7,27 @@ page_no may repeat (a preamble is page 0).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import patterns as P
 from ..functions.text import filled, strip
 
 
-def explode_pages(docs: DataFrame) -> DataFrame:
-    """document to page: text between page marks, unstripped; what stands before the first mark, stripped, is page 0 unless blank; without marks the text is page 0."""
+def explode_pages(docs: DataFrame, *, marked: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """document to page: text between page marks, unstripped; what stands before the first mark, stripped, is page 0 unless blank; without marks the text is page 0. With marked, a column says whether the document has marks; also: columns of the document that its pages have, too."""
     mark = F.lit(P.PAGE_MARK_J)
     first, second = (F.regexp_extract_all("text", mark, F.lit(k)) for k in (1, 2))
-    d = docs.select("doc_id", "text", F.zip_with(first, second, lambda a, b: F.when(a != "", a).otherwise(b).cast("int")).alias("numbers"), F.split("text", P.PAGE_MARK_J, -1).alias("parts"))
-    marked = F.zip_with("numbers", F.slice("parts", 2, F.size("parts")), lambda n, b: F.struct(n.alias("page_no"), b.alias("body")))
+    d = docs.select("doc_id", "text", *also, F.zip_with(first, second, lambda a, b: F.when(a != "", a).otherwise(b).cast("int")).alias("numbers"), F.split("text", P.PAGE_MARK_J, -1).alias("parts"))
+    after = F.zip_with("numbers", F.slice("parts", 2, F.size("parts")), lambda n, b: F.struct(n.alias("page_no"), b.alias("body")))
     opening = strip(F.col("parts")[0])
     whole = F.array(F.struct(F.lit(0).alias("page_no"), F.col("text").alias("body")))
     before = F.array(F.struct(F.lit(0).alias("page_no"), opening.alias("body")))
-    pages = F.when(F.size("numbers") == 0, whole).when(opening != "", F.concat(before, marked)).otherwise(marked)
-    return d.select("doc_id", F.posexplode(pages).alias("seq", "page")).select("doc_id", "seq", "page.page_no", "page.body")
+    pages = F.when(F.size("numbers") == 0, whole).when(opening != "", F.concat(before, after)).otherwise(after)
+    more = [*also, *([(F.size("numbers") > 0).alias("marked")] if marked else [])]
+    d = d.select("doc_id", *more, F.posexplode(pages).alias("seq", "page"))
+    return d.select("doc_id", "seq", "page.page_no", "page.body", *also, *(["marked"] if marked else []))
 
 
 def anchor(page_no: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import patterns as P
 from ..functions.text import filled, markup, unfenced
+from ..lineage import cut
 from .pages import anchor, in_order
 
 #: One page's Markdown and a target language to the translation.
@@ -32,6 +35,70 @@ def translate_pages(pages: DataFrame, make: Callable[[], Translator], target: st
     return pages.mapInArrow(run, f"{kinds}, answer string")
 
 
+class Refused(Exception):
+    """The provider's answer to a request that is not asked again, or not any more."""
+
+
+class HttpTranslator:
+    """A translator over a chat completion service. transport: (url, headers, body) to (status, headers, body); so many requests a minute of this one translator (divide a provider's limit by the tasks that run at once). Asked again after 429 and 5xx, up to `retries` times, when the server says or after growing waits."""
+
+    def __init__(self, transport: Callable, url: str, key: str, model: str, prompt: Callable[[str], str], *, per_minute: float = 0, retries: int = 6, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.transport, self.url, self.model, self.prompt, self.retries, self.clock, self.sleep = transport, url, model, prompt, retries, clock, sleep
+        self.headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+        self.gap, self.free_at = 60.0 / per_minute if per_minute else 0.0, 0.0
+        self.input_tokens = self.output_tokens = 0
+
+    def _ask(self, body: str) -> str:
+        for attempt in range(self.retries + 1):
+            if (wait := self.free_at - self.clock()) > 0:
+                self.sleep(wait)
+            self.free_at = self.clock() + self.gap
+            status, headers, answer = self.transport(self.url, self.headers, body)
+            if status < 400:
+                return answer
+            if attempt == self.retries or status != 429 and status < 500:
+                raise Refused(f"{status}: {answer[:200]}")
+            self.sleep(wait_seconds(attempt, {k.lower(): v for k, v in headers.items()}.get("retry-after")))
+        raise AssertionError
+
+    def __call__(self, page: str, target: str) -> str:
+        asked = {"model": self.model, "max_tokens": P.MOST_TOKENS, "messages": [{"role": "system", "content": self.prompt(target)}, {"role": "user", "content": page}]}
+        try:
+            got = json.loads(self._ask(json.dumps(asked)))
+            choice = got["choices"][0]
+            content = choice["message"]["content"]
+        except (ValueError, KeyError, IndexError, TypeError) as e:
+            raise Refused(f"not a completion: {e}") from e
+        if choice.get("finish_reason") == "length":
+            raise Refused("the answer was cut off")
+        usage = got.get("usage") or {}
+        self.input_tokens += usage.get("prompt_tokens") or 0
+        self.output_tokens += usage.get("completion_tokens") or 0
+        return content
+
+
+def wait_seconds(attempt: int, retry_after: str | None) -> float:
+    """What the server said (300 at most), else powers of two (120 at most)."""
+    try:
+        return max(0.0, min(float(retry_after), 300.0))  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return min(2.0**attempt, 120.0)
+
+
+def translate_document(pages: DataFrame, make: Callable[[], Translator], store: str, target: str = "English", *, at_once: int = 64) -> DataFrame:
+    """(doc_id, seq, page_no, body, answer) of all pages from a store (a folder), after those that it lacks have been translated, at_once at a time in order. What is translated is kept whatever fails later; the first failure stops the run, and the next run goes on from there."""
+    spark = pages.sparkSession
+    columns = pages.select("doc_id", "seq", "page_no", "body")
+    schema = T.StructType([*columns.schema.fields, T.StructField("answer", T.StringType())])
+    stored = lambda: spark.read.schema(schema).parquet(store)
+    spark.createDataFrame([], schema).write.mode("append").parquet(store)
+    todo = columns.join(stored().select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").withColumn("__wave", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1) / at_once))
+    todo = cut(todo)
+    for wave in range(int(todo.agg(F.max("__wave")).first()[0] or 0) + 1 if not todo.isEmpty() else 0):
+        translate_pages(todo.where(F.col("__wave") == wave).drop("__wave"), make, target).select(*schema.names).write.mode("append").parquet(store)
+    return stored()
+
+
 def judged(pages: DataFrame) -> DataFrame:
     """page with answer to page with translated and drift: whether note ids or image targets differ."""
     out = F.when(F.col("answer").isNull(), "").otherwise(unfenced(F.col("answer")))
@@ -65,10 +132,14 @@ def usable_model(m: Column, tokens: int = P.MOST_TOKENS) -> Column:
     return (F.coalesce(m["id"], F.lit("")) != "") & F.coalesce(m["active"], F.lit(True)) & text(m["input_modalities"]) & text(m["output_modalities"]) & cap(m["max_completion_tokens"]) & cap(m["max_output_length"])
 
 
-def listed_models(answers: DataFrame) -> DataFrame:
-    """(provider, body) of model listings to (provider, models): sorted distinct ids of usable models; null where the answer is no listing."""
+def listed_models(answers: DataFrame, *, refuse: bool = False) -> DataFrame:
+    """(provider, body) of model listings to (provider, models): sorted distinct ids of usable models; null where the answer is no listing, or an error when that row is read (refuse)."""
     data = F.from_json("body", MODELS)["data"]
-    return answers.select("provider", F.sort_array(F.array_distinct(F.transform(F.filter(data, lambda m: usable_model(m)), lambda m: m["id"]))).alias("models"))
+    models = F.sort_array(F.array_distinct(F.transform(F.filter(data, lambda m: usable_model(m)), lambda m: m["id"])))
+    if refuse:
+        why = F.concat(F.col("provider"), F.lit(" does not list its models: "), F.substring("body", 1, 200))
+        models = F.when(data.isNull(), F.raise_error(why).cast("array<string>")).otherwise(models)
+    return answers.select("provider", models.alias("models"))
 
 
 ANSWER = "struct<choices: array<struct<message: struct<content: string>, finish_reason: string>>, usage: struct<prompt_tokens: bigint, completion_tokens: bigint>>"

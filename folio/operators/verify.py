@@ -50,7 +50,7 @@ def content_checks(docs: DataFrame, expect: tuple[str, ...] = ()) -> DataFrame:
 
 def page_check(docs: DataFrame, witness: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """page audit: no page has a strong issue."""
-    issues = summary(page_issues(explode_pages(docs) if pages is None else pages, witness))
+    issues = summary(page_issues(explode_pages(docs, marked=True) if pages is None else pages, witness))
     detail = F.when(F.col("shown").isNull(), "no page looks incomplete or repeated").otherwise(F.concat(F.col("strong").cast("string"), F.lit(" lost or repeated, "), F.col("weak").cast("string"), F.lit(" worth a look: "), F.col("shown")))
     return docs.select("doc_id").join(issues, "doc_id", "left").select("doc_id", F.lit(1).alias("ord"), F.lit("page audit").alias("name"), (F.coalesce("strong", F.lit(0)) == 0).alias("ok"), detail.alias("detail"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import patterns as P, text as T
 from ..operators import audit, catalog, chapters, chunks, heads, inspection, pages as pg, pagework as pw, translation, verify
+from ..lineage import cut, shared
+from ..sources.documents import write_chunks, written_chunks
 from . import corpus, refine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,8 +148,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _T = r"[\p{L}\p{N}]+(?:[-\x{2010}\x{2011}][\p{L}\p{N}]+)*"
 _B = rf"({_T})([-\x{{2010}}\x{{2011}}])[ \t]*\n[ \t]*({_T})"
-DECIDED = rf"""brk AS (SELECT doc_id, seq, unnest(regexp_extract_all(body, '{_B}', 1)) AS l, unnest(regexp_extract_all(body, '{_B}', 3)) AS r FROM damaged),
-decided AS (SELECT brk.doc_id, seq, l, r, CASE WHEN regexp_matches(r, '^[\p{{Lu}}\p{{Nd}}]') OR regexp_matches(l, '\p{{Nd}}$') THEN TRUE WHEN coalesce(c.n, 0) > coalesce(w.n, 0) THEN TRUE WHEN w.n > 0 THEN FALSE ELSE contains(l, '-') OR contains(r, '-') END AS keeps
+DECIDED = rf"""brk AS (SELECT doc_id, seq, unnest(regexp_extract_all(body, '{_B}', 1)) AS l, unnest(regexp_extract_all(body, '{_B}', 3)) AS r, unnest(range(len(regexp_extract_all(body, '{_B}', 1)))) AS place FROM damaged),
+decided AS (SELECT brk.doc_id, seq, place, l, r, CASE WHEN regexp_matches(r, '^[\p{{Lu}}\p{{Nd}}]') OR regexp_matches(l, '\p{{Nd}}$') THEN TRUE WHEN coalesce(c.n, 0) > coalesce(w.n, 0) THEN TRUE WHEN w.n > 0 THEN FALSE ELSE contains(l, '-') OR contains(r, '-') END AS keeps
   FROM brk LEFT JOIN vocab w ON w.doc_id = brk.doc_id AND NOT w.is_compound AND w.token = lower(string_split(l, '-')[-1] || string_split(r, '-')[1])
   LEFT JOIN vocab c ON c.doc_id = brk.doc_id AND c.is_compound AND c.token = lower(l || '-' || r))"""
 
@@ -158,9 +161,10 @@ def hyphen_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    D + ", " + VOCABULARY + ", " + DECIDED + """, pair AS (SELECT doc_id, seq, bool_or(keeps) FILTER (WHERE l = 'under') AS u, bool_or(keeps) FILTER (WHERE l = 'self') AS s, CAST(count_if(NOT keeps) AS INT) AS hyphens_joined, CAST(count_if(keeps) AS INT) AS hyphens_kept FROM decided GROUP BY ALL)
-SELECT d.doc_id, d.seq, md5(replace(replace(body, 'under-' || chr(10), CASE WHEN u THEN 'under-' ELSE 'under' END), 'self-' || chr(10), CASE WHEN s THEN 'self-' ELSE 'self' END)) AS body, coalesce(hyphens_joined, 0) AS hyphens_joined, coalesce(hyphens_kept, 0) AS hyphens_kept
-FROM damaged d LEFT JOIN pair b ON b.doc_id = d.doc_id AND b.seq = d.seq"""
+    D + ", " + VOCABULARY + ", " + DECIDED + rf""", decided_list AS (SELECT doc_id, seq, list(keeps ORDER BY place) AS k FROM decided GROUP BY ALL),
+broken AS (SELECT d.doc_id, d.seq, body, string_split_regex(body, '{_B}') AS t, regexp_extract_all(body, '{_B}', 1) AS a, regexp_extract_all(body, '{_B}', 2) AS h, regexp_extract_all(body, '{_B}', 3) AS b, k FROM damaged d LEFT JOIN decided_list USING (doc_id, seq))
+SELECT doc_id, seq, md5(CASE WHEN k IS NULL THEN body ELSE t[1] || array_to_string(list_transform(range(1, len(k) + 1), lambda i: a[i] || CASE WHEN k[i] THEN h[i] ELSE '' END || b[i] || t[i + 1]), '') END) AS body,
+CAST(len(list_filter(coalesce(k, []), lambda x: NOT x)) AS INT) AS hyphens_joined, CAST(len(list_filter(coalesce(k, []), lambda x: x)) AS INT) AS hyphens_kept FROM broken"""
 )
 def hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).select("doc_id", "seq", "page_no", "body")
@@ -184,14 +188,26 @@ def outline_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pw.heading_levels(pages, corpus.outline(pages)).select("doc_id", "seq", "line_no", "run_in", "level", "changed")
 
 
-@query(D + " SELECT doc_id, seq, md5(replace(body, 'biodiversit[y2](#page-1-0) and [27.](#nowhere) ends', 'biodiversity[2](#page-1-0) and [27](#nowhere). ends')) AS body, CASE WHEN page_no % 7 = 0 THEN 2 ELSE 0 END AS links_tidied FROM damaged")
+_LED, _TAILED = r"(\p{L})\[\\?(\p{L})(\d[\d–-]*)\]\(#([^)\s]+)\)", r"\[(\d[\d–-]*)([.,;:])\]\(#([^)\s]+)\)"
+
+
+@query(
+    D + rf""", l AS (SELECT doc_id, seq, body, regexp_replace(regexp_replace(body, '{_LED}', '\1\2[\3](#\4)', 'g'), '{_TAILED}', '[\1](#\3)\2', 'g') AS t FROM damaged)
+SELECT doc_id, seq, md5(t) AS body, CAST(len(regexp_extract_all(body, '{_LED}')) + len(regexp_extract_all(body, '{_TAILED}')) AS INT) AS links_tidied FROM l"""
+)
 def tidy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pw.tidy_links(_pages(spark, sf_dir).select("doc_id", "seq", "page_no", "body")).select("doc_id", "seq", F.md5("body").alias("body"), "links_tidied")
 
 
+_NOTE = r"(?:<sup>[0-9ivxIVX]{1,4}</sup>|\[\^[0-9ivxIVX]{1,4}\])"
+
+
 @query(
-    D + """ SELECT doc_id, seq, md5(CASE WHEN page_no % 2 = 0 THEN replace(replace(body, chr(10) || '<sup>1</sup> A note here. <sup>2</sup> Another', chr(10) || '[^p' || page_no || '-1]: A note here.' || chr(10) || '[^p' || page_no || '-2]: Another'), '<sup>1</sup>', '[^p' || page_no || '-1]') ELSE body END) AS body,
-CASE WHEN page_no % 2 = 0 THEN 3 ELSE 0 END AS notes_numbered FROM damaged"""
+    D + rf""", nl AS (SELECT doc_id, seq, page_no, unnest(string_split(body, chr(10))) AS x, unnest(range(len(string_split(body, chr(10))))) AS k FROM damaged),
+cutl AS (SELECT doc_id, seq, page_no, string_agg(CASE WHEN regexp_matches(x, '^\s*{_NOTE}') THEN regexp_replace(x, '([.;])[ \t]+({_NOTE}[ \t]*\S)', '\1' || chr(10) || '\2', 'g') ELSE x END, chr(10) ORDER BY k) AS t FROM nl GROUP BY ALL),
+own AS (SELECT *, array_to_string(list_distinct(regexp_extract_all(t, '(?m)^[ \t]*<sup>([0-9ivxIVX]{{1,4}})</sup>', 1) || regexp_extract_all(t, '(?m)^[ \t]*\[\^([0-9ivxIVX]{{1,4}})\]', 1)), '|') AS ids FROM cutl),
+named AS (SELECT *, CASE WHEN ids = '' THEN t ELSE regexp_replace(t, '(?:<sup>|\[\^)(' || ids || ')(?:</sup>|\])', '[^p' || page_no || '-\1]', 'g') END AS u, CASE WHEN ids = '' THEN 0 ELSE len(regexp_extract_all(t, '(?:<sup>|\[\^)(' || ids || ')(?:</sup>|\])')) END AS n FROM own)
+SELECT doc_id, seq, md5(regexp_replace(u, '(?m)^(\[\^p\d+-[0-9ivxIVX]{{1,4}}\])\s*([^:\s])', '\1: \2', 'g')) AS body, CAST(n AS INT) AS notes_numbered FROM named"""
 )
 def number_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pw.number_notes(_pages(spark, sf_dir).select("doc_id", "seq", "page_no", "body")).select("doc_id", "seq", F.md5("body").alias("body"), "notes_numbered")
@@ -239,6 +255,21 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.page_issues(pages, _witness(pages)).select("doc_id", "seq", "page_no", "kind", "strong")
 
 
+@query(
+    D + f""", w AS (SELECT doc_id, seq, page_no, {amount('body')} AS got, CASE WHEN id % 5 = 4 THEN 0 ELSE {amount('clean')} END AS expected, (id % 97) / 1000 AS ink FROM damaged WHERE NOT regexp_matches(doc_id, '^src[02468]')),
+r AS (SELECT *, CASE WHEN expected < 200 AND ink >= CAST(0.01 AS DOUBLE) AND got >= 20 THEN got / ink END AS rate FROM w), m AS (SELECT *, median(rate) OVER (PARTITION BY doc_id) AS usual, count(rate) OVER (PARTITION BY doc_id) AS n FROM r),
+k AS (SELECT *, CASE WHEN expected >= 200 AND 5 * got < 3 * expected THEN 'missing' WHEN expected >= 200 AND 5 * got > 8 * expected THEN 'extra' WHEN expected < 200 AND ink >= CAST(0.01 AS DOUBLE) AND got < 20 THEN 'empty' WHEN n >= 8 AND rate < CAST(0.25 AS DOUBLE) * usual THEN 'sparse' END AS kind FROM m)
+SELECT doc_id, page_no, kind FROM k WHERE kind IS NOT NULL"""
+)
+def audit_unmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of which some have lost their page marks: those are not compared with any page."""
+    pages = _pages(spark, sf_dir)
+    lost = F.col("doc_id").rlike("^src[02468]")
+    unmarked = pages.where(lost).groupBy("doc_id").agg(pg.in_order(F.col("seq"), F.col("body"), "\n\n").alias("text"))
+    docs = pg.paginate(pages.where(~lost)).unionByName(unmarked)
+    return audit.page_issues(pg.explode_pages(docs, marked=True), _witness(pages)).where("kind <> 'repeated'").select("doc_id", "page_no", "kind")
+
+
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every damaged page as a document."""
     return _pages(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("body").alias("text"))
@@ -384,6 +415,22 @@ def concatenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.concatenate(_written(pages, plan), plan).select("doc_id", F.md5("text").alias("text"))
 
 
+@query(
+    D + ", " + TOTAL + r""", part AS (SELECT d.doc_id, c.first, c.last, regexp_replace(string_agg(body, chr(10) || chr(10) ORDER BY page_no), '^\s+|\s+$', '', 'g') AS text FROM damaged d JOIN chunk c ON c.doc_id = d.doc_id AND c.first = d.page_no // 20 * 20 GROUP BY ALL)
+SELECT doc_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, md5(text) AS text FROM part"""
+)
+def chunks_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written in two runs, of which the second finds what the first left out, and writes one again."""
+    pages = _pages(spark, sf_dir)
+    plan = _plan(pages)
+    chunk = cut(_written(pages, plan).withColumn("text", T.strip(F.col("text"))))
+    path = f"{shared(spark)}/chunks-{uuid.uuid4().hex}"
+    write_chunks(chunk.where("first % 60 <> 20"), path)
+    todo = chunks.pending_chunks(plan, written_chunks(spark, path))
+    write_chunks(chunk.join(todo, ["doc_id", "first", "last"], "left_semi").unionByName(chunk.where("first = 0")).dropDuplicates(["doc_id", "first"]), path)
+    return written_chunks(spark, path).select("doc_id", "first", "last", F.md5("text").alias("text"))
+
+
 @query(
     D + r""", m AS (SELECT id AS doc_id, list_sort(regexp_extract_all(body, '\[\^([^\]]{1,32})\]', 1)) AS a, list_sort(regexp_extract_all(body, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS b, CASE WHEN id % 3 = 0 THEN body || ' [^' || id || ']' ELSE upper(body) END AS t FROM damaged)
 SELECT doc_id, a <> list_sort(regexp_extract_all(t, '\[\^([^\]]{1,32})\]', 1)) OR b <> list_sort(regexp_extract_all(t, '!\[[^\]]*\]\(([^)]+)\)', 1)) AS drift FROM m"""

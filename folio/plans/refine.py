@@ -8,7 +8,7 @@ from ..lineage import cut
 from ..operators import heads as _heads, pagework as w
 from ..operators.pages import assemble, explode_pages
 
-COUNTERS = ["heads_removed", "hyphens_joined", "hyphens_kept", "lines_joined", "headings_levelled", "headings_promoted", "links_tidied", "notes_numbered", "pages_bridged", "links_unlinked"]
+COUNTERS = ["chars_cleaned", "heads_removed", "hyphens_joined", "hyphens_kept", "lines_joined", "headings_levelled", "headings_promoted", "links_tidied", "notes_numbered", "pages_bridged", "links_unlinked"]
 
 
 def refine_pages(
@@ -18,7 +18,8 @@ def refine_pages(
     d = w.clean_characters(docs.select("doc_id", "text")) if clean else docs.select("doc_id", "text").withColumn("chars_cleaned", F.lit(0))
     d = cut(d)
     vocab = w.vocabulary(d)
-    pages = cut(explode_pages(d))
+    # a document's count is that of its first page
+    pages = cut(explode_pages(d, also=["chars_cleaned"]).withColumn("chars_cleaned", F.when(F.col("seq") == 0, F.col("chars_cleaned")).otherwise(0)))
     if hyphens or bridge:
         vocab = cut(vocab)
     if heads:

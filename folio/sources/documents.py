@@ -5,14 +5,18 @@ Readers that need other libraries (PDF, OCR) plug in as callables: see read_chun
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import patterns as P
+from ..lineage import cut
 
 #: A chunk (doc_id, first page, last page) to its Markdown.
 ChunkReader = Callable[[str, int, int], str]
@@ -41,9 +45,105 @@ def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None
     docs.write.mode(mode).parquet(path)
 
 
+CHUNKS = "doc_id string, first int, last int, text string"
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """chunk (doc_id, first, last, text): a partition is one document's; writing some documents leaves the others as they are."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    """chunk (doc_id, first, last, text): a partition is one chunk. Writing some chunks replaces those and leaves all others, also of the same documents, as they are."""
+    chunks.select("doc_id", "first", "last", "text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "first").parquet(path)
+
+
+def written_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """chunk as write_chunks left it, ids as they were written; no rows where nothing is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], CHUNKS)
+    return spark.read.schema(CHUNKS).parquet(path)
+
+
+def run_chunks(plan: DataFrame, make: Callable[[], ChunkReader], path: str, *, at_once: int = 64, room: Callable[[], bool] = lambda: True) -> DataFrame:
+    """Read what of a plan (doc_id, first, last) is not written yet, in rounds of each document's next at_once chunks; a round is kept whatever fails later. room: asked before each round; where it says no the run ends early and cleanly. The chunks written so far."""
+    spark = plan.sparkSession
+    todo = plan.join(written_chunks(spark, path).select("doc_id", "first", "last"), ["doc_id", "first", "last"], "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("first")
+    todo = cut(todo.withColumn("round", F.floor((F.row_number().over(order) - 1) / at_once)))
+    for k in range(int(todo.agg(F.max("round")).first()[0] or 0) + 1 if not todo.isEmpty() else 0):
+        if not room():
+            break
+        write_chunks(read_chunks(todo.where(F.col("round") == k), make), path)
+    return written_chunks(spark, path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, file, body string or binary) written to folder/doc_id/file, a folder that all executors share; each file whole or not at all. (doc_id, file, bytes) of what was written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = []
+            for r in b.to_pylist():
+                home = os.path.realpath(os.path.join(folder, r["doc_id"]))
+                at = os.path.realpath(os.path.join(home, r["file"]))
+                if not at.startswith(os.path.realpath(folder) + os.sep) or not at.startswith(home + os.sep):
+                    raise ValueError(f"{r['file']!r} is not inside its document's folder")
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                body = r["body"].encode() if isinstance(r["body"], str) else r["body"]
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as f:
+                    f.write(body)
+                os.replace(part, at)
+                sizes.append(len(body))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), pa.array(sizes, pa.int64())], names=["doc_id", "file", "bytes"])
+
+    return cut(files.select("doc_id", "file", "body").mapInArrow(run, "doc_id string, file string, bytes long"))
+
+
+def delete_files(files: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, file) deleted from folder/doc_id; those that were there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for r in b.to_pylist():
+                at = os.path.join(folder, r["doc_id"], os.path.basename(r["file"]))
+                gone.append(os.path.isfile(at))
+                if gone[-1]:
+                    os.remove(at)
+            yield b.filter(pa.array(gone, pa.bool_()))
+
+    return cut(files.select("doc_id", "file").mapInArrow(run, "doc_id string, file string"))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """(doc_id, file) of what write_files left: a folder for each document."""
+    parts = F.split("path", "/")
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select(decoded(F.element_at(parts, -2)).alias("doc_id"), decoded(F.element_at(parts, -1)).alias("file"))
+
+
+def copy_figures(links: DataFrame, source: str, folder: str) -> DataFrame:
+    """links (doc_id, path) of figures copied from source/doc_id to folder/doc_id, shared folders: (doc_id, path, copied); copied is false for those that are missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            for r in b.to_pylist():
+                old, new = (os.path.join(root, r["doc_id"], r["path"]) for root in (source, folder))
+                done.append(os.path.isfile(old))
+                if done[-1]:
+                    os.makedirs(os.path.dirname(new), exist_ok=True)
+                    shutil.copyfile(old, new)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.bool_())], names=["doc_id", "path", "copied"])
+
+    return cut(links.select("doc_id", "path").distinct().mapInArrow(run, "doc_id string, path string, copied boolean"))
+
+
+def save_overlay(overlay: DataFrame, path: str) -> None:
+    """overlay as the JSON object that read_overlay reads; fields that are null are left out. One file: a row for each document that someone edited."""
+    entry = F.concat(F.to_json(F.array("doc_id")), F.lit(":"), F.to_json(F.struct("skip", "attempts", "last_error")))
+    named = F.regexp_replace(entry, r"^\[(.*)\]:(\{)", "$1:$2")
+    one = overlay.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(named)), ","), F.lit("}")).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_chunks(pending: DataFrame, make: Callable[[], ChunkReader]) -> DataFrame:
@@ -96,7 +196,6 @@ def updated_overlay(overlay: DataFrame, changes: DataFrame) -> DataFrame:
 
 def preflight(spark: SparkSession) -> DataFrame:
     """finding rows (name, ok, detail): Spark, Arrow, and room in the scratch folder of the driver."""
-    import shutil
     import sys
 
     free = shutil.disk_usage("/").free / 1e9

@@ -88,7 +88,9 @@ def test_chunks(spark):
     written = spark.createDataFrame([("a", 0, 19, " x [l](#page-1-0) "), ("a", 40, 44, "z"), ("b", 0, 19, "b"), ("b", 0, 9, "stale")], "doc_id string, first int, last int, text string")
     assert [tuple(r) for r in chunks.pending_chunks(plan, written).collect()] == [("a", 20, 39)]
     assert chunks.missing_chunks(plan, written).first()["missing"] == "0020-0039.md" and chunks.pending_chunks(plan, written, resume=False).count() == 4
-    assert {r["doc_id"]: r["text"] for r in chunks.concatenate(written, plan).collect()} == {"b": "b\n"}  # a is not whole; the stale chunk is left out
+    assert {r["doc_id"]: (r["text"], r["missing"]) for r in chunks.joined(written, plan).collect()} == {"a": (None, "0020-0039.md"), "b": ("b\n", None)}  # the stale chunk is left out
+    with pytest.raises(Exception, match="a lacks chunks: 0020-0039.md"):
+        chunks.concatenate(written, plan).collect()
     whole = written.union(spark.createDataFrame([("a", 20, 39, "y")], written.schema))
     assert {r["doc_id"]: r["text"] for r in chunks.concatenate(whole, plan).collect()}["a"] == "x [l](#c0000-page-1-0)\n\ny\n\nz\n"
 
@@ -102,6 +104,113 @@ def test_chunks_are_read_and_resumed(spark, tmp_path):
     assert sorted(r["text"] for r in have.collect()) == ["a 0-19", "a 20-39"] and chunks.pending_chunks(plan, have).count() == 1
 
 
+def test_resuming_keeps_what_is_written(spark, tmp_path):
+    plan = chunks.plan_chunks(spark.createDataFrame([("007", 45), ("8", 20)], "doc_id string, total_pages int"))
+    out = f"{tmp_path}/chunks"
+
+    def failing():
+        def read(d, a, b):
+            if a == 40:
+                raise OSError("page 41 cannot be read")
+            return f"{d} {a}-{b}"
+
+        return read
+
+    with pytest.raises(Exception, match="page 41"):
+        src.run_chunks(plan, failing, out, at_once=1)
+    assert sorted(r["text"] for r in src.written_chunks(spark, out).collect()) == ["007 0-19", "007 20-39", "8 0-19"]
+    assert src.run_chunks(plan, failing, out, room=lambda: False).count() == 3  # no room: a clean end
+    got = src.run_chunks(plan, lambda: lambda d, a, b: f"again {a}", out)  # only what was missing
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [("007", "007 0-19"), ("007", "007 20-39"), ("007", "again 40"), ("8", "8 0-19")]
+    src.write_chunks(spark.createDataFrame([("007", 20, 39, "new")], src.CHUNKS), out)
+    assert {r["doc_id"]: r["text"] for r in chunks.concatenate(src.written_chunks(spark, out), plan).collect()} == {"007": "007 0-19\n\nnew\n\nagain 40\n", "8": "8 0-19\n"}
+
+
+def test_translation_goes_on_where_it_stopped(spark, tmp_path):
+    p = spark.createDataFrame([("d", k, k, f"page {k}" if k != 2 else " ") for k in range(6)], "doc_id string, seq int, page_no int, body string")
+    log = tmp_path / "asked"
+
+    def make(bad):
+        def one(text, target):
+            if text == bad:
+                raise RuntimeError("refused")
+            with open(log, "a") as f:
+                f.write(text + "\n")
+            return text.upper()
+
+        return lambda: one
+
+    with pytest.raises(Exception, match="refused"):
+        tr.translate_document(p, make("page 4"), f"{tmp_path}/store", at_once=2)
+    got = tr.translate_document(p, make(None), f"{tmp_path}/store", at_once=2)
+    assert [r["answer"] for r in got.orderBy("seq").collect()] == ["PAGE 0", "PAGE 1", None, "PAGE 3", "PAGE 4", "PAGE 5"]
+    assert sorted(log.read_text().split("\n")).count("page 0") == 1 == log.read_text().count("page 3")
+
+
+def test_http_translator():
+    now, slept, sent = [0.0], [], []
+    answer = '{"choices": [{"message": {"content": "Gut"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}'
+    replies = [(429, {"Retry-After": "7"}, ""), (503, {}, ""), (200, {}, answer), (200, {}, answer)]
+
+    def transport(url, headers, body):
+        sent.append(now[0])
+        return replies.pop(0)
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    t = tr.HttpTranslator(transport, "http://x", "k", "m", lambda target: f"to {target}", per_minute=20, clock=lambda: now[0], sleep=sleep)
+    assert t("Good", "German") == "Gut" == t("Good", "German")
+    assert slept == [7.0, 2.0, 1.0, 3.0] and (t.input_tokens, t.output_tokens) == (6, 4)  # the pace adds 1 s and 3 s
+    for status, body, match in ((400, "no such model", "no such model"), (200, "<html>", "not a completion"), (200, '{"choices": []}', "not a completion"), (200, '{"choices": [{"message": {"content": "x"}, "finish_reason": "length"}]}', "cut off")):
+        with pytest.raises(tr.Refused, match=match):
+            tr.HttpTranslator(lambda *a: (status, {}, body), "u", "k", "m", str, sleep=sleep, clock=lambda: now[0])("p", "x")
+    with pytest.raises(tr.Refused, match="500"):
+        tr.HttpTranslator(lambda *a: (500, {}, ""), "u", "k", "m", str, retries=2, sleep=sleep, clock=lambda: now[0])("p", "x")
+    assert tr.wait_seconds(9, None) == 120 and tr.wait_seconds(0, "999") == 300 and tr.wait_seconds(3, "soon") == 8
+
+
+def test_models_refused(spark):
+    d = spark.createDataFrame([("p", "no key")], "provider string, body string")
+    assert tr.listed_models(d).first()["models"] is None
+    with pytest.raises(Exception, match="does not list its models: no key"):
+        tr.listed_models(d, refuse=True).collect()
+
+
+def test_export_writes_and_cleans(spark, tmp_path):
+    text = "".join(f"<!-- page {k} -->\n\n" + (f"# Part {k // 35}\n\n![](fig/{k}.png)\n\n" if k % 35 == 0 else "") + "words " * 200 + "\n\n" for k in range(70))
+    d = spark.createDataFrame([("My Book", text)], "doc_id string, text string")
+    (tmp_path / "in/My Book/fig").mkdir(parents=True)
+    (tmp_path / "in/My Book/fig/0.png").write_bytes(b"png")
+    out = tmp_path / "out/My Book"
+    out.mkdir(parents=True)
+    prefix = spark.createDataFrame([("My Book",)], "d string").select(ch.book_prefix(F.col("d")).alias("p")).first()["p"]
+    (out / f"{prefix} 09 Gone.md").write_text("old")
+    (out / "Own notes.md").write_text("mine")
+    written, gone, copied = ch.export_chapters(d, str(tmp_path / "out"), str(tmp_path / "in"))
+    assert sorted(r["file"] for r in written.collect()) == sorted(p.name for p in out.glob("*.md") if p.name != "Own notes.md") and written.count() == 3
+    assert [r["file"] for r in gone.collect()] == [f"{prefix} 09 Gone.md"] and (out / "Own notes.md").exists()
+    assert {r["path"]: r["copied"] for r in copied.collect()} == {"fig/0.png": True, "fig/35.png": False} and (out / "fig/0.png").read_bytes() == b"png"
+    with pytest.raises(Exception, match="not inside"):
+        src.write_files(spark.createDataFrame([("b", "../../x.md", "x")], "doc_id string, file string, body string"), str(tmp_path / "out"))
+
+
+def test_overlay_round_trip(spark, tmp_path):
+    rows = [('a "b"', True, 2, None), ("c: [d]", None, 0, "x")]
+    d = spark.createDataFrame(rows, "doc_id string, skip boolean, attempts int, last_error string")
+    src.save_overlay(d, f"{tmp_path}/overlay")
+    assert sorted(map(tuple, src.read_overlay(spark, f"{tmp_path}/overlay").collect())) == sorted(rows)
+
+
+def test_silent_now(spark):
+    from folio.operators import catalog
+
+    d = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:30:00"), ("b", "2024-01-01 10:49:00")], "job string, at string").select("job", F.to_timestamp("at").alias("ts"))
+    got = catalog.silent(d, "job", F.to_timestamp(F.lit("2024-01-01 11:00:00"))).collect()
+    assert [(r["job"], r["idle"]) for r in got] == [("a", 1800)]
+
+
 def test_translation(spark):
     p = spark.createDataFrame([("d", 0, 3, "Ein Satz[^p3-1] ![](a.png)", True), ("d", 1, 4, "  ", True), ("d", 2, 5, "Drei[^p5-1]", True)], "doc_id string, seq int, page_no int, body string, anchored boolean")
     answers = tr.translate_pages(p, lambda: lambda text, target: f"```\n{target}: {text.replace('[^p5-1]', '[^1]')}\n```")

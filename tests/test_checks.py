@@ -40,6 +40,17 @@ def test_page_issues(spark):
     assert {r["kind"] for r in audit.page_issues(p).collect()} == {"repeated"}
 
 
+def test_text_without_marks_is_no_page(spark):
+    from folio.operators.pages import explode_pages
+
+    text = "word " * 400
+    docs = spark.createDataFrame([("bare", text), ("marked", "{0}----------\n" + text)], "doc_id string, text string")
+    w = spark.createDataFrame([(d, 0, "word " * 2000, 0.05) for d in ("bare", "marked")], "doc_id string, page_no int, layer_text string, ink double")
+    assert [(r["doc_id"], r["kind"], r["ord"]) for r in audit.page_issues(explode_pages(docs, marked=True), w).collect()] == [("marked", "missing", 1)]
+    ok = {r["doc_id"]: r["ok"] for r in verify.findings(docs, w).where("name = 'page audit'").collect()}
+    assert ok == {"bare": True, "marked": False}
+
+
 def test_findings(spark):
     texts = [("good", "λόγος and *slant* here.[^p1-1]"), ("bad", "sirnply " + " ".join("a" * 30 for _ in range(6))), ("loop", "The same line again.\n" * 9)]
     d = spark.createDataFrame(texts, "doc_id string, text string")

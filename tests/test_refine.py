@@ -1,5 +1,7 @@
 """Refinement: pages, heads, hyphens, reflow, notes, links, outline, bridging, and the whole."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,16 +119,18 @@ def test_reflow(page, flowed):
         ("t\n<sup>1</sup> A. <sup>2</sup> B; <sup>3</sup> C", "t\n[^p7-1]: A.\n[^p7-2]: B;\n[^p7-3]: C"), ("name<sup>a,b</sup>", "name<sup>a,b</sup>"),
     ],
 )
-def test_notes(page, numbered):
-    assert surgery.number_notes(page, 7)[0] == numbered
+def test_notes(spark, page, numbered):
+    p = spark.createDataFrame([("b", 0, 7, page)], PAGE)
+    assert bodies(pw.number_notes(p)) == [numbered]
 
 
 @pytest.mark.parametrize(
     "page, tidied",
     [("biodiversit[y2](#p)", "biodiversity[2](#p)"), ("x [27.](#p)", "x [27](#p)."), ("[\\)15](#p)", ")[15](#p)"), ("see [a7](#p)", "see [a7](#p)"), ("[12](#p) , x", "[12](#p), x"), ("[text](#p)", "[text](#p)"), ("![3.](#p)", "![3.](#p)"), ("[3.](http://x)", "[3.](http://x)")],
 )
-def test_links(page, tidied):
-    assert surgery.tidy_links(page)[0] == tidied
+def test_links(spark, page, tidied):
+    r = pw.tidy_links(pages(spark, page)).first()
+    assert r["body"] == tidied and r["links_tidied"] == (re.sub("[ ,]", "", page) != re.sub("[ ,]", "", tidied))
 
 
 def test_dangling(spark):
