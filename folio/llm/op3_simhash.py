@@ -40,12 +40,10 @@ TRIPLES = tuple(combinations(range(6), 3))
 SMALL = 48
 #: Pairs compared at once.
 PAIRS = 1 << 18
-#: Places in its bucket before which a text is compared first, and the factor of each further round.
-FIRST, STEP = 4, 8
-#: Bands whose neighbours are compared before all others.
+#: Bands whose buckets are compared before all others.
 EARLY = 3
-#: Shingles that a task holds to compare texts, about.
-TASK = 1 << 20
+#: Shingles of the texts that a task compares, about, and what each text counts besides.
+TASK, ROW = 1 << 20, 256
 #: Rows gathered before their buckets are compared.
 HELD = 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -194,7 +192,7 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADI
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by key, their first, in parts of whole buckets; fp as 64-bit words."""
+    """The columns of batches sorted by key, their first, in parts of whole buckets; fp as 64-bit words, bands as 32-bit ones."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
@@ -202,8 +200,8 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
             continue
         cols = []
         for name, c in zip(b.schema.names, b.columns):
-            c = np.frombuffer(b"".join(c.to_pylist()), np.uint64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
-            cols.append(c.view(np.uint64).reshape(b.num_rows, -1) if name == "fp" else c)
+            c = np.frombuffer(b"".join(c.to_pylist()), np.uint8) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+            cols.append(c.view(np.uint64).reshape(b.num_rows, -1) if name == "fp" else c.view(np.uint32).reshape(b.num_rows, -1) if name == "bands" else c)
         held.append(cols)
         rows += b.num_rows
         if rows < HELD or held[0][0][0] == cols[0][-1]:  # few yet, or one bucket that has not ended
@@ -269,11 +267,6 @@ class Wide:
         runs = map(b" ".join, zip(*(words[k:] for k in range(self.shingle)))) if len(words) >= self.shingle else [b" ".join(words)]
         return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, max(1, len(words) - self.shingle + 1)))
 
-    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """Of the shingles of two texts."""
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= self.similarity * (len(a) + len(b) - both)
-
     def maybe(self, fp: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of rows can be as similar as asked, by the sizes of their sets and their fingerprints."""
         fine = np.minimum(size[a], size[b]) >= self.similarity * np.maximum(size[a], size[b])
@@ -302,33 +295,26 @@ class Wide:
         return joined, fp, len(h), [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
 
 
-def _ring(key: np.ndarray, node: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, first: int, last: int, wide: Wide) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (two arrays of nodes) of different groups that may be similar, in whole buckets, sorted by key and node, and the task that compares them: each row with those from first to last (excluded) places away, the bucket being a ring. A task has the pairs of a stretch of a bucket and of distances that are close together, so that it needs few texts for many pairs, and about TASK shingles at most (or one pair)."""
+def _asked(key: np.ndarray, band: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, bands: np.ndarray, wide: Wide) -> np.ndarray:
+    """Which rows, in whole cells sorted by key, have to be compared by their shingles: those with a partner of another group that may be similar, and that they meet in no earlier band. A cell is a ring: each row is asked with those 1, 2, ... places ahead."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     n = np.diff(edge)
     start, count, of = np.repeat(edge[:-1], n), np.repeat(n, n), np.repeat(np.arange(len(n)), n)
-    before = np.cumsum(size) - size
-    stretch = (before - before[start]) // TASK
-    # rows of a bucket's largest group need no comparing among themselves
-    order = np.lexsort((group, of))
-    run = np.flatnonzero(np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(group[order]) != 0), [True]]))
-    by = np.lexsort((np.diff(run), of[order[run[:-1]]]))
-    largest = np.zeros(len(n), np.int64)
-    largest[of[order[run[by]]]] = group[order[run[by]]]  # the last of a bucket is its largest
-    out = group != largest[of]
-    rows = np.flatnonzero(out)
-    for k in range(first, min(last, int(n.max()) // 2 + 1)):
+    asked, rows = np.zeros(len(key), bool), np.arange(len(key))
+    for k in range(1, int(n.max()) // 2 + 1):
         rows = rows[count[rows] >= 2 * k]
-        here = rows - start[rows]
-        ahead, back = start[rows] + (here + k) % count[rows], start[rows] + (here - k) % count[rows]
-        once = ~out[back]  # else that row looks ahead to this one
-        a, b = np.concatenate([rows, back[once]]), np.concatenate([ahead, rows[once]])
-        differ = group[a] != group[b]
-        a, b = a[differ], b[differ]
+        if k % 8 == 0:  # where all rows are asked already, nothing is left to find
+            rows = rows[(np.bincount(of[~asked], minlength=len(n)) > 0)[of[rows]]]
+        if not len(rows):
+            break
+        ahead = start[rows] + (rows - start[rows] + k) % count[rows]
+        open_ = ~(asked[rows] & asked[ahead]) & (group[rows] != group[ahead])
+        a, b = rows[open_], ahead[open_]
+        later = ~((bands[a] == bands[b]) & (np.arange(bands.shape[1]) < band[a][:, None])).any(axis=1)
+        a, b = a[later], b[later]
         near = wide.maybe(fp, size, a, b)
-        a, b = a[near], b[near]
-        task = (key[a].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stretch[a].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((k // 8) * 0x94D049BB)).view(np.int64)
-        yield np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), task
+        asked[a[near]] = asked[b[near]] = True
+    return asked
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -343,49 +329,94 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "node", "band").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, band int")
 
 
-def _candidates(rows: DataFrame, first: int, last: int, wide: Wide) -> DataFrame:
-    """rows (key, node, fp binary, size, group) to pairs (u, v, task), see _ring; and, with v null, the rows (u, key) of the buckets that the ring has more of."""
+def _parts(weight: Column) -> Column:
+    """Into how many parts rows of that many shingles and ROW more for each row are dealt."""
+    return F.greatest(F.lit(1), F.ceil(weight / F.lit(TASK))).cast("int")
+
+
+def _part(parts: Column, turn: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("int")
+
+
+def _cells(rows: DataFrame, wide: Wide, turn: int) -> DataFrame:
+    """rows (key, node, band, group, size, fp, bands, parts) to the texts to be compared, (task, side, node, group): buckets in parts, each row with those of its own part; each turn deals them anew. Side 2 is compared with itself."""
 
     def run(batches):
-        for key, node, fp, size, group in whole_buckets(batches):
-            for pairs in _gathered(_ring(key, node, fp, size, group, first, last, wide)):
-                u, v, task = np.unique(np.stack(pairs), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(task), pa.nulls(len(u), pa.int64())], names=["u", "v", "task", "key"])
-            _, of, n = np.unique(key, return_inverse=True, return_counts=True)
-            more = n[of] >= 2 * last
-            none = pa.nulls(int(more.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(node[more]), none, none, pa.array(key[more])], names=["u", "v", "task", "key"])
-
-    return rows.select("key", "node", "fp", "size", "group").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, task long, key long")
-
-
-def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The same pairs in fewer parts."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part[0])
-        if n >= PAIRS:
-            yield tuple(map(np.concatenate, zip(*held)))
-            held, n = [], 0
-    if n:
-        yield tuple(map(np.concatenate, zip(*held)))
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
-    """Pairs (u, v, task) whose texts are as similar as asked; texts (node, text), repeated ones repeated.
-
-    A pair found in several buckets is compared in one. A text goes once to each task
-    that needs it (from each task that reads it), not once for each pair, and a task
-    holds the shingles of one group of pairs at a time.
+        for cell, node, band, group, size, fp, bands in whole_buckets(batches):
+            keep = _asked(cell, band, fp, size, group, bands, wide)
+            n = int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(np.full(n, 2, np.int32)), pa.array(node[keep]), pa.array(group[keep])], names=["task", "side", "node", "group"])
+
+    cell = F.xxhash64("key", _part(F.col("parts"), turn))
+    dealt = rows.select(cell.alias("key"), "node", "band", "group", "size", "fp", "bands")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "task long, side int, node long, group long")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """rows (key, node, group, size, parts) to (task, side, node, group), so that each row outside its bucket's largest group (side 0) meets every row of the bucket (side 1)."""
+    largest = rows.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("group", "n").alias("largest"))
+    rows = rows.join(largest, "key").withColumn("out", F.col("group") != F.col("largest"))
+    asking = rows.where("out").groupBy("key").agg(_parts(F.sum(F.col("size") + ROW)).alias("asking"))
+    rows = rows.join(asking, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = rows.where("out").select("key", F.lit(0).alias("side"), "node", "group", _part(F.col("asking"), 0).alias("i"), every("parts").alias("j"))
+    whole = rows.select("key", F.lit(1).alias("side"), "node", "group", every("asking").alias("i"), _part(F.col("parts"), 1).alias("j"))
+    return out.union(whole).select(F.xxhash64("key", "i", "j").alias("task"), "side", "node", "group")
+
+
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that are not yet in one group, with their groups; found: components."""
+    rows = rows.drop("group").join(found, F.col("node") == F.col("u"), "left").withColumn("group", F.coalesce("component", "node")).drop("u", "component")
+    apart = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
+    return rows.join(apart, "key", "left_semi")
+
+
+def joined(sets: list[np.ndarray], node: np.ndarray, group: np.ndarray, side: np.ndarray, wide: Wide) -> tuple[list[int], list[int]]:
+    """Links that span what similar sets and equal groups connect, rows of side 2 being compared with all others, those of side 0 with those of side 1.
+
+    Breadth first: a row is compared with all not reached yet, so each pair is compared
+    or both are reached from one row.
     """
-    spark, path = pairs.sparkSession, scratch(pairs.sparkSession, "pairs")
-    pairs.groupBy("u", "v").agg(F.min("task").alias("task")).write.parquet(path)
-    pairs = spark.read.schema("u long, v long, task long").parquet(path)  # of known size, so Spark broadcasts what is small
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("asked"), "task").groupBy("asked").agg(F.collect_set("task").alias("tasks"))
-    path = scratch(spark, "asked")
-    asked.write.parquet(path)
-    asked = spark.read.schema("asked long, tasks array<long>").parquet(path)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, live = np.zeros(len(values), bool), np.ones(len(sets), bool)
+    code = np.unique(group, return_inverse=True)[1]
+    us, vs = [], []
+    while live.any():
+        queue = np.flatnonzero(live & (code == code[np.argmax(live)])).tolist()
+        live[queue] = False
+        while queue:
+            u = queue.pop()
+            others = np.flatnonzero(live & ((side == 2) | (side != side[u])))
+            others = others[np.minimum(size[others], size[u]) >= wide.similarity * np.maximum(size[others], size[u])]
+            if not len(others):
+                continue
+            mine = flat[start[u] : start[u] + size[u]]
+            mark[mine] = True
+            both = np.empty(len(others), np.int64)
+            step = max(1, (1 << 20) // int(size[others].max()))
+            for k in range(0, len(others), step):
+                part = others[k : k + step]
+                first = np.cumsum(size[part]) - size[part]
+                both[k : k + step] = np.add.reduceat(mark[flat[np.repeat(start[part] - first, size[part]) + np.arange(int(size[part].sum()))]], first, dtype=np.int64)
+            mark[mine] = False
+            near = others[both >= wide.similarity * (size[u] + size[others] - both)]
+            if len(near):
+                new, first = np.unique(code[near], return_index=True)
+                us += [int(node[u])] * len(new)
+                vs += node[near[first]].tolist()
+                reached = np.flatnonzero(live & np.isin(code, new))
+                live[reached] = False
+                queue += reached.tolist()
+    return us, vs
+
+
+def _compared(dealt: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
+    """dealt (task, side, node, group) to links (u, v), see joined; texts (node, text), repeated ones repeated. A text goes once to each task that needs it, from each task that reads it."""
+    spark, path = dealt.sparkSession, scratch(dealt.sparkSession, "asked")
+    dealt.groupBy("node").agg(F.collect_list(F.struct("task", "side", "group")).alias("tasks")).write.parquet(path)
+    asked = spark.read.schema("node long, tasks array<struct<task:long,side:int,group:long>>").parquet(path)  # of known size, so Spark broadcasts what is small
 
     def once(batches):
         seen: set[int] = set()
@@ -396,25 +427,33 @@ def _alike(pairs: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
                 seen.add(node)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    needed = texts.join(asked, F.col("node") == F.col("asked")).select("node", "text", "tasks").mapInArrow(once, "node long, text string, tasks array<long>")
-    rows = needed.select(F.explode("tasks").alias("task"), F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text").union(pairs.select("task", "u", "v", F.lit(None).cast("string").alias("text")))
+    needed = texts.join(asked, "node").select("node", "text", "tasks").mapInArrow(once, "node long, text string, tasks array<struct<task:long,side:int,group:long>>")
+    rows = needed.select(F.explode("tasks").alias("t"), "node", "text").select("t.task", "t.side", "t.group", "node", "text")
 
     def run(batches):
-        task, have = None, {}
+        task, held, seen = None, [], set()
+
+        def links():
+            node, group, side, sets = zip(*held)
+            return joined(list(sets), np.array(node, np.int64), np.array(group, np.int64), np.array(side, np.int64), wide) if len(held) > 1 else ([], [])
+
         for b in batches:
             us, vs, text = [], [], b.column("text")
-            for k, (t, u, v) in enumerate(zip(*(b.column(c).to_pylist() for c in ("task", "u", "v")))):
+            for k, (t, side, group, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("task", "side", "group", "node")))):
                 if t != task:
-                    task, have = t, {}
-                if v is None:  # the texts of a task come before its pairs
-                    if u not in have:
-                        have[u] = wide.hashes(text[k].as_py().encode().lower().split())
-                elif wide.alike(have[u], have[v]):
-                    us.append(u)
-                    vs.append(v)
+                    if held:
+                        u, v = links()
+                        us, vs = us + u, vs + v
+                    task, held, seen = t, [], set()
+                if (node, side) not in seen:
+                    seen.add((node, side))
+                    held.append((node, group, side, wide.hashes(text[k].as_py().encode().lower().split())))
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        if held:
+            u, v = links()
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.repartition("task").sortWithinPartitions(F.col("task"), F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -427,15 +466,19 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Copies so far apart differ in too many bits for buckets of whole blocks, so buckets
     are bands of minimal hashes (two sets of similarity 0.8 share one of the 25 with a
-    chance of 0.99999). Of a bucket's pairs those that may be similar by their sizes and, from
-    FEW shingles on, by their 512-bit fingerprints are compared by their shingles, and
-    only what these say links them, whatever the bucket's size. The fingerprints' limit
-    is seven deviations above the mean distance at the similarity asked, so it loses
-    about one pair in 10^10 and the chance of a common bucket is that of a link. Pairs that are linked through others need no
-    comparing: each text is first compared with its neighbours in the buckets of EARLY
-    bands, then, where a bucket of any band is not yet in one group, with those of other
-    groups less than FIRST places away, then STEP times as far, and so on until all are.
-    Texts of equal words meet before that, by their digest.
+    chance of 0.99999). A text is compared in a bucket if it has a partner there that may
+    be similar by size and, from FEW shingles on, by its 512-bit fingerprint, and that it
+    meets in no earlier band (told by 32 bits of each band); only shingles link them,
+    whatever the bucket's size. The fingerprints' limit is seven deviations above the
+    mean distance at the similarity asked, so it loses about one pair in 10^10, the 32
+    bits one in 10^8, and the chance of a common bucket is that of a link.
+
+    Tasks get texts, not pairs, and give the links that span what is similar. Buckets of
+    EARLY bands come first, so that large groups are mostly found there; then those of
+    all bands that are not yet in one group. A bucket of more than TASK shingles is dealt
+    in parts, in each of these turns anew; what it still has outside its largest group
+    then meets all its rows, part by part. Texts of equal words meet before all that, by
+    their digest.
     """
     wide = Wide(shingle, similarity)
     tune(docs.sparkSession)
@@ -453,21 +496,18 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # a text stands for those of equal words; the wide columns are fetched by the pair (same, h) of what stands
     least = prints.groupBy("same").agg(F.min("h").alias("node"), F.min(row).alias("first"))
     nodes = cut(prints.select("same", F.col("h").alias("node"), "fp", "size", "bands").dropDuplicates(["same", "node"]).join(least, ["same", "node"]).select("same", "node", "fp", "size", "bands", "first"))
-    sketches = nodes.select("node", "fp", "size")
+    low = F.transform("bands", lambda b: F.substring(F.to_binary(F.lpad(F.hex(b), F.lit(16), F.lit("0")), F.lit("hex")), 5, 4))
+    sketches = nodes.select("node", "fp", "size", F.concat(*[low[k] for k in range(wide.BANDS)]).alias("bands"))
     keyed = cut(_shared(nodes.select("node", F.posexplode("bands").alias("band", "key"))))
-    near = cut(_candidates(keyed.where(F.col("band") < EARLY).join(sketches, "node").withColumn("group", F.col("node")), 1, 2, wide))
-    found = components(_alike(near.where("v is not null").select("u", "v", "task"), texts, wide))
-    rows, first, last = keyed.select("key", "node"), 1, FIRST
-    while True:
-        rows = rows.join(found, F.col("node") == F.col("u"), "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-        apart = rows.groupBy("key").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("key")
-        rows = cut(rows.join(apart, "key", "left_semi"))
-        if rows.isEmpty():
-            break
-        near = cut(_candidates(rows.join(sketches, "node"), first, last, wide))
-        more = _alike(near.where("v is not null").select("u", "v", "task"), texts, wide)
-        found = components(found.select("u", F.col("component").alias("v")).union(more))
-        rows, first, last = near.where("v is null").select("key", F.col("u").alias("node")), last, last * STEP
+    sized = keyed.join(nodes.select("node", "size"), "node")
+    rows = cut(sized.join(sized.groupBy("key").agg(_parts(F.sum(F.col("size") + ROW)).alias("parts")), "key"))
+    early = rows.where(F.col("band") < EARLY).withColumn("group", F.col("node")).join(sketches.drop("size"), "node")
+    found = components(_compared(_cells(early, wide, 0), texts, wide))
+    rows = cut(_apart(rows.where((F.col("band") >= EARLY) | (F.col("parts") > 1)), found))
+    found = components(found.select("u", F.col("component").alias("v")).union(_compared(_cells(rows.join(sketches.drop("size"), "node"), wide, 1), texts, wide)))
+    rows = cut(_apart(rows.where("parts > 1"), found))
+    if not rows.isEmpty():
+        found = components(found.select("u", F.col("component").alias("v")).union(_compared(_across(rows), texts, wide)))
     grouped = cut(nodes.join(found, F.col("node") == F.col("u"), "left").select("same", "first", F.coalesce("component", "node").alias("group")))
     labels = grouped.join(grouped.groupBy("group").agg(F.min("first").alias("head")), "group").select("same", "head")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))

@@ -197,6 +197,32 @@ def test_near_copies_in_large_buckets_are_exact(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in texts}
 
 
+def test_near_copies_in_parts(spark, monkeypatch):
+    """Buckets dealt in parts: links between rows of different parts, some in chains only, among many rows just less similar."""
+    import random
+
+    monkeypatch.setattr(op3, "TASK", 2000)
+    r, words, texts = random.Random(5), prose(21, 400).split()[:130], []
+    for k in range(60):
+        new = list(words)
+        for at in r.sample(range(0, 130, 6), 3):
+            new[at] = f"own{k}x{at}"
+        texts.append((k, " ".join(new)))
+    for k in range(60, 66):  # a link to one of those only
+        new = texts[7 * (k - 60)][1].split()
+        new[-1] = f"end{k}"
+        texts.append((k, " ".join(new)))
+    got = {x["doc_id"]: x["component_id"] for x in op3.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets, label = [shingles(t) for _, t in texts], list(range(len(texts)))
+    for _ in range(8):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert len(set(label)) > 10 and any(i != x for i, x in enumerate(label))
+    assert got == dict(enumerate(label))
+
+
 def test_near_copies_of_few_words(spark):
     """8 words and one more (4 shingles of 5), 16 and three more (12 of 15): exactly 0.8."""
     texts = []
