@@ -73,3 +73,15 @@ def stalls(events: DataFrame, key: str, seconds: int = P.STALL_SECONDS) -> DataF
     before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts"))
     e = events.select(key, before.alias("since"), F.col("ts").alias("until")).withColumn("idle", F.unix_timestamp("until") - F.unix_timestamp("since"))
     return e.where(F.col("idle") > seconds)
+
+
+def output_folders(documents: DataFrame, folders: DataFrame, root: str) -> DataFrame:
+    """documents (doc_id, path) and what is on disk (folder, chunks, owner, images) to (doc_id, out_dir, image_dir). A document works in its own folder below root; in root itself only if its own has no chunks and root's are known to be of its file (owner). Figures go to <doc_id>_images, or to images where the folder has that already, so that links of earlier chunks stay right."""
+    own = F.concat(F.lit(f"{root}/"), F.col("doc_id"))
+    began = folders.where("chunks > 0")
+    mine = began.select(F.col("folder").alias("own")).distinct()
+    old = began.where(F.col("folder") == root).select(F.col("owner").alias("path"), F.lit(True).alias("in_root")).distinct()
+    with_images = folders.where("images").select(F.col("folder").alias("out_dir"), F.lit(True).alias("images")).distinct()
+    d = documents.select("doc_id", "path", own.alias("own")).join(mine.withColumn("begun", F.lit(True)), "own", "left").join(old, "path", "left")
+    d = d.withColumn("out_dir", F.when(F.col("begun").isNull() & F.col("in_root"), F.lit(root)).otherwise(F.col("own"))).join(with_images, "out_dir", "left")
+    return d.select("doc_id", "out_dir", F.concat("out_dir", F.when(F.col("images"), F.lit("/images")).otherwise(F.concat(F.lit("/"), F.col("doc_id"), F.lit("_images")))).alias("image_dir"))

@@ -155,3 +155,9 @@ def read_answers(answers: DataFrame) -> DataFrame:
         .when(F.col("__c.finish_reason") == "length", "truncated").when(~filled(F.coalesce(content, F.lit(""))), "empty")
     )
     return r.select(*answers.columns, content.alias("content"), problem.alias("problem"), F.coalesce("__a.usage.prompt_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("__a.usage.completion_tokens", F.lit(0)).alias("output_tokens"))
+
+
+def token_usage(answers: DataFrame, key: str) -> DataFrame:
+    """(key, answers, refused, input_tokens, output_tokens) of completions (key, body): the tokens of all answers, for those with a problem cost as well."""
+    read = read_answers(answers.select(key, "body"))
+    return read.groupBy(key).agg(F.count("*").alias("answers"), F.count_if(F.col("problem").isNotNull()).alias("refused"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

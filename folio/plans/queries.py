@@ -563,3 +563,33 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = F.when(i % 4 == 0, "").otherwise(F.concat_ws("", i.cast("string"), F.lit(","), i.cast("string"), F.lit("-"), (i + i % 4).cast("string")))
     d = corpus.documents(spark, sf_dir).select("doc_id", spec.alias("spec")).withColumn("pages", T.page_range(F.col("spec")))
     return d.select("doc_id", "spec", F.size("pages").cast("long").alias("n"), F.aggregate("pages", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    D + r""", b AS (SELECT DISTINCT doc_id, CAST(regexp_extract(doc_id, 'src(\d+)-', 1) AS INT) AS k FROM damaged), o AS (SELECT *, k % 3 = 0 AND doc_id = (SELECT min(doc_id) FROM b WHERE k % 3 = 0) AS in_root FROM b)
+SELECT doc_id, CASE WHEN in_root THEN 'out' ELSE 'out/' || doc_id END AS out_dir, CASE WHEN in_root THEN 'out/images' WHEN k % 4 = 0 THEN 'out/' || doc_id || '/images' ELSE 'out/' || doc_id || '/' || doc_id || '_images' END AS image_dir FROM o"""
+)
+def output_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of the books: two in three have begun their own, one has begun in the root, some have old image folders."""
+    docs = _pages(spark, sf_dir).select("doc_id").distinct().select("doc_id", F.concat(F.lit("/books/"), F.col("doc_id"), F.lit(".pdf")).alias("path"), F.regexp_extract("doc_id", r"src(\d+)-", 1).cast("int").alias("k"))
+    own = docs.select(F.concat(F.lit("out/"), F.col("doc_id")).alias("folder"), (F.col("k") % 3).alias("chunks"), F.lit(None).cast("string").alias("owner"), (F.col("k") % 4 == 0).alias("images"))
+    root = docs.where("k % 3 = 0").agg(F.lit("out").alias("folder"), F.lit(4).alias("chunks"), F.min("path").alias("owner"), F.lit(True).alias("images"))
+    return catalog.output_folders(docs, own.union(root), "out")
+
+
+@query("SELECT user_id, max(ts) AS since, CAST((SELECT floor(epoch(max(ts))) FROM events) - floor(epoch(max(ts))) AS BIGINT) AS idle FROM events GROUP BY user_id HAVING CAST((SELECT floor(epoch(max(ts))) FROM events) - floor(epoch(max(ts))) AS BIGINT) > 1200")
+def silent_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is silent at the time of the last event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    now = events.agg(F.max("ts")).first()[0]
+    return catalog.silent(events, "user_id", F.lit(now))
+
+
+@query("SELECT p_brand AS provider, count(*) AS answers, CAST(count_if(p_size % 5 = 0 OR p_size % 7 = 0) AS BIGINT) AS refused, CAST(sum(p_size * 10) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END) AS BIGINT) AS output_tokens FROM part GROUP BY p_brand")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions made of parts: some cut off, some empty, some that do not tell what they wrote."""
+    size = F.col("p_size").cast("long")
+    choice = F.struct(F.struct(F.when(size % 7 == 0, "").otherwise(F.col("p_name")).alias("content")).alias("message"), F.when(size % 5 == 0, "length").otherwise("stop").alias("finish_reason"))
+    used = F.struct((size * 10).alias("prompt_tokens"), F.when(size % 3 != 0, size).alias("completion_tokens"))
+    body = F.to_json(F.struct(F.array(choice).alias("choices"), used.alias("usage")))
+    return translation.token_usage(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("provider"), body.alias("body")), "provider")

@@ -5,9 +5,11 @@ Readers that need other libraries (PDF, OCR) plug in as callables: see read_chun
 
 from __future__ import annotations
 
+import io
 import os
 import shutil
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,6 +99,32 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return cut(files.select("doc_id", "file", "body").mapInArrow(run, "doc_id string, file string, bytes long"))
 
 
+def write_markdown(docs: DataFrame, folder: str) -> DataFrame:
+    """document (doc_id, text) written to folder/doc_id/doc_id.md; null texts are empty files."""
+    return write_files(docs.select("doc_id", F.concat("doc_id", F.lit(".md")).alias("file"), F.coalesce("text", F.lit("")).alias("body")), folder)
+
+
+def page_maps(pages: DataFrame) -> DataFrame:
+    """Pages of split spreads (doc_id, output_page, source_page, half, gutter) to (doc_id, file, body): a JSON array for each document, by output page. For write_files."""
+    row = F.struct("output_page", "source_page", "half", "gutter")
+    body = F.to_json(F.sort_array(F.collect_list(row)), {"ignoreNullFields": "false"})
+    return pages.groupBy("doc_id").agg(body.alias("body")).select("doc_id", F.lit("pagemap.json").alias("file"), "body")
+
+
+def bundles(files: DataFrame) -> DataFrame:
+    """(doc_id, file, body string or binary) to (doc_id, file, body): one zip archive for each document, entries by name and without times, so equal files give equal archives. A document's files are in memory together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in sorted(table.to_pylist(), key=lambda r: r["file"]):
+                z.writestr(zipfile.ZipInfo(r["file"]), r["body"], zipfile.ZIP_DEFLATED)
+        doc_id = table.column("doc_id")[0].as_py()
+        return pa.table({"doc_id": [doc_id], "file": [f"{doc_id}.zip"], "body": pa.array([held.getvalue()], pa.binary())})
+
+    return files.select("doc_id", "file", "body").groupBy("doc_id").applyInArrow(run, "doc_id string, file string, body binary")
+
+
 def delete_files(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, file) deleted from folder/doc_id; those that were there."""
 
