@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -95,8 +96,8 @@ def _beyond(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def within(plane: Callable, bits: int, radius: int, shape: tuple, live: np.ndarray | None = None) -> np.ndarray:
-    """Words of flags for at most radius differing bits. plane(b, keep): plane b of the differences in the words kept (all: None); live: flags that still matter.
+def within(plane: Callable, bits: int, radius: int, shape: tuple, live: np.ndarray | None = None, tight: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Words of flags for at most radius differing bits. plane(b, keep): plane b of the differences in the words kept (all: None); live: flags that still matter; tight: a lesser radius and flags of where it holds.
 
     The counts are kept as bits in carry-save counters, one word for 64 counts; what
     runs over the highest bit is far. Every 16 bits words that are all far are left out.
@@ -118,19 +119,38 @@ def within(plane: Callable, bits: int, radius: int, shape: tuple, live: np.ndarr
                 keep = np.flatnonzero(open_) if keep is None else keep[open_]
                 counters, far = [c[..., open_] for c in counters], far[..., open_]
     near = ~(far | _beyond(counters, radius))
+    if tight is not None:
+        near &= ~(_beyond(counters, tight[0]) & (tight[1] if keep is None else tight[1][..., keep]))
     if keep is None:
         return near
     done[..., keep] = near
     return done
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which fingerprints of a and b, pair by pair, are linked."""
+def packed(flags: np.ndarray) -> np.ndarray:
+    """Flags as words of 64, along the last axis; the last word is filled with zeros."""
+    full = np.zeros((*flags.shape[:-1], flags.shape[-1] + -flags.shape[-1] % 64), bool)
+    full[..., : flags.shape[-1]] = flags
+    return np.packbits(full, axis=-1, bitorder="little").view(np.uint64)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS, tight: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Which fingerprints of a and b, pair by pair, are linked; tight: a lesser radius and the pairs for which it holds."""
     p = planes(a ^ b)
-    flags = within(lambda k, keep: p[k] if keep is None else p[k][keep], len(p), radius, (p.shape[1],))
+    flags = within(lambda k, keep: p[k] if keep is None else p[k][keep], len(p), radius, (p.shape[1],), tight=tight and (tight[0], packed(tight[1])))
     return np.unpackbits(flags.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
 
 
+def near_rows(p: np.ndarray, fps: np.ndarray, now: np.ndarray, words: np.ndarray, radius: int, live: np.ndarray, tight: tuple[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are linked with the rows now, as two arrays: places in now, rows. p: planes of fps; words: those of the planes that are looked at; live, tight: as in within, for these words."""
+    mine = p[:, words]
+    asked = np.where(np.unpackbits(fps[now].view(np.uint8).reshape(len(now), -1), axis=1, bitorder="little").astype(bool), ALL, np.uint64(0))
+    flags = within(lambda k, keep: (mine[k] if keep is None else mine[k][keep])[None, :] ^ asked[:, k, None], len(p), radius, (len(now), len(words)), live, tight)
+    hit = np.unpackbits(np.ascontiguousarray(flags).view(np.uint8), axis=1, bitorder="little")
+    rows, cols = np.nonzero(hit)
+    return rows, words[cols // 64] * 64 + cols % 64
+
+
 def spread(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of a bucket, as two arrays of indices."""
     n, p = len(fps), planes(fps)
@@ -150,13 +170,7 @@ def spread(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
         words = np.flatnonzero(left)
         if not len(words):
             break
-        mine = p[:, words]
-        asked = np.where(np.unpackbits(fps[now].view(np.uint8).reshape(len(now), -1), axis=1, bitorder="little").astype(bool), ALL, np.uint64(0))
-        shape = (len(now), len(words))
-        flags = within(lambda k, keep: (mine[k] if keep is None else mine[k][keep])[None, :] ^ asked[:, k, None], len(p), radius, shape, np.broadcast_to(left[words], shape))
-        hit = np.unpackbits(np.ascontiguousarray(flags).view(np.uint8), axis=1, bitorder="little")
-        rows, cols = np.nonzero(hit)
-        cols = words[cols // 64] * 64 + cols % 64
+        rows, cols = near_rows(p, fps, now, words, radius, np.broadcast_to(left[words], (len(now), len(words))))
         cols, first = np.unique(cols, return_index=True)
         live[cols] = 0
         at.append(now[rows[first]])
@@ -244,38 +258,79 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+@cache
+def _most_apart(similarity: float, few: int) -> float:
+    """The largest chance that a bit differs in the fingerprints of two sets at least so similar, one of less than few shingles."""
+    most = 0.0
+    for c in range(1, few):  # shingles that both have; one set has a more, the other b
+        x = np.arange(c + 1)
+        held = np.array([math.comb(c, k) / 2**c for k in x])
+
+        def one(more: int) -> np.ndarray:
+            """The chance of a one in a set of that many more, by the ones among what both have."""
+            least = np.clip((c + more) // 2 + 1 - x, 0, more + 1)
+            return np.array([sum(math.comb(more, k) for k in range(at, more + 1)) / 2**more for at in least])
+
+        for a in range(few - c):
+            if c < similarity * (c + 2 * a):
+                break
+            p, b = one(a), a
+            while c >= similarity * (c + a + b):
+                q = one(b)
+                most = max(most, float((held * (p * (1 - q) + q * (1 - p))).sum()))
+                b += 1
+    return most
+
+
 class Wide:
     """Fingerprints for similarities that 64 bits within three cannot tell: BITS bits of the set of shingles, and the keys of BANDS bands of ROWS minimal hashes."""
 
     BITS, BANDS, ROWS = 512, 25, 4
-    #: Below so many shingles in one of them fingerprints tell too little of two sets, and are not asked.
+    #: Below so many shingles in one of them two sets have a wider limit, for ties tell them further apart.
     FEW = 64
 
     def __init__(self, shingle: int, similarity: float):
         self.shingle = shingle
         self.similarity = similarity
         # sets of equal size and that similarity are at this angle: the mean of their distances, and the deviation
-        share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        mean, one = self.BITS * share, math.sqrt(self.BITS * share * (1 - share))
         # with ties and unequal sizes the mean is at most a bit more for sets of FEW and more (exactly: 78.6 for 77.6 at 0.8)
-        self.radius = int(mean + 7 * one)
+        self.radius = self.limit(math.acos(2 * similarity / (1 + similarity)) / math.pi)
+        self.loose = max(self.radius, self.limit(_most_apart(similarity, self.FEW)))
         rng = np.random.default_rng(SEED)
         self.odd = rng.integers(1, 1 << 63, self.BANDS * self.ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(1, 1 << 63, self.BITS // 64, dtype=np.uint64)
 
+    def limit(self, share: float) -> int:
+        """Seven deviations above the mean distance where a bit differs with that chance."""
+        return int(self.BITS * share + 7 * math.sqrt(self.BITS * share * (1 - share)))
+
     def hashes(self, words: list[bytes]) -> np.ndarray:
         runs = map(b" ".join, zip(*(words[k:] for k in range(self.shingle)))) if len(words) >= self.shingle else [b" ".join(words)]
         return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, max(1, len(words) - self.shingle + 1)))
 
-    def maybe(self, fp: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes can be as similar as asked."""
+        return np.minimum(a, b) >= self.similarity * np.maximum(a, b)
+
+    def near(self, fp: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of rows can be as similar as asked, by the sizes of their sets and their fingerprints."""
-        fine = np.minimum(size[a], size[b]) >= self.similarity * np.maximum(size[a], size[b])
-        at = np.flatnonzero(fine & (np.minimum(size[a], size[b]) >= self.FEW))
-        for k in range(0, len(at), 1 << 16):
-            i = at[k : k + (1 << 16)]
-            fine[i] = np.bitwise_count(fp[a[i]] ^ fp[b[i]]).sum(axis=1, dtype=np.int64) <= self.radius
+        fine = self.alike(size[a], size[b])
+        at = np.flatnonzero(fine)
+        step = PAIRS // fp.shape[1]
+        for k in range(0, len(at), step):
+            i = at[k : k + step]
+            fine[i] = near_pairs(fp[a[i]], fp[b[i]], self.loose, (self.radius, np.minimum(size[a[i]], size[b[i]]) >= self.FEW))
         return fine
 
+    def near_rows(self, p: np.ndarray, fp: np.ndarray, size: np.ndarray, now: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for rows now against those live (flags, a row of them for each); p: planes of fp."""
+        left = packed(live & self.alike(size[now][:, None], size))
+        words = np.flatnonzero(left.any(axis=0))
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        many = np.where((size[now] >= self.FEW)[:, None], packed(size >= self.FEW)[words], np.uint64(0))
+        return near_rows(p, fp, now, words, self.loose, left[:, words], (self.radius, many))
+
     def print(self, text: str) -> tuple[bytes, bytes, int, list[int]]:
         """Digest of the words, fingerprint, size of the set, keys of the bands."""
         words = text.encode().lower().split()
@@ -295,13 +350,18 @@ class Wide:
         return joined, fp, len(h), [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
 
 
+def _later(band: np.ndarray, bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows meet in no earlier band."""
+    return ~((bands[a] == bands[b]) & (np.arange(bands.shape[1]) < band[a][:, None])).any(axis=1)
+
+
 def _asked(key: np.ndarray, band: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, bands: np.ndarray, wide: Wide) -> np.ndarray:
-    """Which rows, in whole cells sorted by key, have to be compared by their shingles: those with a partner of another group that may be similar, and that they meet in no earlier band. A cell is a ring: each row is asked with those 1, 2, ... places ahead."""
+    """Which rows, in whole cells sorted by key, have to be compared by their shingles: those with a partner of another group that may be similar, and that they meet in no earlier band. A small cell is a ring: each row is asked with those 1, 2, ... places ahead, in all small cells at once."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     n = np.diff(edge)
     start, count, of = np.repeat(edge[:-1], n), np.repeat(n, n), np.repeat(np.arange(len(n)), n)
-    asked, rows = np.zeros(len(key), bool), np.arange(len(key))
-    for k in range(1, int(n.max()) // 2 + 1):
+    asked, rows = np.zeros(len(key), bool), np.flatnonzero(count <= SMALL)
+    for k in range(1, SMALL // 2 + 1):
         rows = rows[count[rows] >= 2 * k]
         if k % 8 == 0:  # where all rows are asked already, nothing is left to find
             rows = rows[(np.bincount(of[~asked], minlength=len(n)) > 0)[of[rows]]]
@@ -310,13 +370,35 @@ def _asked(key: np.ndarray, band: np.ndarray, fp: np.ndarray, size: np.ndarray,
         ahead = start[rows] + (rows - start[rows] + k) % count[rows]
         open_ = ~(asked[rows] & asked[ahead]) & (group[rows] != group[ahead])
         a, b = rows[open_], ahead[open_]
-        later = ~((bands[a] == bands[b]) & (np.arange(bands.shape[1]) < band[a][:, None])).any(axis=1)
+        later = _later(band, bands, a, b)
         a, b = a[later], b[later]
-        near = wide.maybe(fp, size, a, b)
+        near = wide.near(fp, size, a, b)
         asked[a[near]] = asked[b[near]] = True
+    for s, m in zip(edge[:-1][n > SMALL].tolist(), n[n > SMALL].tolist()):
+        asked[s : s + m] = _asked_of(*(x[s : s + m] for x in (band, fp, size, group, bands)), wide)
     return asked
 
 
+def _asked_of(band: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, bands: np.ndarray, wide: Wide) -> np.ndarray:
+    """The same in one large cell: rows not asked yet against all that were not before them, those of the largest group last."""
+    p = planes(fp)
+    _, code, count = np.unique(group, return_inverse=True, return_counts=True)
+    order, step = np.lexsort((code, count[code])), 1
+    asked, open_ = np.zeros(len(fp), bool), np.ones(len(fp), bool)
+    while True:
+        order = order[open_[order] & ~asked[order]]
+        if not len(order):
+            return asked
+        now, step = order[:step], min(64, 2 * step)
+        rows, b = wide.near_rows(p, fp, size, now, open_ & (code[now][:, None] != code))
+        a = now[rows]
+        for k in range(0, len(a), PAIRS // 8):
+            i, j = a[k : k + PAIRS // 8], b[k : k + PAIRS // 8]
+            later = _later(band, bands, i, j)
+            asked[i[later]] = asked[j[later]] = True
+        open_[now] = False
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
     """The rows of keyed (key, node, band) whose bucket has others."""
 
@@ -371,11 +453,27 @@ def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(apart, "key", "left_semi")
 
 
-def joined(sets: list[np.ndarray], node: np.ndarray, group: np.ndarray, side: np.ndarray, wide: Wide) -> tuple[list[int], list[int]]:
-    """Links that span what similar sets and equal groups connect, rows of side 2 being compared with all others, those of side 0 with those of side 1.
+def _near_in(fp: np.ndarray, size: np.ndarray, side: np.ndarray, wide: Wide) -> Callable:
+    """near(u, queue, live): the rows that u has to be compared with, of those live; asked for it, those in the queue and others at once."""
+    p, known = planes(fp), {}
+
+    def near(u: int, queue: list[int], live: np.ndarray) -> np.ndarray:
+        if u not in known:
+            now = [u, *(k for k in queue[:-64:-1] if k not in known)]
+            now += [k for k in np.flatnonzero(live)[: 64 - len(now)].tolist() if k not in known]
+            now = np.array(now)
+            rows, cols = wide.near_rows(p, fp, size, now, live & ((side == 2) | (side[now][:, None] != side)))
+            known.update(zip(now.tolist(), np.split(cols, np.searchsorted(rows, np.arange(1, len(now))))))
+        return known.pop(u)
+
+    return near
+
 
-    Breadth first: a row is compared with all not reached yet, so each pair is compared
-    or both are reached from one row.
+def joined(sets: list[np.ndarray], near: Callable, node: np.ndarray, group: np.ndarray, wide: Wide) -> tuple[list[int], list[int]]:
+    """Links that span what similar sets and equal groups connect; near: see _near_in.
+
+    Breadth first: a row is compared with all not reached yet that are near it, so each
+    near pair is compared or both are reached from one row.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     start = np.cumsum(size) - size
@@ -386,10 +484,10 @@ def joined(sets: list[np.ndarray], node: np.ndarray, group: np.ndarray, side: np
     while live.any():
         queue = np.flatnonzero(live & (code == code[np.argmax(live)])).tolist()
         live[queue] = False
-        while queue:
+        while queue and live.any():
             u = queue.pop()
-            others = np.flatnonzero(live & ((side == 2) | (side != side[u])))
-            others = others[np.minimum(size[others], size[u]) >= wide.similarity * np.maximum(size[others], size[u])]
+            others = near(u, queue, live)
+            others = others[live[others]]
             if not len(others):
                 continue
             mine = flat[start[u] : start[u] + size[u]]
@@ -401,22 +499,55 @@ def joined(sets: list[np.ndarray], node: np.ndarray, group: np.ndarray, side: np
                 first = np.cumsum(size[part]) - size[part]
                 both[k : k + step] = np.add.reduceat(mark[flat[np.repeat(start[part] - first, size[part]) + np.arange(int(size[part].sum()))]], first, dtype=np.int64)
             mark[mine] = False
-            near = others[both >= wide.similarity * (size[u] + size[others] - both)]
-            if len(near):
-                new, first = np.unique(code[near], return_index=True)
+            fine = others[both >= wide.similarity * (size[u] + size[others] - both)]
+            if len(fine):
+                new, first = np.unique(code[fine], return_index=True)
                 us += [int(node[u])] * len(new)
-                vs += node[near[first]].tolist()
+                vs += node[fine[first]].tolist()
                 reached = np.flatnonzero(live & np.isin(code, new))
                 live[reached] = False
                 queue += reached.tolist()
     return us, vs
 
 
-def _compared(dealt: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
-    """dealt (task, side, node, group) to links (u, v), see joined; texts (node, text), repeated ones repeated. A text goes once to each task that needs it, from each task that reads it."""
+def joined_tasks(tasks: list[list[tuple]], wide: Wide) -> tuple[list[int], list[int]]:
+    """The links of tasks, lists of (node, group, side, fp, set): rows of side 2 are compared with all others of their task, those of side 0 with those of side 1, by their fingerprints first and what is near by the shingles. The pairs of all small tasks are compared at once."""
+    us, vs, small, pairs, total = [], [], [], [], 0
+    for held in tasks:
+        node, group, side, fp, sets = zip(*held)
+        node, group, side = (np.array(x, np.int64) for x in (node, group, side))
+        fp, size = np.frombuffer(b"".join(fp), np.uint64).reshape(len(held), -1), np.fromiter(map(len, sets), np.int64, len(held))
+        if len(held) > SMALL:
+            u, v = joined(list(sets), _near_in(fp, size, side, wide), node, group, wide)
+            us, vs = us + u, vs + v
+            continue
+        i, j = np.triu_indices(len(held), 1)
+        open_ = ((side[i] == 2) | (side[i] != side[j])) & (group[i] != group[j])
+        pairs.append((total + i[open_], total + j[open_]))
+        small.append((total, sets, node, group, fp, size))
+        total += len(held)
+    if not small:
+        return us, vs
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    hit = wide.near(np.concatenate([x[4] for x in small]), np.concatenate([x[5] for x in small]), a, b)
+    a, b = a[hit], b[hit]
+    ends = np.searchsorted(a, [x[0] for x in small] + [total])
+    for k, (at, sets, node, group, _, _) in enumerate(small):
+        if ends[k] == ends[k + 1]:
+            continue
+        i, j = a[ends[k] : ends[k + 1]] - at, b[ends[k] : ends[k + 1]] - at
+        flags = np.zeros((len(sets), len(sets)), bool)
+        flags[i, j] = flags[j, i] = True
+        u, v = joined(list(sets), lambda u, queue, live, flags=flags: np.flatnonzero(flags[u]), node, group, wide)
+        us, vs = us + u, vs + v
+    return us, vs
+
+
+def _compared(dealt: DataFrame, sketches: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
+    """dealt (task, side, node, group) to links (u, v), see joined_tasks; sketches (node, fp), texts (node, text), repeated ones repeated. A text goes once to each task that needs it, from each task that reads it."""
     spark, path = dealt.sparkSession, scratch(dealt.sparkSession, "asked")
-    dealt.groupBy("node").agg(F.collect_list(F.struct("task", "side", "group")).alias("tasks")).write.parquet(path)
-    asked = spark.read.schema("node long, tasks array<struct<task:long,side:int,group:long>>").parquet(path)  # of known size, so Spark broadcasts what is small
+    dealt.groupBy("node").agg(F.collect_list(F.struct("task", "side", "group")).alias("tasks")).join(sketches.select("node", "fp"), "node").select("node", "fp", "tasks").write.parquet(path)
+    asked = spark.read.schema("node long, fp binary, tasks array<struct<task:long,side:int,group:long>>").parquet(path)  # of known size, so Spark broadcasts what is small
 
     def once(batches):
         seen: set[int] = set()
@@ -427,31 +558,30 @@ def _compared(dealt: DataFrame, texts: DataFrame, wide: Wide) -> DataFrame:
                 seen.add(node)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    needed = texts.join(asked, "node").select("node", "text", "tasks").mapInArrow(once, "node long, text string, tasks array<struct<task:long,side:int,group:long>>")
-    rows = needed.select(F.explode("tasks").alias("t"), "node", "text").select("t.task", "t.side", "t.group", "node", "text")
+    needed = texts.join(asked, "node").select("node", "text", "fp", "tasks").mapInArrow(once, "node long, text string, fp binary, tasks array<struct<task:long,side:int,group:long>>")
+    rows = needed.select(F.explode("tasks").alias("t"), "node", "fp", "text").select("t.task", "t.side", "t.group", "node", "fp", "text")
 
     def run(batches):
-        task, held, seen = None, [], set()
+        task, held, seen, ready, weight = None, [], set(), [], 0
 
-        def links():
-            node, group, side, sets = zip(*held)
-            return joined(list(sets), np.array(node, np.int64), np.array(group, np.int64), np.array(side, np.int64), wide) if len(held) > 1 else ([], [])
+        def links(tasks):
+            u, v = joined_tasks([x for x in tasks if len(x) > 1], wide)
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
         for b in batches:
-            us, vs, text = [], [], b.column("text")
-            for k, (t, side, group, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("task", "side", "group", "node")))):
+            text = b.column("text")
+            for k, (t, side, group, node, fp) in enumerate(zip(*(b.column(c).to_pylist() for c in ("task", "side", "group", "node", "fp")))):
                 if t != task:
-                    if held:
-                        u, v = links()
-                        us, vs = us + u, vs + v
+                    ready.append(held)
+                    if weight >= 4 * TASK:
+                        yield links(ready)
+                        ready, weight = [], 0
                     task, held, seen = t, [], set()
                 if (node, side) not in seen:
                     seen.add((node, side))
-                    held.append((node, group, side, wide.hashes(text[k].as_py().encode().lower().split())))
-            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-        if held:
-            u, v = links()
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    held.append((node, group, side, fp, wide.hashes(text[k].as_py().encode().lower().split())))
+                    weight += len(held[-1][-1]) + ROW
+        yield links([*ready, held])
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
@@ -466,14 +596,17 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Copies so far apart differ in too many bits for buckets of whole blocks, so buckets
     are bands of minimal hashes (two sets of similarity 0.8 share one of the 25 with a
-    chance of 0.99999). A text is compared in a bucket if it has a partner there that may
-    be similar by size and, from FEW shingles on, by its 512-bit fingerprint, and that it
-    meets in no earlier band (told by 32 bits of each band); only shingles link them,
-    whatever the bucket's size. The fingerprints' limit is seven deviations above the
-    mean distance at the similarity asked, so it loses about one pair in 10^10, the 32
-    bits one in 10^8, and the chance of a common bucket is that of a link.
-
-    Tasks get texts, not pairs, and give the links that span what is similar. Buckets of
+    chance of 0.99999). There 512-bit fingerprints are compared as above, in bit planes. A
+    text is sent to be compared in a bucket if it has a partner there that may be similar
+    by size and fingerprint, and that it meets in no earlier band (told by 32 bits of each
+    band). The fingerprints' limit is seven deviations above the mean distance at the
+    similarity asked (where a set has less than FEW shingles: above the largest that sets
+    of such sizes have), so it loses about one pair in 10^10, the 32 bits one in 10^8, and
+    the chance of a common bucket is that of a link.
+
+    Tasks get texts and fingerprints, not pairs, and give the links that span what is
+    similar: what is near by its fingerprint, in buckets of any size and in their parts,
+    is confirmed by its shingles, and nothing else is compared by these. Buckets of
     EARLY bands come first, so that large groups are mostly found there; then those of
     all bands that are not yet in one group. A bucket of more than TASK shingles is dealt
     in parts, in each of these turns anew; what it still has outside its largest group
@@ -502,12 +635,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sized = keyed.join(nodes.select("node", "size"), "node")
     rows = cut(sized.join(sized.groupBy("key").agg(_parts(F.sum(F.col("size") + ROW)).alias("parts")), "key"))
     early = rows.where(F.col("band") < EARLY).withColumn("group", F.col("node")).join(sketches.drop("size"), "node")
-    found = components(_compared(_cells(early, wide, 0), texts, wide))
+    found = components(_compared(_cells(early, wide, 0), sketches, texts, wide))
     rows = cut(_apart(rows.where((F.col("band") >= EARLY) | (F.col("parts") > 1)), found))
-    found = components(found.select("u", F.col("component").alias("v")).union(_compared(_cells(rows.join(sketches.drop("size"), "node"), wide, 1), texts, wide)))
+    found = components(found.select("u", F.col("component").alias("v")).union(_compared(_cells(rows.join(sketches.drop("size"), "node"), wide, 1), sketches, texts, wide)))
     rows = cut(_apart(rows.where("parts > 1"), found))
     if not rows.isEmpty():
-        found = components(found.select("u", F.col("component").alias("v")).union(_compared(_across(rows), texts, wide)))
+        found = components(found.select("u", F.col("component").alias("v")).union(_compared(_across(rows), sketches, texts, wide)))
     grouped = cut(nodes.join(found, F.col("node") == F.col("u"), "left").select("same", "first", F.coalesce("component", "node").alias("group")))
     labels = grouped.join(grouped.groupBy("group").agg(F.min("first").alias("head")), "group").select("same", "head")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))

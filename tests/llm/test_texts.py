@@ -234,6 +234,64 @@ def test_near_copies_of_few_words(spark):
     assert got == {i: i // 2 * 2 for i, _ in texts}
 
 
+def wide_rows(seed, n):
+    """Fingerprints around four centres, sizes of sets around FEW and a quarter of very few shingles, groups; and which pairs are near, told pair by pair."""
+    rng, wide = np.random.default_rng(seed), op3.Wide(5, 0.8)
+    flips = rng.random((n, 512)) < rng.uniform(0.05, 0.2, n)[:, None]
+    fp = rng.integers(0, 2**63, (4, 8), dtype=np.uint64)[rng.integers(0, 4, n)] ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    size = np.where(rng.random(n) < 0.25, 10, rng.integers(55, 75, n))
+    group = rng.integers(0, n // 2 + 1, n) if seed % 2 else np.arange(n)
+    apart = np.bitwise_count(fp[:, None] ^ fp).sum(axis=2)
+    least, most = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    return wide, fp, size, group, (least >= 0.8 * most) & (apart <= np.where(least >= wide.FEW, wide.radius, wide.loose)) & (group[:, None] != group)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fingerprints_tell_which_near_copies_are_asked(seed):
+    """In cells of any size, and for sets of few shingles as well."""
+    sizes = [1, 2, 3, 7, 40, 48, 49, 64, 130, 200][seed % 3 :]
+    n, key = sum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    wide, fp, size, group, near = wide_rows(seed, n)
+    rng = np.random.default_rng(100 + seed)
+    band, bands = rng.integers(0, 3, len(sizes)).astype(np.int32)[key], rng.integers(0, 40, (n, 25)).astype(np.uint32)
+    earlier = ((bands[:, None] == bands) & (np.arange(25) < band[:, None, None])).any(axis=2)
+    want = (near & ~earlier & (key[:, None] == key)).any(axis=1)
+    assert (op3._asked(key, band, fp, size, group, bands, wide) == want).all() and 0 < want.sum() < n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_near_copies_are_linked_by_fingerprints_and_shingles(seed):
+    """Tasks of any size, of one side and of two: links span the pairs that are near by their fingerprints and similar by their shingles, and no others."""
+    n, tasks, want = [2, 3, 30, 48, 49, 150], [], []
+    for t, m in enumerate(n):
+        wide, fp, size, group, near = wide_rows(10 * seed + t, m)
+        rng = np.random.default_rng(seed)
+        side = rng.integers(0, 2, m) if (seed + t) % 3 == 0 else np.full(m, 2)
+        sets = [np.sort(rng.permutation(k + 3)[:k]).astype(np.uint64) for k in size.tolist()]
+        tasks.append([(1000 * t + k, 1000 * t + int(group[k]), int(side[k]), fp[k].tobytes(), sets[k]) for k in range(m)])
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        link = near & (both >= 0.8 * (size[:, None] + size - both)) & ((side[:, None] == 2) | (side[:, None] != side))
+        want.append((link, group))
+    us, vs = op3.joined_tasks(tasks, wide)
+    for t, (link, group) in enumerate(want):
+        here = [(u - 1000 * t, v - 1000 * t) for u, v in zip(us, vs) if u // 1000 == t]
+        assert all(v // 1000 == t for u, v in zip(us, vs) if u // 1000 == t) and len(here) < len(set(group.tolist()))
+
+        def labels(pairs):
+            label = list(range(len(group)))
+            for a, b in [*pairs, *((k, group.tolist().index(g)) for k, g in enumerate(group.tolist()))]:
+                label = [label[a] if x == label[b] else x for x in label]
+            return [label.index(x) for x in label]
+
+        assert labels(here) == labels(np.argwhere(link).tolist())
+
+
+def test_limit_of_few_shingles():
+    """4 shingles in 5: the chance that a bit differs, over all outcomes; no other sets of that similarity differ more."""
+    ones = np.array(np.meshgrid(*[[0, 1]] * 5)).reshape(5, -1)
+    assert op3._most_apart(0.8, 64) == ((2 * ones[:4].sum(axis=0) > 4) != (2 * ones.sum(axis=0) > 5)).mean() == 0.1875
+
+
 def test_every_near_pair_shares_a_bucket(spark):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, 200, dtype=np.uint64)
