@@ -194,3 +194,19 @@ def test_damage_gives_every_operator_work(spark):
     s = refine.refine_stats(refine.refine_pages(pg.paginate(p), corpus.outline(p), margins=True)).first().asDict()
     assert all(s[c] > 0 for c in refine.COUNTERS if c != "headings_promoted") and s["margin_sequence"]
     assert pw.clean_characters(p, "body").agg(F.sum("chars_cleaned")).first()[0] > 0
+
+
+def test_python_holds_few_pages(spark):
+    """However many pages a task has, Python gets them in batches of bounded rows and bytes."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "10000")
+    spark.conf.set(keys[1], str(256 << 20))
+    try:
+        pages = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.lit("a b\nc").alias("body"))
+        seen = pw.work(pages, lambda r: {"body": str(id(r)), "n": 1}, "n int")
+        assert seen.count() == 5000
+        assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1])) <= 16 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
