@@ -32,7 +32,9 @@ INVISIBLE_J = r"[\u00ad\u200b\u2060\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 # -- fixed values: words and hyphens -----------------------------------------
 HYPHENS = "-\u2010\u2011"
 TOKEN_J = rf"[\p{{L}}\p{{N}}]+(?:[{HYPHENS}][\p{{L}}\p{{N}}]+)*"
-BREAK_J = rf"({TOKEN_J})([{HYPHENS}])[ \t]*\n[ \t]*({TOKEN_J})"
+#: TOKEN_J as a whole, from where it starts: no other start or end can match more, and none is tried.
+WHOLE_J = rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]++(?:[{HYPHENS}][\p{{L}}\p{{N}}]++)*+"
+BREAK_J = rf"({WHOLE_J})([{HYPHENS}])[ \t]*\n[ \t]*({WHOLE_J})"
 TOKEN = rf"[^\W_]+(?:[{HYPHENS}][^\W_]+)*"
 BREAK = rf"({TOKEN})([{HYPHENS}])[ \t]*\n[ \t]*({TOKEN})"
 VOCABULARY_J = rf"[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[{HYPHENS}][\p{{L}}\p{{Nl}}\p{{No}}]+)*"

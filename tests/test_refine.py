@@ -210,3 +210,14 @@ def test_python_holds_few_pages(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_hyphens_read_the_vocabulary_once(spark):
+    """Both spellings of a break are looked up in one pass over the words, and repeated breaks stay."""
+    p = pages(spark, "under-\nstanding and self-\nevident", "understanding self-evident self-evident", "self-\nevident")
+    vocab = pw.vocabulary(p, "body")
+    breaks = pw.hyphen_breaks(p)
+    got = pw.hyphen_decisions(breaks.union(breaks), vocab)
+    assert sorted((r["seq"], r["at"], r["left"], r["right"], r["keeps"]) for r in got.collect()) == sorted([(0, 0, "under", "standing", False), (0, 1, "self", "evident", True), (2, 0, "self", "evident", True)] * 2)
+    plan = pw.hyphen_decisions(breaks, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("Generate explode\\(regexp_extract_all", plan)) == 1
