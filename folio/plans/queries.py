@@ -422,7 +422,7 @@ SELECT doc_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last, md5(text)
 def chunks_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks written in two runs, of which the second finds what the first left out, and writes one again."""
     pages = _pages(spark, sf_dir)
-    plan = _plan(pages)
+    plan = cut(_plan(pages))
     chunk = cut(_written(pages, plan).withColumn("text", T.strip(F.col("text"))))
     path = f"{shared(spark)}/chunks-{uuid.uuid4().hex}"
     write_chunks(chunk.where("first % 60 <> 20"), path)

@@ -11,6 +11,7 @@ import shutil
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,17 +51,39 @@ def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None
 CHUNKS = "doc_id string, first int, last int, text string"
 
 
+def _below(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that hidden files are not; none where there is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the writes that were committed, in order."""
+    return [name for name in _below(spark, path) if name.startswith("run=") and "_SUCCESS" in _below(spark, f"{path}/{name}")]
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """chunk (doc_id, first, last, text): a partition is one chunk. Writing some chunks replaces those and leaves all others, also of the same documents, as they are."""
-    chunks.select("doc_id", "first", "last", "text").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "first").parquet(path)
+    """chunk (doc_id, first, last, text): a write is a folder of its own, in as many files as it has tasks, committed whole or not at all. Writing some chunks replaces those and leaves all others, also of the same documents, as they are: of a chunk that was written several times the last counts."""
+    spark = chunks.sparkSession
+    last = max((int(name[4:16]) for name in _below(spark, path) if name.startswith("run=")), default=0)
+    chunks.select("doc_id", "first", "last", "text").write.parquet(f"{path}/run={last + 1:012d}-{uuid.uuid4().hex}")
 
 
 def written_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """chunk as write_chunks left it, ids as they were written; no rows where nothing is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    """chunk as write_chunks left it, ids as they were written; no rows where nothing is. A folder for each chunk (doc_id=, first=), as an earlier version wrote it, is older than all runs."""
+    runs = _runs(spark, path)
+    tables = [spark.read.schema(CHUNKS).parquet(f"{path}/{name}").withColumn("run", F.lit(name)) for name in runs]
+    if any(name.startswith("doc_id=") for name in _below(spark, path)):
+        tables.insert(0, spark.read.option("basePath", path).schema(CHUNKS).parquet(f"{path}/doc_id=*").select("doc_id", "first", "last", "text", F.lit("").alias("run")))
+    if not tables:
         return spark.createDataFrame([], CHUNKS)
-    return spark.read.schema(CHUNKS).parquet(path)
+    every = reduce(DataFrame.union, tables)
+    if len(tables) > 1:
+        newest = every.groupBy("doc_id", "first").agg(F.max("run").alias("newest"), F.min("run").alias("oldest")).where("newest > oldest")
+        e, n = every.alias("e"), newest.alias("n")
+        every = e.join(n, F.col("e.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("e.first").eqNullSafe(F.col("n.first")), "left").where("newest is null or run = newest").select("e.*")
+    return every.select("doc_id", "first", "last", "text")
 
 
 def run_chunks(plan: DataFrame, make: Callable[[], ChunkReader], path: str, *, at_once: int = 64, room: Callable[[], bool] = lambda: True) -> DataFrame:

@@ -316,3 +316,26 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("d", 1, "A", 0)]
     known = spark.createDataFrame([("a", 1, 5), ("b", 1, 6)], "doc_id string, mtime int, size int")
     assert [r["doc_id"] for r in catalog.fresh_analysis(known, known.where("doc_id = 'a'")).collect()] == ["b"]
+
+
+def test_chunks_in_few_files(spark, tmp_path):
+    """A write has files by its tasks, not by its chunks; a write that was not committed does not count."""
+    out = str(tmp_path / "many")
+    rows = [(f"d{k % 40}", k // 40 * 20, k // 40 * 20 + 19, f"text {k}") for k in range(200)]
+    src.write_chunks(spark.createDataFrame(rows, src.CHUNKS).coalesce(2), out)
+    src.write_chunks(spark.createDataFrame([("d3", 20, 39, "again")], src.CHUNKS).coalesce(1), out)
+    files = list((tmp_path / "many").rglob("*.parquet"))
+    assert len(files) <= 3
+    want = sorted((d, a, z, "again" if (d, a) == ("d3", 20) else t) for d, a, z, t in rows)
+    assert sorted(map(tuple, src.written_chunks(spark, out).collect())) == want
+    broken = tmp_path / "many" / "run=000000000009-x"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(files[0].read_bytes())
+    assert sorted(map(tuple, src.written_chunks(spark, out).collect())) == want
+
+
+def test_chunks_of_the_earlier_layout(spark, tmp_path):
+    out = str(tmp_path / "old")
+    spark.createDataFrame([("007", 0, 19, "a"), ("007", 20, 39, "b")], src.CHUNKS).write.partitionBy("doc_id", "first").parquet(out)
+    src.write_chunks(spark.createDataFrame([("007", 20, 39, "new")], src.CHUNKS), out)
+    assert sorted(map(tuple, src.written_chunks(spark, out).collect())) == [("007", 0, 19, "a"), ("007", 20, 39, "new")]
