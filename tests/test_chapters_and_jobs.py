@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import catalog, chapters as ch, chunks, translation as tr
+from folio.operators import catalog, chapters as ch, chunks, pages, translation as tr
 from folio.sources import documents as src
 from folio.streaming import watch
 
@@ -339,3 +339,13 @@ def test_chunks_of_the_earlier_layout(spark, tmp_path):
     spark.createDataFrame([("007", 0, 19, "a"), ("007", 20, 39, "b")], src.CHUNKS).write.partitionBy("doc_id", "first").parquet(out)
     src.write_chunks(spark.createDataFrame([("007", 20, 39, "new")], src.CHUNKS), out)
     assert sorted(map(tuple, src.written_chunks(spark, out).collect())) == [("007", 0, 19, "a"), ("007", 20, 39, "new")]
+
+
+def test_chapters_cut_without_text(spark):
+    """Lines that are no headings go through the windows without their text; a chapter is a slice of the document."""
+    text = "<!-- page 1 -->\n\nFront text\n\n# One\n\nBody of one.\r\n\n<!-- page 2 -->\n# Two\n```\n# no heading\n```\nEnd.\n\n\n"
+    docs = spark.createDataFrame([("b", text)], "doc_id string, text string")
+    slim = pages.explode_lines(docs, slim=True).orderBy("line_no").collect()
+    assert {r["text"] for r in slim} == {None, "# One", "# Two", "# no heading"} and [r["text"] for r in slim if r["level"]] == ["# One", "# Two"]
+    got = ch.raw_chapters(docs, 1, least=1).orderBy("n").collect()
+    assert [r["body"] for r in got] == ["<!-- page 1 -->\n\nFront text\n", "<!-- page 1 -->\n\n\n# One\n\nBody of one.\n", "<!-- page 2 -->\n# Two\n```\n# no heading\n```\nEnd.\n"]
